@@ -6,7 +6,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fityard.runtime import new_table_path
+from fityard.runtime import join_lookup, new_table_path, written
 
 # Rows of one group that may share a task in a blocked computation.
 BLOCK_ROWS = 1 << 16
@@ -44,7 +44,7 @@ def index_within(df: DataFrame, group: list[str], keys: list[str], out: str = "p
     firsts = numbered.groupBy(*group, "_blk").agg(F.min("_idx").alias("_first"))
     starts = firsts.select(*group, "_blk",
                            F.min("_first").over(Window.partitionBy(*group)).alias("_start"))
-    return (numbered.join(starts, [*group, "_blk"])
+    return (join_lookup(numbered, written(starts, "starts"), [*group, "_blk"])
             .select(*df.columns, (F.col("_idx") - F.col("_start")).alias(out)))
 
 
@@ -60,8 +60,8 @@ def file_order_index(rows: DataFrame, out: str = "row_idx") -> DataFrame:
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_mid"))
-    splits = tagged.groupBy("_file", "_start").agg(
-        F.count("*").alias("_n"), F.min("_mid").alias("_m0"))
+    splits = written(tagged.groupBy("_file", "_start").agg(
+        F.count("*").alias("_n"), F.min("_mid").alias("_m0")), "splits")
     # Prefix sums in two steps, so that the widest window is one row per file.
     within = (Window.partitionBy("_file").orderBy("_start")
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -71,24 +71,23 @@ def file_order_index(rows: DataFrame, out: str = "row_idx") -> DataFrame:
     offsets = (splits.withColumn("_boff", F.coalesce(F.sum("_n").over(within), F.lit(0)))
                .join(files, "_file")
                .select("_file", "_start", "_m0", (F.col("_foff") + F.col("_boff")).alias("_off")))
-    return (tagged.join(offsets, ["_file", "_start"])
+    return (join_lookup(tagged, written(offsets, "split-offsets"), ["_file", "_start"])
             .select(*rows.columns,
                     (F.col("_off") + F.col("_mid") - F.col("_m0")).alias(out)))
 
 
-def score_buckets(df: DataFrame, score: str, out: str = "_bucket",
-                  source: DataFrame | None = None) -> DataFrame:
+def score_buckets(scores: DataFrame, score: str, out: str = "_bucket") -> DataFrame:
     """Add an order-preserving bucket number with about equally many rows per bucket.
 
-    The cut points are approximate quantiles of ``source`` (default: ``df``); being constants of the
-    plan they give every evaluation of the plan the same buckets. Larger scores never get a smaller
-    bucket, and equal scores share one, so only cuts between buckets are approximate, never results.
+    ``scores`` has one row per distinct score and should be a written table, for it is read twice.
+    The cut points are approximate quantiles; being constants of the plan they give every evaluation
+    the same buckets. Larger scores never get a smaller bucket, so only the place of the cuts is
+    approximate, never a result that is put together from all buckets.
     """
-    n = min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8), MAX_BUCKETS)
-    base = df if source is None else source
-    cuts = sorted(set(base.approxQuantile(score, [i / n for i in range(1, n)], 1 / (2 * n))))
+    n = min(max(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8), MAX_BUCKETS)
+    cuts = sorted(set(scores.approxQuantile(score, [i / n for i in range(1, n)], 1 / (2 * n))))
     if not cuts:
-        return df.withColumn(out, F.lit(0))
+        return scores.withColumn(out, F.lit(0))
     bucketed = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=score,
-                          outputCol=out).transform(df)
+                          outputCol=out).transform(scores)
     return bucketed.withColumn(out, F.col(out).cast("int"))

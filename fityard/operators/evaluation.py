@@ -1,8 +1,8 @@
 """Exact model metrics as distributed aggregates.
 
-Ordered metrics (ROC, AUC, best threshold) first sum up labels per distinct score, then cut the
-scores into buckets; running totals are kept per bucket and shifted by the totals of the buckets
-before, so no task ever sorts more than one bucket.
+Ordered metrics (ROC, AUC, best threshold) read the scored rows once, into a written table of label
+counts per distinct score. Its scores are cut into buckets; running totals are kept per bucket and
+shifted by the totals of the buckets before, so no task ever sorts more than one bucket.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fityard.functions.ordering import score_buckets
 from fityard.functions.vectors import quoted
+from fityard.runtime import written
 
 PROBABILITY_FLOOR = 1e-15
 
@@ -40,14 +41,18 @@ def confusion_matrix(df: DataFrame, prediction_col: str = "prediction",
             .agg(F.count("*").alias("n")))
 
 
-def _running_counts(df: DataFrame, score_col: str, label_col: str) -> DataFrame:
-    """Per distinct score: its positives ``p`` and negatives ``q``, and the positives ``cum_p`` and
-    negatives ``cum_q`` with a score at least as high; plus the totals ``all_p`` and ``all_q``."""
+def _score_table(df: DataFrame, score_col: str, label_col: str, *sums: Column) -> DataFrame:
+    """Written table per distinct score: its positives ``p``, negatives ``q`` and further sums."""
     positive = (quoted(label_col) == 1).cast("bigint")
     per_score = df.groupBy(quoted(score_col).alias("score")).agg(
-        F.sum(positive).alias("p"), F.sum(1 - positive).alias("q"))
-    bucketed = score_buckets(per_score, "score",
-                             source=df.select(quoted(score_col).alias("score")))
+        F.sum(positive).alias("p"), F.sum(1 - positive).alias("q"), *sums)
+    return written(per_score, "scores")
+
+
+def _running_counts(scores: DataFrame) -> DataFrame:
+    """Add the positives ``cum_p`` and negatives ``cum_q`` with a score at least as high, and the
+    totals ``all_p`` and ``all_q``."""
+    bucketed = score_buckets(scores.select("score", "p", "q"), "score")
     # One row per bucket: at most MAX_BUCKETS rows, safe to window and to broadcast.
     higher = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
@@ -68,18 +73,22 @@ def _running_counts(df: DataFrame, score_col: str, label_col: str) -> DataFrame:
 
 def roc_curve(df: DataFrame, score_col: str = "margin", label_col: str = "label") -> DataFrame:
     """All points ``(threshold, fpr, tpr)``, one per distinct score; predict 1 at or above it."""
-    return _running_counts(df, score_col, label_col).select(
+    return _running_counts(_score_table(df, score_col, label_col)).select(
         F.col("score").alias("threshold"),
         (F.col("cum_q") / F.col("all_q")).alias("fpr"),
         (F.col("cum_p") / F.col("all_p")).alias("tpr"))
 
 
-def auc(df: DataFrame, score_col: str = "margin", label_col: str = "label") -> DataFrame:
-    """Exact area under the ROC curve; tied scores count half."""
+def _auc(scores: DataFrame) -> DataFrame:
     below = F.col("all_q") - F.col("cum_q")
     won = F.sum(F.col("p") * (below.cast("double") + F.col("q") / 2))
     pairs = F.max(F.col("all_p").cast("double") * F.col("all_q"))
-    return _running_counts(df, score_col, label_col).agg((won / pairs).alias("auc"))
+    return _running_counts(scores).agg((won / pairs).alias("auc"))
+
+
+def auc(df: DataFrame, score_col: str = "margin", label_col: str = "label") -> DataFrame:
+    """Exact area under the ROC curve; tied scores count half."""
+    return _auc(_score_table(df, score_col, label_col))
 
 
 def best_threshold_accuracy(df: DataFrame, score_col: str = "margin",
@@ -88,7 +97,7 @@ def best_threshold_accuracy(df: DataFrame, score_col: str = "margin",
     correct = F.col("cum_p") + F.col("all_q") - F.col("cum_q")
     best = F.max(F.struct(correct.alias("hits"), (-F.col("score")).alias("neg"),
                           (F.col("all_p") + F.col("all_q")).alias("n")))
-    return (_running_counts(df, score_col, label_col).agg(best.alias("b"))
+    return (_running_counts(_score_table(df, score_col, label_col)).agg(best.alias("b"))
             .select((-F.col("b.neg")).alias("threshold"),
                     (F.col("b.hits") / F.col("b.n")).alias("accuracy")))
 
@@ -99,14 +108,17 @@ def model_performance(df: DataFrame, probability_col: str = "probability",
     """One row: rows, accuracy, AUC, log-loss and root mean squared error."""
     p = F.greatest(F.lit(PROBABILITY_FLOOR),
                    F.least(F.lit(1 - PROBABILITY_FLOOR), quoted(probability_col)))
-    y = quoted(label_col)
-    sums = df.agg(
-        F.count("*").alias("n"),
-        F.avg(hit(prediction_col, label_col)).alias("accuracy"),
-        (-F.avg(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"),
-        F.sqrt(F.avg((y - quoted(probability_col)) * (y - quoted(probability_col)))).alias("rmse"))
+    y, error = quoted(label_col), quoted(label_col) - quoted(probability_col)
+    scores = _score_table(
+        df, score_col, label_col, F.count("*").alias("n"),
+        F.sum(hit(prediction_col, label_col)).alias("hits"),
+        F.sum(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("loss"),
+        F.sum(error * error).alias("sq"))
+    n = F.sum("n")
+    sums = scores.agg(n.alias("n"), (F.sum("hits") / n).alias("accuracy"),
+                      (F.sum("loss") / n).alias("log_loss"), F.sqrt(F.sum("sq") / n).alias("rmse"))
     # Two one-row results, laid side by side.
-    both = sums.unionByName(auc(df, score_col, label_col), allowMissingColumns=True)
+    both = sums.unionByName(_auc(scores), allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in ("n", "accuracy", "log_loss", "rmse", "auc")])
 
 

@@ -40,9 +40,11 @@ def _durations(events: DataFrame, block_rows: int) -> DataFrame:
     homes = F.when(starts_block, F.array(blk, blk - 1)).otherwise(F.array(blk))
     copies = events.select("*", F.explode(homes).alias("_blk"))
     backwards = Window.partitionBy("run_id", "_blk").orderBy(F.desc("pos"))
-    gap = F.lag("epoch_us").over(backwards) - F.col("epoch_us")
-    return (copies.withColumn("dur_us", F.when(gap >= CLAMP_US, gap).otherwise(F.lit(0)))
-            .filter(F.col("_blk") == blk))
+    gap = F.col("_next_us") - F.col("epoch_us")
+    return (copies.withColumn("_next_us", F.lag("epoch_us").over(backwards))
+            .filter(F.col("_blk") == blk)
+            .withColumn("dur_us", F.when(gap >= CLAMP_US, gap).otherwise(F.lit(0)))
+            .drop("_next_us"))
 
 
 def run_config(events: DataFrame) -> DataFrame:

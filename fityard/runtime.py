@@ -10,6 +10,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Narrow lookup tables up to this many rows may be broadcast; larger ones are joined by shuffle.
+MAX_BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +39,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def join_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a written lookup table, broadcast only after its rows have been counted
+    (which reads Parquet footers)."""
+    small = lookup.count() <= MAX_BROADCAST_ROWS
+    return rows.join(F.broadcast(lookup) if small else lookup, keys)
