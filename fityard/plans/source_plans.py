@@ -110,7 +110,7 @@ select run_id, count(*) as n_events, arg_min(event, pos) as first_event,
        arg_max(event, pos) as last_event, count(*) filter (where event = 'Training') as trainings
 from lg group by 1""")
 def _write_log(spark, sf_dir):
-    logs = spark.read.option("wholetext", True).text(_log_files(spark, sf_dir))
+    logs = spark.read.text(_log_files(spark, sf_dir), wholetext=True)
     names = F.from_json("value", "array<struct<event:string>>")["event"]
     per_file = logs.select("run_id", "segment", names.alias("names"))
     return per_file.groupBy(F.col("run_id").cast("bigint").alias("run_id")).agg(

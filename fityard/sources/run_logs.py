@@ -47,7 +47,7 @@ def read_run_logs(spark: SparkSession, path: str | list[str],
     A folder written by :func:`write_run_logs` keeps its run ids; otherwise each file is one run and
     its id is the file name without extension.
     """
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     own_layout = {"run_id", "segment"} <= set(files.columns)
     if own_layout:
         run_id, first = F.col("run_id"), F.col("segment").cast("bigint") * segment_events
