@@ -37,7 +37,7 @@ def coefficient_table(train: DataFrame, model: LogisticRegressionModel,
 
 
 def with_margin(scored: DataFrame, raw_col: str = "rawPrediction", out: str = "margin") -> DataFrame:
-    """Log-odds of the positive class: a score without the saturation of probabilities."""
+    """Log-odds of the positive class of a logistic model, which do not saturate as probabilities do."""
     return scored.withColumn(out, vector_to_array(F.col(raw_col))[1])
 
 

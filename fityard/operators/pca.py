@@ -115,24 +115,27 @@ def collect_matrix(long: DataFrame, n: int, value_col: str) -> np.ndarray:
     return matrix
 
 
-def power_components(gram: np.ndarray, k: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+def power_components(gram: np.ndarray, k: int, steps: int = 10_000,
+                     tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
     """Leading ``k`` eigenvectors and eigenvalues by power iteration with deflation.
 
-    Every component starts from the vector of ones and takes exactly ``steps`` steps.
+    Every component starts from the vector of ones and stops when a step moves it by at most ``tol``,
+    or after ``steps`` steps; with ``tol = 0`` the number of steps is fixed.
     """
     n = gram.shape[0]
     if not 1 <= k <= n:
         raise ValueError(f"k must lie between 1 and {n}")
     rest, vectors, values = np.array(gram, dtype=float), [], []
     for _ in range(k):
-        v = np.ones(n)
+        v = np.ones(n) / np.sqrt(n)
         for _ in range(steps):
             w = rest @ v
             norm = np.linalg.norm(w)
             if norm == 0.0:
                 break
-            v = w / norm
-        v = v / np.linalg.norm(v)
+            v, old = w / norm, v
+            if tol > 0 and np.linalg.norm(v - old) <= tol:
+                break
         value = float(v @ rest @ v)
         vectors.append(v)
         values.append(value)
@@ -141,18 +144,18 @@ def power_components(gram: np.ndarray, k: int, steps: int) -> tuple[np.ndarray,
 
 
 def fit_pca_uncentered(df: DataFrame, feature_cols: Sequence[str], k: int = 10,
-                       steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+                       **power) -> tuple[np.ndarray, np.ndarray]:
     """Components and their share of the total (uncentered) variance, plain columns."""
     gram = collect_matrix(gram_matrix(df, feature_cols), len(feature_cols), "gram")
-    vectors, values = power_components(gram, k, steps)
+    vectors, values = power_components(gram, k, **power)
     return vectors, values / np.trace(gram)
 
 
-def fit_pca_uncentered_vectors(df: DataFrame, k: int = 10, steps: int = 200,
-                               features_col: str = "features") -> tuple[np.ndarray, np.ndarray]:
+def fit_pca_uncentered_vectors(df: DataFrame, k: int = 10, features_col: str = "features",
+                               **power) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`fit_pca_uncentered` for a vector column."""
     gram = vector_gram(df, features_col)
-    vectors, values = power_components(gram, k, steps)
+    vectors, values = power_components(gram, k, **power)
     return vectors, values / np.trace(gram)
 
 

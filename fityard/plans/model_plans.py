@@ -365,7 +365,7 @@ def _power_sql() -> str:
 
 def _uncentered(spark, sf_dir):
     rows = ft.impute_mean(with_missing(spark, sf_dir), ["0", "1", "2"])
-    return pca.fit_pca_uncentered(rows, ["0", "1", "2"], k=3, steps=POWER_STEPS)
+    return pca.fit_pca_uncentered(rows, ["0", "1", "2"], k=3, steps=POWER_STEPS, tol=0.0)
 
 
 def _loading_sql(c: int, i: int) -> str:
