@@ -12,7 +12,7 @@ from fityard.functions.ordering import index_within, row_index
 from fityard.functions.vectors import as_vector, ntz_micros
 from fityard.operators.features import assemble_features, rename_label
 from fityard.operators.splits import hash_split
-from fityard.runtime import new_table_path, written
+from fityard.runtime import new_table_path, spread, written
 from fityard.sources.feature_csv import read_prefix
 from fityard.spec import TARGET, DatasetSpec
 
@@ -24,11 +24,11 @@ EMB_WIDTH = 64
 # Plan of the positional split: 40 train and 10 test chunks of a sixtieth of the table each.
 CHUNKS_PER_TABLE, N_TRAIN, N_TEST = 60, 40, 10
 
-_made: dict[tuple, DataFrame] = {}
+_made: dict[tuple, object] = {}
 
 
-def _once(spark: SparkSession, name: str, sf_dir: str, make) -> DataFrame:
-    """Make a written fixture once per application."""
+def once(spark: SparkSession, name: str, sf_dir: str, make):
+    """Make a written fixture (a table, or the path of a folder) once per application."""
     key = (spark.sparkContext.applicationId, name, sf_dir)
     if key not in _made:
         _made[key] = make()
@@ -86,16 +86,21 @@ def susy_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def susy_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``susy`` with its position in key order."""
-    return _once(spark, "susy_indexed", sf_dir,
+    return once(spark, "susy_indexed", sf_dir,
                  lambda: row_index(susy(spark, sf_dir), SUSY_KEYS))
 
 
+def susy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``susy_split`` as a written feature table, which iterative fits scan several times."""
+    return once(spark, "susy_table", sf_dir,
+                lambda: written(spread(susy_split(spark, sf_dir)), "susy-split"))
+
+
 def susy_vectors(spark: SparkSession, sf_dir: str, features: list[str]) -> tuple[DataFrame, DataFrame]:
     """Train and test side of the hash split with ``label`` and ``features``."""
-    rows = rename_label(susy_split(spark, sf_dir))
-    vectors = assemble_features(rows, features).select(
+    rows = assemble_features(rename_label(susy_table(spark, sf_dir)), features).select(
         *SUSY_KEYS, "split", "label", *[F.col(f"`{f}`") for f in features], "features")
-    return vectors.filter("split = 'train'"), vectors.filter("split = 'test'")
+    return rows.filter("split = 'train'"), rows.filter("split = 'test'")
 
 
 def chunk_rows(spark: SparkSession, sf_dir: str) -> int:
@@ -110,14 +115,14 @@ FILE_SPEC = DatasetSpec("susy_file", num_cols=len(FILE_COLUMNS) - 1)
 
 def susy_csv(spark: SparkSession, sf_dir: str) -> str:
     """Folder of headerless CSV files whose file order is the key order."""
-    key = (spark.sparkContext.applicationId, "susy_csv", sf_dir)
-    if key not in _made:
+    def make() -> str:
         path = new_table_path(spark, "susy-csv")
         (susy(spark, sf_dir).repartitionByRange(*SUSY_KEYS).sortWithinPartitions(*SUSY_KEYS)
          .select(*[F.col(f"`{c}`") for c in FILE_COLUMNS])
          .write.option("header", False).csv(path))
-        _made[key] = path
-    return _made[key]
+        return path
+
+    return once(spark, "susy_csv", sf_dir, make)
 
 
 def file_rows(rows: DataFrame) -> DataFrame:
@@ -150,7 +155,7 @@ def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events ``(run_id, pos, event, value, epoch_us, library)``; one run per user."""
-    return _once(spark, "run_log", sf_dir, lambda: _make_run_log(spark, sf_dir))
+    return once(spark, "run_log", sf_dir, lambda: _make_run_log(spark, sf_dir))
 
 
 def _make_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from fityard.operators.evaluation import accuracy
 from fityard.plans.feature_plans import MISSING_SQL, SCORED_SQL, scored, with_missing
 from fityard.plans.fixtures import (
     EMB_WIDTH, KEYS_SQL, SPLIT_SQL, SUSY_FEATURES, SUSY_KEYS, SUSY_SQL, TRAIN_FRACTION, emb, susy,
-    susy_split, susy_vectors, table)
+    susy_split, susy_table, susy_vectors)
 from fityard.plans.registry import query
 
 SEED = 123
@@ -172,7 +172,7 @@ union all select 1, 0, round(b, 2) from k{KMEANS_STEPS}"""
 
 
 def _price_vectors(spark, sf_dir):
-    return ft.assemble_features(susy(spark, sf_dir).select("l_extendedprice"), ["l_extendedprice"])
+    return ft.assemble_features(susy_table(spark, sf_dir).select("l_extendedprice"), ["l_extendedprice"])
 
 
 @query("fit_kmeans", f"""with {_lloyd_1d_sql()}
@@ -230,7 +230,7 @@ def _lloyd_2d_sql() -> str:
     f"select cast({j} as integer) as cluster, cast({d} as integer) as dim, "
     f"round(c{j}_{d}, 8) as value from k{LLOYD_STEPS}" for j in range(3) for d in range(2)))
 def _lloyd(spark, sf_dir):
-    rows = susy(spark, sf_dir)
+    rows = susy_table(spark, sf_dir)
     centers = km.kmeans_lloyd(rows, ["0", "1"], START, LLOYD_STEPS)
     cells = [(j, d, v) for j, c in enumerate(centers) for d, v in enumerate(c)]
     return spark.createDataFrame(cells, "cluster int, dim int, value double").withColumn(

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from fityard.operators import comparison as cmp
 from fityard.operators import runlog as rl
-from fityard.plans.fixtures import EV_SQL, LOG_SQL, PAIR_SQL, SPAN_SQL, run_log
+from fityard.plans.fixtures import EV_SQL, LOG_SQL, PAIR_SQL, SPAN_SQL, once, run_log
 from fityard.plans.registry import query
+from fityard.runtime import written
 
 
 @query("event_durations", f"with {EV_SQL} select run_id, pos, event, cast(dur as bigint) as dur_us from ev")
@@ -99,7 +100,9 @@ def _pairs(spark, sf_dir):
 
 
 def _members(spark, sf_dir):
-    return cmp.pair_members(_pairs(spark, sf_dir))
+    """Pairs are made and written once for all comparisons."""
+    return once(spark, "pair_members", sf_dir,
+                lambda: written(cmp.pair_members(_pairs(spark, sf_dir)), "pair-members"))
 
 
 def _dimensions(members):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fityard.operators import design
 from fityard.plans.fixtures import (
     EMB_WIDTH, FILE_COLUMNS, FILE_SPEC, INDEXED_SQL, LOG_SQL, N_TEST, N_TRAIN, SUSY_FEATURES,
-    SUSY_KEYS, SUSY_SQL, chunk_rows, file_rows, run_log, susy_csv, susy_prefix, table, _made)
+    SUSY_KEYS, SUSY_SQL, chunk_rows, file_rows, once, run_log, susy_csv, susy_prefix, table)
 from fityard.plans.registry import query
 from fityard.runtime import new_table_path
 from fityard.sources import (
@@ -88,20 +88,20 @@ def _export(spark, sf_dir):
 
 
 def _log_files(spark, sf_dir) -> str:
-    key = (spark.sparkContext.applicationId, "log_files", sf_dir)
-    if key not in _made:
+    def make() -> str:
         path = new_table_path(spark, "run-logs")
         write_run_logs(run_log(spark, sf_dir).withColumn(
             "start_time_epoch", F.col("epoch_us") / 1e6), path)
-        _made[key] = path
-    return _made[key]
+        return path
+
+    return once(spark, "log_files", sf_dir, make)
 
 
 @query("read_run_log", f"""with {LOG_SQL}
 select run_id, pos, event, value, epoch_us from lg""")
 def _read_log(spark, sf_dir):
-    return read_run_logs(spark, _log_files(spark, sf_dir)).select(
-        F.col("run_id").cast("bigint").alias("run_id"), "pos", "event", "value",
+    return read_run_logs(spark, _log_files(spark, sf_dir), "bigint").select(
+        "run_id", "pos", "event", "value",
         F.round(F.col("start_time_epoch") * 1e6).cast("bigint").alias("epoch_us"))
 
 
@@ -110,14 +110,14 @@ select run_id, count(*) as n_events, arg_min(event, pos) as first_event,
        arg_max(event, pos) as last_event, count(*) filter (where event = 'Training') as trainings
 from lg group by 1""")
 def _write_log(spark, sf_dir):
-    logs = spark.read.text(_log_files(spark, sf_dir), wholetext=True)
-    names = F.from_json("value", "array<struct<event:string>>")["event"]
-    per_file = logs.select("run_id", "segment", names.alias("names"))
-    return per_file.groupBy(F.col("run_id").cast("bigint").alias("run_id")).agg(
-        F.sum(F.size("names")).alias("n_events"),
-        F.min_by(F.element_at("names", 1), "segment").alias("first_event"),
-        F.max_by(F.element_at("names", -1), "segment").alias("last_event"),
-        F.sum(F.size(F.filter("names", lambda e: e == "Training"))).alias("trainings"))
+    lines = spark.read.schema("run_id bigint, segment bigint, events array<struct<event:string>>").json(
+        _log_files(spark, sf_dir))
+    names = F.col("events.event")
+    return lines.groupBy("run_id").agg(
+        F.sum(F.size(names)).alias("n_events"),
+        F.min_by(F.element_at(names, 1), "segment").alias("first_event"),
+        F.max_by(F.element_at(names, -1), "segment").alias("last_event"),
+        F.sum(F.size(F.filter(names, lambda e: e == "Training"))).alias("trainings"))
 
 
 # --- experiment grids ----------------------------------------------------------------------------

@@ -46,3 +46,10 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFram
     (which reads Parquet footers)."""
     small = lookup.count() <= MAX_BROADCAST_ROWS
     return rows.join(F.broadcast(lookup) if small else lookup, keys)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Repartition a file scan that comes in fewer pieces than there are cores, ahead of iterative
+    fits. Large tables have more splits than cores and pass unchanged, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -1,8 +1,9 @@
-"""Run logs: one JSON array of events per run.
+"""Run logs: ordered events of a run as a JSON array.
 
-Layout on disk: ``run_id=<id>/segment=<s>/`` with one text file holding one JSON array. A run of up
-to ``SEGMENT_EVENTS`` events is one array, as its writer produced it; a longer run continues in
-further segments, so no task ever builds a run of any length in memory.
+Two layouts. *Bulk*: JSON lines ``{run_id, segment, events: [...]}``, any number of runs per file.
+*One file per run*: files that hold a bare JSON array each, as a single run writes them. A run of up
+to ``SEGMENT_EVENTS`` events is one array; a longer run continues in further segments, so no task
+ever builds a run of any length in memory.
 """
 
 from __future__ import annotations
@@ -23,38 +24,55 @@ EVENT_TYPE = T.StructType([
 EVENT_FIELDS = EVENT_TYPE.fieldNames()
 
 
+def _segments(events: DataFrame, segment_events: int) -> DataFrame:
+    """``(run_id, segment, events)``; fields of the record that ``events`` lacks are left out."""
+    fields = [F.col(c) for c in EVENT_FIELDS if c in events.columns]
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("e"))))
+    return (events.groupBy("run_id", F.expr(f"pos div {segment_events}").alias("segment"))
+            .agg(F.transform(ordered, lambda x: x["e"]).alias("events")))
+
+
+def _events(segments: DataFrame, segment_events: int) -> DataFrame:
+    first = F.col("segment").cast("bigint") * segment_events
+    return (segments.select("run_id", first.alias("_first"), F.posexplode("events").alias("_p", "_e"))
+            .select("run_id", (F.col("_first") + F.col("_p")).alias("pos"), "_e.*"))
+
+
 def write_run_logs(events: DataFrame, path: str, segment_events: int = SEGMENT_EVENTS) -> None:
-    """Write events ``(run_id, pos, event, value, ...)`` as ordered JSON arrays.
+    """Write events ``(run_id, pos, event, value, ...)`` in bulk layout."""
+    _segments(events, segment_events).write.option("ignoreNullFields", False).json(path)
 
-    Fields of the record that ``events`` lacks are left out of the JSON.
-    """
-    fields = [F.col(c) for c in EVENT_FIELDS if c in events.columns]
-    arrays = (events
-              .groupBy("run_id", F.expr(f"pos div {segment_events}").alias("segment"))
-              .agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("e"))))
-                   .alias("_es")))
-    lines = arrays.select("run_id", "segment",
-                          F.to_json(F.transform("_es", lambda x: x["e"]),
-                                    {"ignoreNullFields": "false"}).alias("value"))
+
+def read_run_logs(spark: SparkSession, path: str | list[str], run_id_type: str = "string",
+                  segment_events: int = SEGMENT_EVENTS) -> DataFrame:
+    """Read the bulk layout into ``(run_id, pos, event, value, execution_time, start_time,
+    start_time_epoch)``."""
+    schema = T.StructType([
+        T.StructField("run_id", T.StringType()), T.StructField("segment", T.LongType()),
+        T.StructField("events", T.ArrayType(EVENT_TYPE))])
+    segments = spark.read.schema(schema).json(path)
+    return _events(segments.withColumn("run_id", F.col("run_id").cast(run_id_type)), segment_events)
+
+
+def write_run_files(events: DataFrame, path: str, segment_events: int = SEGMENT_EVENTS) -> None:
+    """Write one JSON array per file under ``run_id=<id>/segment=<s>/``. Meant for few runs: every
+    run costs a folder."""
+    lines = _segments(events, segment_events).select(
+        "run_id", "segment", F.to_json("events", {"ignoreNullFields": "false"}).alias("value"))
     lines.write.partitionBy("run_id", "segment").text(path)
 
 
-def read_run_logs(spark: SparkSession, path: str | list[str],
-                  segment_events: int = SEGMENT_EVENTS) -> DataFrame:
-    """Read JSON-array logs into ``(run_id, pos, event, value, execution_time, start_time,
-    start_time_epoch)``.
+def read_run_files(spark: SparkSession, path: str | list[str],
+                   segment_events: int = SEGMENT_EVENTS) -> DataFrame:
+    """Read files of one JSON array each, with the columns of :func:`read_run_logs`.
 
-    A folder written by :func:`write_run_logs` keeps its run ids; otherwise each file is one run and
-    its id is the file name without extension.
+    A folder of :func:`write_run_files` keeps its run ids; otherwise each file is one run and its id
+    is the file name without extension.
     """
     files = spark.read.text(path, wholetext=True)
-    own_layout = {"run_id", "segment"} <= set(files.columns)
-    if own_layout:
-        run_id, first = F.col("run_id"), F.col("segment").cast("bigint") * segment_events
-    else:
+    if not {"run_id", "segment"} <= set(files.columns):
         name = F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1)
-        run_id, first = F.regexp_replace(name, r"\.[^.]*$", ""), F.lit(0).cast("bigint")
-    parsed = files.select(run_id.alias("run_id"), first.alias("_first"),
-                          F.from_json("value", T.ArrayType(EVENT_TYPE)).alias("_es"))
-    return (parsed.select("run_id", "_first", F.posexplode("_es").alias("_p", "_e"))
-            .select("run_id", (F.col("_first") + F.col("_p")).alias("pos"), "_e.*"))
+        files = files.select("value", F.regexp_replace(name, r"\.[^.]*$", "").alias("run_id"),
+                             F.lit(0).alias("segment"))
+    arrays = files.withColumn("events", F.from_json("value", T.ArrayType(EVENT_TYPE)))
+    return _events(arrays, segment_events)

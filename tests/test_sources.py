@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from fityard.sources import (
     batch_featurize, byte_histogram, chunk_table, export_feature_csv, label_from_filename,
-    read_items, read_prefix, read_run_logs, scan_feature_csv, write_run_logs)
+    read_items, read_prefix, read_run_files, read_run_logs, scan_feature_csv, write_run_files,
+    write_run_logs)
 from fityard.spec import DatasetSpec
 from tests.conftest import rows_of
 
@@ -102,9 +103,9 @@ LOG = [{"event": "Library", "value": "lib_a", "execution_time": 0, "start_time":
 def test_foreign_logs_keep_order_and_take_their_file_name(spark, tmp_path):
     (tmp_path / "one.json").write_text(json.dumps(LOG, indent=4))
     (tmp_path / "two.json").write_text(json.dumps(LOG[:1]))
-    got = rows_of(read_run_logs(spark, str(tmp_path)), "run_id", "pos", "event")
+    got = rows_of(read_run_files(spark, str(tmp_path)), "run_id", "pos", "event")
     assert got == [("one", 0, "Library"), ("one", 1, "Start"), ("one", 2, "Result"), ("two", 0, "Library")]
-    values = {r["pos"]: r["value"] for r in read_run_logs(spark, str(tmp_path / "one.json")).collect()}
+    values = {r["pos"]: r["value"] for r in read_run_files(spark, str(tmp_path / "one.json")).collect()}
     assert values == {0: "lib_a", 1: None, 2: "true"}
 
 
@@ -114,8 +115,9 @@ def test_log_round_trip(spark, out_dir, segment):
             for p in range(10 * r)]
     events = spark.createDataFrame(
         rows, "run_id bigint, pos bigint, event string, value string, start_time_epoch double")
-    write_run_logs(events.repartition(3), out_dir, segment)
-    got = read_run_logs(spark, out_dir, segment)
-    assert rows_of(got.select(F.col("run_id").cast("bigint"), "pos", "event",
-                              F.coalesce("value", F.lit("")), "start_time_epoch")) == sorted(
-        (r, p, e, v or "", t) for r, p, e, v, t in rows)
+    for write, read, name in ((write_run_logs, read_run_logs, "/bulk"), (write_run_files, read_run_files, "/files")):
+        write(events.repartition(3), out_dir + name, segment_events=segment)
+        got = read(spark, out_dir + name, segment_events=segment)
+        assert rows_of(got.select(F.col("run_id").cast("bigint"), "pos", "event",
+                                  F.coalesce("value", F.lit("")), "start_time_epoch")) == sorted(
+            (r, p, e, v or "", t) for r, p, e, v, t in rows)
