@@ -125,18 +125,18 @@ def _trainings(events: DataFrame, block_rows: int) -> DataFrame:
         F.first(F.struct("pos", "value")).over(so_far).alias("_tail")
     ).filter(F.col("event") == "Training")
 
-    # One row per block; only the order of blocks is ever windowed over a whole run.
-    blocks = timed.groupBy("run_id", "_blk").agg(
+    # What later blocks hold, one row per block. No block is later than the first one of its run, so
+    # this branch reads nothing of runs that fit one block, and windows only blocks over a whole run.
+    overflow = _durations(events.filter(F.col("pos") >= block_rows), block_rows)
+    blocks = overflow.groupBy("run_id", "_blk").agg(
         *[F.min(_of_kind(kind, *fields)).alias(name) for name, (kind, fields) in _MARKERS.items()],
         F.max(F.struct("pos", "value")).alias("_tail"))
-    later_blocks = (Window.partitionBy("run_id").orderBy(F.desc("_blk"))
-                    .rowsBetween(Window.unboundedPreceding, -1))
+    from_here = (Window.partitionBy("run_id").orderBy(F.desc("_blk"))
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     carried = blocks.select(
-        "run_id", "_blk",
-        *[F.last(name, ignorenulls=True).over(later_blocks).alias(f"{name}_later")
-          for name in _MARKERS],
-        F.first("_tail").over(later_blocks).alias("_tail_later"))
-    carried = carried.filter(F.col("_tail_later").isNotNull())
+        "run_id", (F.col("_blk") - 1).alias("_blk"),
+        *[F.last(name, ignorenulls=True).over(from_here).alias(f"{name}_later") for name in _MARKERS],
+        F.first("_tail").over(from_here).alias("_tail_later"))
     joined = marked.join(carried, ["run_id", "_blk"], "left")
     return joined.withColumns({
         **{name: F.coalesce(F.col(name), F.col(f"{name}_later")) for name in _MARKERS},

@@ -162,12 +162,21 @@ def _fraction(spark, sf_dir):
                     F.round(train / F.count("*"), 9).alias("found"))
 
 
-@query("random_split")
+# The sides themselves depend on the random numbers of the engine; that they part the rows does not.
+@query("random_split", f"""with {SUSY_SQL}
+select count(*) as n_rows, cast(sum(target) as bigint) as positives,
+       cast(sum(split_key) % 1000000007 as bigint) as key_sum, true as both_sides_filled, true as fraction_kept
+from susy""")
 def _random(spark, sf_dir):
     train, test = sp.random_split(susy(spark, sf_dir), TRAIN_FRACTION, seed=123)
-    return sp.merge_train_test(train.withColumn("split", F.lit("train")),
-                               test.withColumn("split", F.lit("test"))).groupBy("split").agg(
-        F.count("*").alias("n"), F.avg("target").alias("base_rate"))
+    merged = sp.merge_train_test(train.withColumn("split", F.lit("train")),
+                                 test.withColumn("split", F.lit("test")))
+    share = F.avg((F.col("split") == "train").cast("double"))
+    return merged.agg(
+        F.count("*").alias("n_rows"), F.sum("target").cast("bigint").alias("positives"),
+        (F.sum("split_key") % 1000000007).alias("key_sum"),
+        (F.count_distinct("split") == 2).alias("both_sides_filled"),
+        (F.abs(share - TRAIN_FRACTION) < 0.03).alias("fraction_kept"))
 
 
 @query("hash_split", f"with {SPLIT_SQL} select {KEYS_SQL}, split from sp")

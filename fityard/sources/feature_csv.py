@@ -23,6 +23,8 @@ def _files_of_prefix(spark: SparkSession, path: str, spec: DatasetSpec, rows: in
     cost a pass over the whole table.
     """
     files = sorted(scan_feature_csv(spark, path, spec).inputFiles())
+    if len(files) == 1:
+        return files
     taken, batch, have = 0, 1, 0
     while have < rows and taken < len(files):
         have += scan_feature_csv(spark, files[taken:taken + batch], spec).count()
