@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +61,47 @@ def kmeans_lloyd(df: DataFrame, feature_cols: Sequence[str], centers: Sequence[S
     finally:
         points.unpersist()
     return current
+
+
+def _partial_means(centers: np.ndarray):
+    """Per task: number of rows and mean of the rows nearest to each center."""
+
+    def fn(batches):
+        n, sums = np.zeros(len(centers)), np.zeros(centers.shape)
+        for batch in batches:
+            if batch.empty:
+                continue
+            x = np.stack(batch["x"].to_numpy())
+            # One center at a time keeps the scratch memory at the size of the batch.
+            nearest = np.argmin([np.square(x - c).sum(axis=1) for c in centers], axis=0)
+            for j in np.unique(nearest):
+                mine = x[nearest == j]
+                n[j] += len(mine)
+                sums[j] += mine.sum(axis=0)
+        held = np.flatnonzero(n)
+        yield pd.DataFrame({"cluster": held, "n": n[held], "mean": list(sums[held] / n[held, None])})
+
+    return fn
+
+
+def kmeans_lloyd_vectors(df: DataFrame, centers: Sequence[Sequence[float]], steps: int,
+                         features_col: str = "features") -> list[list[float]]:
+    """As :func:`kmeans_lloyd` for a vector column, whose width would be too much for expressions.
+
+    Each task sends one weighted mean per cluster; Spark combines them.
+    """
+    points = df.select(vector_to_array(features_col).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    current = np.array(centers, dtype=float)
+    try:
+        for _ in range(steps):
+            parts = points.mapInPandas(_partial_means(current), "cluster int, n double, mean array<double>")
+            mean = Summarizer.mean(array_to_vector("mean"), F.col("n")).alias("mean")
+            moved = current.copy()
+            for row in parts.groupBy("cluster").agg(mean).collect():
+                moved[row["cluster"]] = row["mean"].toArray()
+            if np.array_equal(moved, current):
+                break
+            current = moved
+    finally:
+        points.unpersist()
+    return current.tolist()

@@ -283,6 +283,36 @@ def _lloyd(spark, sf_dir):
         "value", F.round("value", 8))
 
 
+WIDE_K, WIDE_STEPS = 10, 3
+
+
+def _lloyd_wide_sql() -> str:
+    steps = ["""u as materialized (
+  select vec_id, cast(unnest(embedding) as double) as x, unnest(range(len(embedding))) as d
+  from embeddings)""",
+             f"k0 as materialized (select vec_id as c, d, x from u where vec_id < {WIDE_K})"]
+    for i in range(WIDE_STEPS):
+        steps.append(f"""a{i} as materialized (
+  select vec_id, arg_min(c, {{'s': s, 'c': c}}) as c
+  from (select u.vec_id, k.c, sum((u.x - k.x) * (u.x - k.x)) as s from u join k{i} k using (d) group by 1, 2)
+  group by 1), k{i + 1} as materialized (
+  select k.c, k.d, coalesce(m.x, k.x) as x
+  from k{i} k left join (select a.c, u.d, avg(u.x) as x from u join a{i} a using (vec_id) group by 1, 2) m
+       on m.c = k.c and m.d = k.d)""")
+    return "with " + ", ".join(steps)
+
+
+@query("kmeans_lloyd_wide", _lloyd_wide_sql() + f"""
+select cast(c as integer) as cluster, cast(d as integer) as dim, round(x, 8) as value from k{WIDE_STEPS}""")
+def _lloyd_wide(spark, sf_dir):
+    rows = emb(spark, sf_dir)
+    first = rows.filter(F.col("vec_id") < WIDE_K).orderBy("vec_id").select("features").collect()
+    centers = km.kmeans_lloyd_vectors(rows, [r["features"].toArray() for r in first], WIDE_STEPS)
+    cells = [(j, d, v) for j, c in enumerate(centers) for d, v in enumerate(c)]
+    return spark.createDataFrame(cells, "cluster int, dim int, value double").withColumn(
+        "value", F.round("value", 8))
+
+
 # Two fixed centers for scoring and cluster metrics.
 CENTERS = ((0.25, 0.5), (0.75, 0.5))
 CLUSTERED_SQL = SPLIT_SQL + f""", kc as (select {_constants(CENTERS)}), cl as (

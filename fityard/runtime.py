@@ -38,7 +38,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared folder and read it back."""
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def join_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:

@@ -106,6 +106,9 @@ def test_lloyd_steps(spark, matrix):
         want = np.array([x[near == j].mean(axis=0) if (near == j).any() else want[j] for j in range(3)])
     got = km.kmeans_lloyd(df, ["0", "1"], start, 4)
     assert np.allclose(got, want) and got[2] == start[2]
+    vectors = df.select(array_to_vector(F.array("`0`", "`1`")).alias("features"))
+    got = km.kmeans_lloyd_vectors(vectors.repartition(7), start, 4)
+    assert np.allclose(got, want) and got[2] == start[2]
 
 
 def test_nearest_center_ties(spark):
