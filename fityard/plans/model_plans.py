@@ -469,10 +469,44 @@ def _importance(spark, sf_dir):
         (F.col("component") + 1).alias("k"), F.round("cumulative", 9).alias("cumulative"))
 
 
-@query("fit_pca_uncentered_wide")
+WIDE_COMPONENTS, WIDE_POWER_STEPS = 10, 200
+
+
+def _power_wide_sql() -> str:
+    """Deflated power iteration on the Gram matrix of the embeddings, held as a list of rows."""
+    ctes = ["""u as materialized (
+  select vec_id, cast(unnest(embedding) as double) as x, unnest(range(len(embedding))) as d
+  from embeddings), cells as (
+  select a.d as i, b.d as j, sum(a.x * b.x) as g from u a join u b using (vec_id) group by 1, 2), g0 as materialized (
+  select list(r order by i) as m from (select i, list(g order by j) as r from cells group by 1))"""]
+    for c in range(WIDE_COMPONENTS):
+        ctes.append(f"""it{c}(step, v) as (
+  select 0, list_transform(m[1], lambda z: cast(1 as double)) from g0
+  union all
+  select step + 1, list_transform(w, lambda z: z / sqrt(list_dot_product(w, w)))
+  from (select step, list_transform(m, lambda r: list_dot_product(r, v)) as w
+        from it{c}, g{c} where step < {WIDE_POWER_STEPS})), e{c} as materialized (
+  select v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) as lam
+  from it{c}, g{c} where step = {WIDE_POWER_STEPS}), g{c + 1} as materialized (
+  select list_transform(m, lambda r, i: list_transform(r, lambda z, j: z - lam * v[i] * v[j])) as m
+  from g{c}, e{c})""")
+    ctes.append("tot as (select sum(g) as trace from cells where i = j), es as (" + " union all ".join(
+        f"select {c} as component, v, lam from e{c}" for c in range(WIDE_COMPONENTS)) + """), sg as (
+  select component, lam / trace as ratio, v,
+         sign(v[list_position(list_transform(v, lambda z: abs(z)),
+                              list_max(list_transform(v, lambda z: abs(z))))]) as s
+  from es, tot)""")
+    return "with recursive " + ", ".join(ctes)
+
+
+@query("fit_pca_uncentered_wide", _power_wide_sql() + """
+select cast(component as integer) as component, cast(unnest(range(len(v))) as integer) as dim,
+       round(s * unnest(v), 6) + 0 as loading, round(ratio, 9) as ratio from sg""")
 def _uncentered_wide(spark, sf_dir):
-    vectors, ratios = pca.fit_pca_uncentered_vectors(emb(spark, sf_dir), k=10)
-    return pca.component_table(spark, vectors, ratios.tolist())
+    vectors, ratios = pca.fit_pca_uncentered_vectors(
+        emb(spark, sf_dir), k=WIDE_COMPONENTS, steps=WIDE_POWER_STEPS, tol=0.0)
+    return pca.component_table(spark, vectors, ratios.tolist()).select(
+        "component", "dim", F.round("loading", 6).alias("loading"), F.round("ratio", 9).alias("ratio"))
 
 
 @query("pca_k_sweep")
