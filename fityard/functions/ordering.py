@@ -51,15 +51,16 @@ def index_within(df: DataFrame, group: list[str], keys: list[str], out: str = "p
 def file_order_index(rows: DataFrame, out: str = "row_idx") -> DataFrame:
     """0-based position of every row of a file scan, in file order (files in path order).
 
-    ``rows`` must be a plain file scan. The first pass counts rows per input split, the second one
-    adds the split's offset to the position inside the split; both use the same splits because they
-    list the same files under the same session settings.
+    ``rows`` must be a plain file scan. It is read once, into a written table that keeps for every row
+    its input split and its place in the scan; the position is the split's offset plus the place inside
+    the split. Scanning the files a second time instead would parse them again, and could find other
+    splits when the number of executors has changed in between.
     """
-    tagged = rows.select(
+    tagged = written(rows.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_mid"))
+        F.monotonically_increasing_id().alias("_mid")), "scan")
     splits = written(tagged.groupBy("_file", "_start").agg(
         F.count("*").alias("_n"), F.min("_mid").alias("_m0")), "splits")
     # Prefix sums in two steps, so that the widest window is one row per file.

@@ -9,7 +9,7 @@ from fityard.plans.fixtures import (
     EMB_WIDTH, FILE_COLUMNS, FILE_SPEC, INDEXED_SQL, LOG_SQL, N_TEST, N_TRAIN, SUSY_FEATURES,
     SUSY_KEYS, SUSY_SQL, chunk_rows, file_rows, once, run_log, susy_csv, susy_prefix, table)
 from fityard.plans.registry import query
-from fityard.runtime import new_table_path
+from fityard.runtime import new_table_path, spread
 from fityard.sources import (
     batch_featurize, byte_histogram, chunk_table, export_feature_csv, label_from_filename,
     read_run_logs, scan_feature_csv, write_run_logs)
@@ -63,7 +63,8 @@ NAMED_BYTES = {"a": "a", "e": "e", "i": "i", "o": "o", "u": "u", "t": "t", "n":
   octet_length(encode(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'))) as n_non_ascii
 from documents""")
 def _featurize(spark, sf_dir):
-    items = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    items = spread(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.encode("text", "UTF-8").alias("content"))
     hist = batch_featurize(items, byte_histogram("doc_id", "content"),
                            "doc_id bigint, features array<bigint>")
 

@@ -8,6 +8,7 @@ from fityard.sources import (
     batch_featurize, byte_histogram, chunk_table, export_feature_csv, label_from_filename,
     read_items, read_prefix, read_run_files, read_run_logs, scan_feature_csv, write_run_files,
     write_run_logs)
+from fityard.sources.feature_csv import _files_of_prefix
 from fityard.spec import DatasetSpec
 from tests.conftest import rows_of
 
@@ -43,8 +44,10 @@ def test_prefix_keeps_what_exists(spark, tmp_path, n):
 
 
 def test_prefix_reads_only_the_files_it_needs(spark, tmp_path):
-    got = read_prefix(spark, _csv(tmp_path / "a", 1000, files=20), SPEC, n_train=3, n_test=2)
-    assert len(got.inputFiles()) < 10 and got.count() == 50
+    path = _csv(tmp_path / "a", 1000, files=20)
+    files = _files_of_prefix(spark, path, SPEC, 160)
+    assert [f.split("/")[-1] for f in files] == [f"part-{i}.csv" for i in (0, 1, 10, 11, 12, 13, 14)]
+    assert read_prefix(spark, path, SPEC, n_train=3, n_test=2).count() == 50
 
 
 def test_prefix_needs_chunks_on_both_sides(spark, tmp_path):
