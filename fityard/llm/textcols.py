@@ -68,9 +68,10 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True,
-                space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+                space: np.ndarray = SPACE, beginning: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts that ``offsets`` cut out of ``data``, and where each text's words
-    begin in it. A-Z are lower-cased. Words are maximal runs of bytes that aren't white space."""
+    begin in it. A-Z are lower-cased. Words are maximal runs of bytes that aren't white space. With
+    ``beginning``, every word's hash is followed by that of its first so many bytes."""
     n = len(data)
     if not n:
         return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
@@ -84,7 +85,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True,
     up, down = _power_tables(n + 1)
     sums = np.zeros(n + 1, dtype=U64)
     np.cumsum((LOWER[data] if lower else data).astype(U64) * up[:n] + up[:n], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * down[begin]), np.searchsorted(begin, offsets)
+    words, at = mix((sums[end] - sums[begin]) * down[begin]), np.searchsorted(begin, offsets)
+    if not beginning:
+        return words, at
+    both = np.empty(2 * len(words), dtype=U64)
+    both[::2] = words
+    both[1::2] = mix((sums[np.minimum(end, begin + beginning)] - sums[begin]) * down[begin] ^ U64(_ODD))
+    return both, 2 * at
 
 
 def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
