@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from fityard.llm import byte_bpe, minhash_join, mixing, toxicity, url_filter
+from fityard.llm import byte_bpe, line_dedup, minhash_join, mixing, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,13 @@ select page_id, host, path,
 from parts"""
 
 
+@query
+def op4_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_links", "class_id",
+                       F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY)
