@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from fityard.llm import byte_bpe, line_dedup, minhash_join, mixing, toxicity, url_filter
+from fityard.llm import byte_bpe, fingerprints, language_id, line_dedup, minhash_join, mixing, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,13 @@ select page_id, host, path,
 from parts"""
 
 
+@query
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, docs.filter(~language_id.is_held_out("doc_id")))
+    return found.select("doc_id", language_id.is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op4_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -70,6 +77,15 @@ def op4_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op5_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+                        F.lower(F.hex("fingerprint")).alias("fingerprint"),
+                        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
+                        "near_edited", "near_next")
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY)
