@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from fityard.llm import byte_bpe, fingerprints, language_id, line_dedup, minhash_join, mixing, multi_index, toxicity, url_filter
+from fityard.llm import byte_bpe, fingerprints, language_id, line_dedup, minhash_join, mixing, multi_index, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -86,6 +86,13 @@ def op5_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "near_edited", "near_next")
 
 
+@query
+def op6_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op7_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(spark, sf_dir, "embeddings"))
