@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from fityard.llm.sketch import buckets_of, occurrence_levels
 from fityard.llm.textcols import U64, buffers, mix, pieces, word_hashes
@@ -210,12 +211,13 @@ class _Rows(dict):
 def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """``(id, line, n_links, first_id, removed)`` for every line that has a match, and the texts
-    ``(row, id, text)`` they refer to. ``n_links`` counts the other distinct token sets that match the
+    ``(id, text, row)`` they refer to. ``n_links`` counts the other distinct token sets that match the
     line's, ``first_id`` is the id of the earliest matching line (the line itself, if it is the first)."""
-    texts = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
+    texts = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"),
+                        F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != text_col)).alias("row"))
     levels = occurrence_levels(texts.select("text"), lambda batch: (
         np.concatenate([_first_bits(words, to)]) for _, _, words, to in line_sets(batch.column(0))))
-    places, first = _classes(texts.filter("id is not null"), levels, percent)
+    places, first = _classes(texts.filter("id is not null").select("id", "text"), levels, percent)
     places = written(places, "lines")
     classes = written(first.select(
         F.xxhash64("k1", "k2").alias("class"), "k1", "k2", "tokens",
@@ -256,26 +258,14 @@ def _first_bits(words: np.ndarray, to: np.ndarray) -> np.ndarray:
     return words[keep]
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """``(id_col, text, n_lines, n_removed, n_links, class_id)`` for every row: the text without the lines
-    that an earlier line of the corpus matches.
-
-    Lines end at line feeds; words are runs without white space, A-Z lower-cased; two lines match if ``100 *
-    intersection >= percent * union`` of their word sets. The order of lines is that of (id, line number). Every earlier line
-    counts, also one that goes itself. Lines without words stay and match nothing. A removed line goes with its
-    line feed. ``n_links`` is the sum over the lines of how many other distinct word sets match; ``class_id`` is
-    the smallest id that has a line which matches one of this document's, or its own.
-
-    Null texts stay null, with 0 lines. Rows with a null id are returned unchanged and match nothing. Rows that repeat an id
-    count as one document: a line number that several of them have counts as one line, and goes in all of them. Other columns
-    are not read. An empty table gives an empty table. A line's number beyond 2^24 orders like 2^24.
-    """
+def _cut_rows(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """``(row, text, n_lines, n_links, class_id, n_removed)``; row has all columns but the text."""
     lines, texts = matched_lines(docs, id_col, text_col, percent)
     by_doc = lines.groupBy("id").agg(
         F.collect_set(F.when(F.col("removed"), F.col("line"))).alias("gone"),
         F.sum("n_links").alias("n_links"), F.min("first_id").alias("first_id"))
     joined = texts.join(by_doc, "id", "left").select(
-        "id", "text", F.col("gone"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "id", "row", "text", F.col("gone"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.least("id", F.coalesce("first_id", "id")).alias("class_id"))
     parts = F.split("text", "\n", -1)
     n_lines = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(
@@ -291,13 +281,38 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(out, pa.string()), *batch.columns[3:],
                  pa.array([len(g or ()) for g in batch.column(2).to_pylist()], pa.int64())],
-                names=["id", "text", "n_lines", "n_links", "class_id", "n_removed"])
+                names=["row", "text", "n_lines", "n_links", "class_id", "n_removed"])
+
+    rows = joined.select("row", "text", "gone", n_lines.cast("bigint").alias("n_lines"), "n_links", "class_id")
+    return rows.mapInArrow(cut, StructType([
+        rows.schema["row"], rows.schema["text"], *(StructField(c, LongType()) for c in (
+            "n_lines", "n_links", "class_id", "n_removed"))]))
+
 
-    rows = joined.select("id", "text", "gone", n_lines.cast("bigint").alias("n_lines"), "n_links", "class_id")
-    done = rows.mapInArrow(
-        cut, "id bigint, text string, n_lines bigint, n_links bigint, class_id bigint, n_removed bigint")
-    return done.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "text", "n_lines",
-                       "n_removed", "n_links", "class_id")
+def deduplicated_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                           percent: int = 80) -> DataFrame:
+    """All rows and columns of ``docs``, the texts without their repeated lines (see ``dedup_lines``). A document
+    that has lost all its lines stays, with an empty text."""
+    cut = _cut_rows(docs, id_col, text_col, percent)
+    return cut.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """``(id_col, text, n_lines, n_removed, n_links, class_id)`` for every row: the text without the lines
+    that an earlier line of the corpus matches.
+
+    Lines end at line feeds; words are runs without white space, A-Z lower-cased; two lines match if ``100 *
+    intersection >= percent * union`` of their word sets. The order of lines is that of (id, line number). Every earlier line
+    counts, also one that goes itself. Lines without words stay and match nothing. A removed line goes with its
+    line feed. ``n_links`` is the sum over the lines of how many other distinct word sets match; ``class_id`` is
+    the smallest id that has a line which matches one of this document's, or its own.
+
+    Null texts stay null, with 0 lines. Rows with a null id are returned unchanged and match nothing. Rows that repeat an id
+    count as one document: a line number that several of them have counts as one line, and goes in all of them. Other columns
+    are not read. An empty table gives an empty table. A line's number beyond 2^24 orders like 2^24.
+    """
+    cut = _cut_rows(docs, id_col, text_col, percent)
+    return cut.select(F.col(f"row.`{id_col}`").alias(id_col), "text", "n_lines", "n_removed", "n_links", "class_id")
 
 
 def _without(text: str, drop: set[int]) -> str:

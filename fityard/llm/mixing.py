@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from fityard.llm import text_classifier
 from fityard.llm.textcols import texts_words
@@ -46,10 +47,11 @@ def replay(posteriors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
 
 def fit_rates(members: DataFrame, targets: np.ndarray, max_steps: int = MAX_STEPS,
               tolerance: float = TOLERANCE) -> list[np.ndarray]:
-    """Steps whose replay gives the rates. ``members``: n_tokens, posteriors. ``targets``: wanted tokens."""
+    """Steps whose replay gives the rates. ``members``: n_tokens, posteriors. ``targets``: wanted tokens of each
+    domain, NaN where any number will do."""
     k, spark = len(targets), members.sparkSession
-    total = targets.sum()
-    if total <= 0:
+    total = np.nansum(targets)
+    if not total > 0:
         return []
 
     def summed(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,65 +74,91 @@ def fit_rates(members: DataFrame, targets: np.ndarray, max_steps: int = MAX_STEP
         values = np.array([v or 0.0 for v in row], dtype=float)
         return values[:k], values[k:].reshape(k, k)
 
+    def shortfall(tokens: np.ndarray) -> np.ndarray:
+        return np.nan_to_num(targets - tokens)
+
     steps: list[np.ndarray] = []
     tokens, gram = summed(steps)
-    gap, damping = targets - tokens, 1.0
+    gap, damping = shortfall(tokens), 1.0
     while len(steps) < max_steps and np.abs(gap).max() > tolerance * total:
         step = damping * np.linalg.solve(gram + 1e-6 * total * np.eye(k), gap)
         tokens, next_gram = summed([*steps, step])
-        if np.linalg.norm(targets - tokens) >= np.linalg.norm(gap):  # too far: what was projected came back
+        if np.linalg.norm(shortfall(tokens)) >= np.linalg.norm(gap):  # too far: what was projected came back
             damping /= 2
             if damping < 1e-3:
                 break
             continue
-        steps, gap, gram = [*steps, step], targets - tokens, next_gram
+        steps, gap, gram = [*steps, step], shortfall(tokens), next_gram
     return steps
 
 
-def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        targets: dict[str, float] = TARGETS, max_labelled: int = text_classifier.MAX_LABELLED) -> DataFrame:
-    """``(id_col, n_tokens, p_good, p_poor, p_toxic, rate, copies)`` for every row.
-
-    ``targets``: wanted share of all tokens by domain; tokens are words without white space. ``copies`` is
-    the rate rounded up or down by a hash of the id and the number of tokens, up with the probability that
-    makes its mean the rate. Null and empty texts have no tokens, posteriors of a text without
-    known words, and move no total; their rate follows from the posteriors as for all others. Rows
-    that repeat an id are separate members. With an empty table nothing is fitted. Without labels all
-    posteriors are equal, and the rates depend on that alone.
-    """
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labelled: int):
     sample = text_classifier.bounded_sample(labelled_domains(labels, id_col), "id", max_labelled)
     texts = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
     # The sample is bounded by max_labelled rows of two numbers.
-    model = text_classifier.fit(texts.join(F.broadcast(sample), "id").select("text", "label"), DOMAINS)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    k = len(DOMAINS)
-    kind = docs.schema[id_col].dataType
+    return text_classifier.fit(texts.join(F.broadcast(sample), "id").select("text", "label"), DOMAINS)
 
-    def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _with_tokens(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, text, posteriors) with the number of words instead of the text."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [c for _, _, _, at in texts_words(batch.column(1)) for c in np.diff(at).tolist()]
-            p = sent.value.posteriors(batch.column(1)).reshape(-1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * k, pa.int32()),
-                                             pa.array(p, pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), lists],
-                                             names=["id", "n_tokens", "posteriors"])
-
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    members = written(rows.mapInArrow(
-        member, f"id {kind.simpleString()}, n_tokens bigint, posteriors array<double>"), "members")
-    total = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
-    shares = np.array([targets.get(d, 0.0) for d in DOMAINS])
-    steps = fit_rates(members, total * shares / max(shares.sum(), 1e-300))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2)],
+                                             names=["row", "n_tokens", "posteriors"])
+
+    schema = StructType([rows.schema["row"], StructField("n_tokens", LongType()), rows.schema["posteriors"]])
+    return rows.mapInArrow(count, schema)
+
+
+def _steps(members: DataFrame, targets: dict[str, float], budget: float) -> list[np.ndarray]:
+    total = float(members.agg(F.sum("n_tokens")).first()[0] or 0) * budget
+    shares = np.array([targets.get(d, np.nan) for d in DOMAINS])
+    return fit_rates(members, total * shares / max(np.nansum(shares), 1e-300))
 
+
+def _rated(members: DataFrame, steps: list[np.ndarray]) -> DataFrame:
+    """``(row, n_tokens, posteriors, rate, copies)``."""
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.asarray(batch.column(2).flatten()).reshape(-1, k)
+            p = np.asarray(batch.column(2).flatten()).reshape(-1, len(DOMAINS))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replay(p, steps))],
-                                             names=["id", "n_tokens", "posteriors", "rate"])
-
-    rated = members.mapInArrow(
-        rate, f"id {kind.simpleString()}, n_tokens bigint, posteriors array<double>, rate double")
-    chance = F.pmod(F.xxhash64("id", "n_tokens"), F.lit(1 << 40)) / float(1 << 40)
-    return rated.select(F.col("id").alias(id_col), "n_tokens",
-                        *(F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate",
-                        F.floor(F.col("rate") + chance).cast("int").alias("copies"))
+                                             names=["row", "n_tokens", "posteriors", "rate"])
+
+    rated = members.mapInArrow(rate, StructType([*members.schema.fields, StructField("rate", DoubleType())]))
+    chance = F.pmod(F.xxhash64("row", "n_tokens"), F.lit(1 << 40)) / float(1 << 40)
+    return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+
+
+def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+        targets: dict[str, float] = TARGETS, budget: float = 1.0,
+        max_labelled: int = text_classifier.MAX_LABELLED) -> DataFrame:
+    """``(id_col, n_tokens, p_good, p_poor, p_toxic, rate, copies)`` for every row.
+
+    ``targets``: wanted share of all tokens by domain (a domain that isn't named is left as it falls), of
+    ``budget`` times the tokens there are; tokens are words without white space. ``copies`` is the rate rounded up or
+    down by a hash of the id and the number of tokens, up with the probability that makes its mean the rate.
+    Null and empty texts have no tokens and the posteriors of a text without known words; they move no total, and their
+    rate follows from the posteriors as for all others. Rows that repeat an id are separate members. With
+    an empty table nothing is fitted. Without labels all posteriors are equal, and so are all rates.
+    """
+    model = _fitted(docs, labels, id_col, text_col, max_labelled)
+    rows = docs.select(docs[id_col].alias("row"), docs[text_col].cast("string").alias("text"))
+    members = written(_with_tokens(text_classifier.with_posteriors(rows, model)), "members")
+    rated = _rated(members, _steps(members, targets, budget))
+    return rated.select(F.col("row").alias(id_col), "n_tokens",
+                        *(F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", "copies")
+
+
+def mixed_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    targets: dict[str, float] = TARGETS, budget: float = 1.0,
+                    max_labelled: int = text_classifier.MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as ``mix`` says (copies may be 0). Texts are
+    classified a second time instead of being joined to their rates, so no text is shuffled."""
+    model = _fitted(docs, labels, id_col, text_col, max_labelled)
+    ids = docs.select(docs[id_col].alias("row"), docs[text_col].cast("string").alias("text"))
+    members = written(_with_tokens(text_classifier.with_posteriors(ids, model)), "members")
+    steps = _steps(members, targets, budget)
+    rows = _with_tokens(text_classifier.with_posteriors(text_classifier.carried(docs, text_col), model))
+    rated = _rated(rows, steps).filter("copies > 0")
+    return rated.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from fityard.llm.textcols import U64, buffers, pieces, word_hashes
 from fityard.runtime import written
@@ -250,20 +250,25 @@ def fit(texts: DataFrame, classes: list, swaps: list[tuple[str, str]] = (), swap
     return Model(words, best[:-k].reshape(shape) * odds, best[-k:], classes)
 
 
-def with_posteriors(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
-    """``(id_col, posteriors array<double>)`` for every row, in the order of the model's classes. A text
-    without a word of the vocabulary, empty or null, gets the bias alone."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+def with_posteriors(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` (row, text) and the posteriors of each text (array of doubles, in the order of the model's classes). A
+    text without a word of the vocabulary, empty or null, gets the bias alone. Nothing is shuffled."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    k = len(model.classes)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = sent.value.posteriors(batch.column(1))
-            flat = pa.array(p.reshape(-1), pa.float64())
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(batch.num_rows + 1) * len(model_classes), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "posteriors"])
-
-    model_classes = model.classes
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(score, f"id {kind}, posteriors array<double>").withColumnRenamed("id", id_col)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * k, pa.int32()),
+                                             pa.array(p.reshape(-1), pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["row", "text", "posteriors"])
+
+    schema = StructType([rows.schema["row"], rows.schema["text"],
+                         StructField("posteriors", ArrayType(DoubleType()))])
+    return rows.select("row", "text").mapInArrow(score, schema)
+
+
+def carried(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(row, text)``: all columns as one, whatever their names, and the text."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"),
+                       docs[f"`{text_col}`"].cast("string").alias("text"))

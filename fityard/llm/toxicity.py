@@ -58,6 +58,16 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for a null id.
     """
     model = fit(docs, labels, id_col, text_col, label_col, max_labelled)
-    scored = text_classifier.with_posteriors(docs, model, id_col, text_col)
-    return scored.select(id_col, is_held_out(id_col).alias("held_out"), F.col("posteriors")[1].alias("score"),
+    scored = text_classifier.with_posteriors(
+        docs.select(docs[id_col].alias("row"), docs[text_col].cast("string").alias("text")), model)
+    return scored.select(F.col("row").alias(id_col), is_held_out("row").alias("held_out"),
+                         F.col("posteriors")[1].alias("score"),
                          (F.col("posteriors")[1] >= 0.5).cast("int").alias("predicted"))
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    label_col: str = "toxic", max_labelled: int = text_classifier.MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below 0.5 (see ``score``)."""
+    model = fit(docs, labels, id_col, text_col, label_col, max_labelled)
+    scored = text_classifier.with_posteriors(text_classifier.carried(docs, text_col), model)
+    return scored.filter(F.col("posteriors")[1] < 0.5).select("row.*")
