@@ -1,16 +1,16 @@
 """Near-duplicate lines by an exact set-similarity join.
 
 A line is the set of its words. Tokens are put in one order for all lines: rarest first, by the levels of
-``sketch``, ties by the tokens' hashes. Two sets with ``100 * intersection >= percent * union`` must share a token
-among the first ``n - ceil(percent / 100 * n) + 1`` of each (prefix); their sizes must be near each other (length), and the
-tokens that follow the shared one must suffice for the wanted intersection (positional). What is left is
-verified on the full sets. A line goes if an earlier line of the corpus matches it.
-
-1. Count tokens. 2. Emit each line that has a prefix token which occurs elsewhere (others can't match);
-lines with equal sets are one class with its first place. 3. Post classes under their prefix tokens; rows
-under one token are compared in the order of their sizes, in blocks, and only counts and first places
-leave the comparison, never pairs. 4. Join the decisions back to the lines, gather them by document,
-and cut the texts.
+``sketch``, ties by the tokens' hashes. Two sets with ``100 * intersection >= percent * union`` must share a
+token among the first ``n - ceil(percent / 100 * n) + 1`` of each (prefix); their sizes must be near each
+other (length), and the tokens that follow the shared one must suffice for the wanted intersection
+(positional). A few parity bits of each set bound from below in how many tokens two sets differ. What
+is left is verified on the full sets. A line goes if an earlier line of the corpus matches it.
+
+1. Count tokens and line keys. 2. Post every line, once a batch, under those of its prefix tokens that occur in
+other lines; compare what is posted under one token in the order of sizes, in blocks. 3. Read the texts again for the
+places of lines whose key occurs again or is in a candidate pair, and the full sets of the latter; verify.
+4. Join the decisions back to the lines, gather them by document, and cut the texts.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from fityard.llm.sketch import buckets_of, occurrence_levels
-from fityard.llm.textcols import U64, buffers, mix, pieces, word_hashes
-from fityard.runtime import written
+from fityard.llm.textcols import U64, buffers, mix, pieces, whole_groups, word_hashes
+from fityard.runtime import MAX_BROADCAST_ROWS, written
 
 BLOCK = 512            # rows of one token that are compared with each other as a unit
+NARROW = 96            # tokens up to which a line has 64 parity bits
+MAX_BITS = 1 << 14
 TOKEN_BITS = 42        # bits of a token's hash that tell tokens apart inside a set
 LINES_AT_ONCE = 60_000
 _LOW = U64((1 << TOKEN_BITS) - 1)
@@ -77,180 +79,198 @@ def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-def _classes(texts: DataFrame, levels, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Places of all lines that may have a match, and one row for each distinct set."""
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            for row, number, words, to in line_sets(batch.column(1)):
-                tokens, at = distinct_tokens(words, to, levels.value)
-                n = np.diff(at)
-                prefix = prefix_sizes(n, percent)
-                rank = np.arange(len(tokens)) - np.repeat(at[:-1], n)
-                shared = (tokens >> U64(TOKEN_BITS) > 1) & (rank < np.repeat(prefix, n))
-                live = np.flatnonzero(np.add.reduceat(shared, at[:-1]) > 0)
-                one = np.add.reduceat(mix(tokens), at[:-1])
-                two = np.add.reduceat(mix(tokens ^ U64(0x5851F42D4C957F2D)), at[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row[live])), pa.array(number[live], pa.int64()),
-                     pa.array(one[live].view(np.int64)), pa.array(two[live].view(np.int64)),
-                     pa.array([tokens[at[i]:at[i + 1]].tobytes() for i in live], pa.binary())],
-                    names=["id", "line", "k1", "k2", "tokens"])
+def _keys(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that lines with equal sets have in common."""
+    return (np.add.reduceat(mix(tokens), at[:-1]), np.add.reduceat(mix(tokens ^ U64(0x5851F42D4C957F2D)), at[:-1]))
 
-    rows = texts.mapInArrow(emit, "id bigint, line bigint, k1 bigint, k2 bigint, tokens binary")
-    # The same set may be emitted very often: map-side combined to one row for each task and set.
-    first = rows.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("first"), F.min("tokens").alias("tokens"))
-    return rows.select("id", "line", "k1", "k2"), first
 
+def _parities(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Each line's parity bits: bit i tells whether an odd number of tokens hash to it. Two sets differ in at least as
+    many tokens as their bits differ. 64 bits up to ``NARROW`` tokens, else about one for each token; folding
+    the halves of the longer one gives the bits of the shorter."""
+    n = np.diff(at)
+    where = mix(tokens)
+    line = np.repeat(np.arange(len(n)), n)
+    flips = np.bincount(line * 64 + (where & U64(63)).astype(np.int64), minlength=64 * len(n)) & 1
+    out = [x.tobytes() for x in np.packbits(flips.astype(np.uint8).reshape(-1, 64), axis=1)]
+    for i in np.flatnonzero(n > NARROW):
+        bits = min(1 << int(n[i] - 1).bit_length(), MAX_BITS)
+        own = np.bincount((where[at[i]:at[i + 1]] & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out[i] = np.packbits(own.astype(np.uint8)).tobytes()
+    return out
 
-def _postings(classes: DataFrame, percent: int) -> DataFrame:
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                rows = batch.slice(a, 2048)
-                sets = [np.frombuffer(t, dtype=U64) for t in rows.column(1).to_pylist()]
-                n = np.array([len(s) for s in sets], dtype=np.int64)
-                prefix = prefix_sizes(n, percent)
-                picks = [np.flatnonzero(s[:p] >> U64(TOKEN_BITS) > 1) for s, p in zip(sets, prefix)]
-                count = [len(p) for p in picks]
-                which = pa.array(np.repeat(np.arange(len(sets)), count))
-                token = np.concatenate([s[p] for s, p in zip(sets, picks)]) if sets else np.zeros(0, U64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), rows.column(0).take(which),
-                     pa.array(np.concatenate(picks) if sets else [], pa.int32())],
-                    names=["token", "class", "position"])
 
-    return classes.select("class", "tokens").mapInArrow(post, "token bigint, class bigint, position int")
+def _apart(x: bytes, y: bytes) -> int:
+    """Number of bits in which two parities differ, the longer one folded to the length of the shorter."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
-def _matches(units: DataFrame, percent: int) -> DataFrame:
-    """``(class, n_links, earliest)``: for each class the matching classes counted in the unit, and the first
-    place among them. A pair is counted only under the first token that its two sets share."""
+def _postings(texts: DataFrame, levels, percent: int) -> DataFrame:
+    """``(token, class, size, position, parity)``, for the distinct lines of each batch."""
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, words, to in line_sets(batch.column(0)):
+                tokens, at = distinct_tokens(words, to, levels.value)
+                one, _ = _keys(tokens, at)
+                size = np.diff(at)
+                rank = np.arange(len(tokens)) - np.repeat(at[:-1], size)
+                first = np.zeros(len(size), dtype=bool)
+                first[np.unique(one, return_index=True)[1]] = True
+                pick = (tokens >> U64(TOKEN_BITS) > 1) & (rank < np.repeat(prefix_sizes(size, percent), size))
+                pick = np.flatnonzero(pick & np.repeat(first, size))
+                line = np.searchsorted(at, pick, side="right") - 1
+                parity = pa.array(_parities(tokens, at), pa.binary())
+                for k in range(0, len(pick), 50_000):
+                    t, own = pick[k:k + 50_000], line[k:k + 50_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(tokens[t].view(np.int64)), pa.array(one[own].view(np.int64)),
+                         pa.array(size[own], pa.int32()), pa.array(rank[t], pa.int32()),
+                         parity.take(pa.array(own))], names=["token", "class", "size", "position", "parity"])
+
+    return texts.select("text").mapInArrow(
+        post, "token bigint, class bigint, size int, position int, parity binary")
+
+
+def _candidates(units: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of classes that pass all filters under some token. Rows come by unit and size."""
     q, d = percent, 100 + percent
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit, rows in _by_unit(batches):
-            n = len(rows)
-            sets = [np.frombuffer(t, dtype=U64) for t in rows["tokens"]]
-            size = np.array([len(s) for s in sets])
-            token = rows["token"][0]
-            position, side, place = rows["position"], rows["side"], rows["place"]
-            links, earliest = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max)
-            bits = np.array([_parity(s) for s in sets])
-            for i in range(n - 1):
-                # Sizes ascend, so the first too long set ends the row (length filter).
-                to = int(np.searchsorted(size, size[i] * 100 // q, side="right"))
-                j = np.arange(i + 1, to)
-                if side[i] >= 0:
-                    j = j[side[j] != side[i]]
-                if not len(j):
-                    continue
+        for table in whole_groups(batches, 20_000):
+            unit, cls, size, position, side = (table.column(i).to_numpy() for i in range(5))
+            parity = table.column(5).to_pylist()
+            narrow = np.array([np.frombuffer(p[:8], dtype=U64)[0] if len(p) == 8 else 0 for p in parity], dtype=U64)
+            wide = np.array([len(p) > 8 for p in parity])
+            size = size.astype(np.int64)
+            left, found = np.arange(len(unit)), []
+            for s in range(1, len(unit)):
+                left = left[left + s < len(unit)]
+                # Sizes ascend within a unit: who is too small for this one is so for all that follow (length).
+                left = left[(unit[left + s] == unit[left]) & (100 * size[left] >= q * size[left + s])]
+                if not len(left):
+                    break
+                i = left[(cls[left] != cls[left + s]) & ((side[left] < 0) | (side[left] != side[left + s]))]
+                j = i + s
                 need = -(-q * (size[i] + size[j]) // d)
                 room = np.minimum(size[i] - position[i], size[j] - position[j])
-                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
-                j = j[(room >= need) & (apart <= size[i] + size[j] - 2 * need)]
-                for m in j:
-                    a, b = sets[i], sets[m]
-                    common = np.intersect1d(a, b, assume_unique=True)
-                    if 100 * len(common) >= q * (size[i] + size[m] - len(common)) and common[0] == token:
-                        links[i] += 1
-                        links[m] += 1
-                        earliest[i] = min(earliest[i], place[m])
-                        earliest[m] = min(earliest[m], place[i])
-            hit = np.flatnonzero(links)
-            if len(hit):
+                slack = size[i] + size[j] - 2 * need
+                ok = (room >= need) & (wide[i] | wide[j] | (np.bitwise_count(narrow[i] ^ narrow[j]) <= slack))
+                i, j, slack = i[ok], j[ok], slack[ok]
+                far = np.array([(wide[x] or wide[y]) and _apart(parity[x], parity[y]) > z
+                                for x, y, z in zip(i.tolist(), j.tolist(), slack.tolist())], dtype=bool)
+                found.append((cls[i[~far]], cls[j[~far]]))
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found))
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return (units.repartition("unit").sortWithinPartitions("unit", "size", "class")
+            .mapInArrow(compare, "a bigint, b bigint").distinct())
+
+
+def _places(texts: DataFrame, levels, again, wanted) -> DataFrame:
+    """``(id, line, k1, k2, tokens)`` of the lines whose key may occur again or be in a candidate pair; the latter
+    with their tokens, once a batch."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for row, number, words, to in line_sets(batch.column(1)):
+                tokens, at = distinct_tokens(words, to, levels.value)
+                one, two = _keys(tokens, at)
+                bucket = buckets_of(mix(one))
+                full = wanted.value[bucket] > 0
+                live = np.flatnonzero(full | (again.value[bucket] > 1))
+                first = np.zeros(len(one), dtype=bool)
+                first[np.unique(one, return_index=True)[1]] = True
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows["class"][hit]), pa.array(links[hit]), pa.array(earliest[hit])],
-                    names=["class", "n_links", "earliest"])
-
-    return (units.repartition("unit").sortWithinPartitions("unit", F.octet_length("tokens"), "class")
-            .mapInArrow(compare, "class bigint, n_links bigint, earliest bigint"))
-
-
-def _parity(tokens: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of the tokens that hash to it: two sets differ in at least as many tokens
-    as their bits differ."""
-    flips = np.bincount((mix(tokens) & U64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(flips.astype(np.uint8)).view(U64)
-
-
-def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
-    names = ["unit", "token", "class", "position", "side", "place", "tokens"]
-
-    def group(held: pa.Table) -> Iterator[tuple[int, dict]]:
-        unit = held.column(0).to_numpy()
-        edge = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
-        many = np.flatnonzero(np.diff(edge) > 1)
-        for k in many:
-            part = held.slice(edge[k], edge[k + 1] - edge[k])
-            rows = {c: part.column(i).to_numpy() for i, c in enumerate(names[:-1])}
-            rows["token"] = rows["token"].view(U64)
-            rows["tokens"] = part.column(6).to_pylist()
-            yield int(unit[edge[k]]), _Rows(rows)
+                    [ids.take(pa.array(row[live])), pa.array(number[live], pa.int64()),
+                     pa.array(one[live].view(np.int64)), pa.array(two[live].view(np.int64)),
+                     pa.array([tokens[at[i]:at[i + 1]].tobytes() if full[i] and first[i] else None
+                               for i in live], pa.binary())], names=["id", "line", "k1", "k2", "tokens"])
 
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-        unit = held.column(0).to_numpy()
-        last = int(np.flatnonzero(unit == unit[-1])[0])
-        if last:
-            yield from group(held.slice(0, last))
-            held = held.slice(last)
-    if held is not None:
-        yield from group(held)
+    return texts.mapInArrow(emit, "id bigint, line bigint, k1 bigint, k2 bigint, tokens binary")
 
 
-class _Rows(dict):
-    def __len__(self) -> int:
-        return len(self["class"])
+def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``(class, n_links, earliest)``: how many other classes match, and the first place among them."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ok = []
+            for x, y in zip(a, b):
+                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * common >= percent * (len(x) + len(y) - common))
+            some = batch.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(4), some.column(5)],
+                                             names=["a", "b", "place_a", "place_b"])
+
+    side = {c: classes.filter("tokens is not null").select(
+        F.col("k1").alias(c), F.col("tokens").alias(f"tokens_{c}"), F.col("place").alias(f"place_{c}")) for c in "ab"}
+    held = (pairs.join(side["a"], "a").join(side["b"], "b")
+            .select("a", "b", "tokens_a", "tokens_b", "place_a", "place_b")
+            .mapInArrow(check, "a bigint, b bigint, place_a bigint, place_b bigint"))
+    ways = F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("place_b").alias("place")),
+                             F.struct(F.col("b").alias("class"), F.col("place_a").alias("place"))))
+    return held.select(ways.alias("w")).groupBy(F.col("w.class").alias("class")).agg(
+        F.count("*").alias("n_links"), F.min("w.place").alias("earliest"))
 
 
 def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """``(id, line, n_links, first_id, removed)`` for every line that has a match, and the texts
-    ``(id, text, row)`` they refer to. ``n_links`` counts the other distinct token sets that match the
-    line's, ``first_id`` is the id of the earliest matching line (the line itself, if it is the first)."""
+    """``(id, line, n_links, first_id, removed)`` for the lines that match another one (and for a few others that share
+    a bucket with such a line), and the texts ``(id, text, row)`` they refer to. ``n_links`` counts the other
+    distinct token sets that match the line's, ``first_id`` is the id of the earliest matching line (of the line
+    itself, if it is the first)."""
     texts = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"),
                         F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != text_col)).alias("row"))
-    levels = occurrence_levels(texts.select("text"), lambda batch: (
-        np.concatenate([_first_bits(words, to)]) for _, _, words, to in line_sets(batch.column(0))))
-    places, first = _classes(texts.filter("id is not null").select("id", "text"), levels, percent)
-    places = written(places, "lines")
-    classes = written(first.select(
-        F.xxhash64("k1", "k2").alias("class"), "k1", "k2", "tokens",
-        # One integer that orders places: documents may have up to 2^24 lines.
-        F.col("first.id").alias("first_id"), F.col("first.line").alias("first_line"),
-        (F.shiftleft(F.col("first.id"), 24) + F.least(F.col("first.line"), F.lit((1 << 24) - 1))).alias("place")),
-        "line-sets")
-    posted = written(_postings(classes, percent), "postings")
-    counted = posted.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    live = posted.join(counted, "token").join(classes.select("class", "tokens", "place"), "class")
-    blocks = F.expr(f"cast(ceil(n / {BLOCK}) as int)")
-    at = F.pmod(F.xxhash64("class", "token"), blocks).cast("int")
+    known = texts.filter("id is not null").select("id", "text")
+    levels = occurrence_levels(known.select("text"), lambda batch: (
+        _once_a_line(words, to) for _, _, words, to in line_sets(batch.column(0))))
+    again = occurrence_levels(known.select("text"), lambda batch: (
+        mix(_keys(*distinct_tokens(words, to, levels.value))[0]) for _, _, words, to in line_sets(batch.column(0))))
+
+    posted = _postings(known, levels, percent)
+    hot = written(posted.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "hot-tokens")
+    small = hot.count() <= MAX_BROADCAST_ROWS  # two numbers a row
+    blocks = F.coalesce(F.expr(f"cast(ceil(n / {BLOCK}) as int)"), F.lit(1))
+    at = F.pmod(F.xxhash64("class", "token"), F.col("nb")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1),
                        lambda j: F.struct(F.least("at", j).alias("i"), F.greatest("at", j).alias("j")))
-    units = live.withColumn("nb", blocks).withColumn("at", at).withColumn("u", F.explode(pair)).select(
-        F.xxhash64("token", "u.i", "u.j").alias("unit"), "token", "class", "position",
+    units = (posted.join(F.broadcast(hot) if small else hot, "token", "left").withColumn("nb", blocks)
+             .withColumn("at", at).withColumn("u", F.explode(pair)).select(
+        F.xxhash64("token", "u.i", "u.j").alias("unit"), "class", "size", "position",
         F.when(F.col("u.i") == F.col("u.j"), -1).when(F.col("at") == F.col("u.i"), 0).otherwise(1).alias("side"),
-        "place", "tokens")
-    found = _matches(units, percent).groupBy("class").agg(
-        F.sum("n_links").alias("n_links"), F.min("earliest").alias("earliest"))
-    decided = written(classes.select("class", "k1", "k2", "first_id", "first_line", "place")
-                      .join(found, "class", "left"), "line-decisions")
-    lines = places.join(decided, ["k1", "k2"])
-    is_first = (F.col("id") == F.col("first_id")) & (F.col("line") == F.col("first_line"))
+        "parity"))
+    pairs = written(_candidates(units, percent), "line-pairs")
+
+    wanted = occurrence_levels(pairs, lambda batch: [
+        mix(np.asarray(batch.column(i)).view(U64)) for i in range(2)])
+    places = written(_places(known, levels, again, wanted), "lines")
+    # One integer that orders places: documents may have up to 2^24 lines.
+    place = F.shiftleft(F.col("first.id"), 24) + F.least(F.col("first.line"), F.lit((1 << 24) - 1))
+    classes = written(places.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("first"),
+                                                     F.min("tokens").alias("tokens"))
+                      .withColumn("place", place), "line-sets")
+    found = _verified(pairs, classes, percent)
+    decided = written(classes.select("k1", "k2", "first", "place").join(
+        found.withColumnRenamed("class", "k1"), "k1", "left"), "line-decisions")
+    lines = places.select("id", "line", "k1", "k2").join(decided, ["k1", "k2"])
+    is_first = (F.col("id") == F.col("first.id")) & (F.col("line") == F.col("first.line"))
     nearest = F.shiftright("earliest", 24)
     lines = lines.select("id", "line", F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                         F.least("first_id", F.coalesce(nearest, "first_id")).alias("first_id"),
+                         F.least(F.col("first.id"), F.coalesce(nearest, F.col("first.id"))).alias("first_id"),
                          (~is_first | F.coalesce(F.col("earliest") < F.col("place"), F.lit(False))).alias("removed"))
     return lines, texts
 
 
-def _first_bits(words: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Each line's distinct tokens as the full hashes they came from, to be counted once a line."""
+def _once_a_line(words: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The hashes of each line's distinct tokens."""
     line = np.repeat(np.arange(len(to) - 1), np.diff(to))
     order = np.lexsort((words, line))
     words, line = words[order], line[order]

@@ -122,3 +122,21 @@ def texts_words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int
     for a, b in pieces(offsets):
         words, at = word_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], lower)
         yield a, b, words, at
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], least_rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, of about ``least_rows`` rows; batches come sorted by the first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(h.num_rows for h in held) < least_rows:
+            continue
+        key = np.asarray(batch.column(0))
+        last = int(np.searchsorted(key, key[-1]))
+        if last or (len(held) > 1 and held[-2].column(0)[-1].as_py() != key[0]):
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, last)])
+            held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
