@@ -6,7 +6,7 @@
    (``match_threshold``). Such a pair shares one of the ``K - T + 1`` coordinate-value pairs that come
    first in any common order, so a class is posted only under its rarest ones (prefix).
 3. Under each value, collisions are counted on the whole signatures; pairs below ``T`` go. Pairs of
-   classes that are known to be connected are skipped: a first pass takes one candidate for each
+   classes that are known to be connected are skipped: a first pass takes the best candidate of each
    class, a second one all that remain between different components.
 4. Every candidate is confirmed on the full shingle sets; confirmed links give the components.
 
@@ -132,28 +132,28 @@ def _low_bytes(sig: pa.Array) -> np.ndarray:
 
 
 def _pairs(blocks: DataFrame, threshold: int, all_pairs: bool) -> DataFrame:
-    """Candidate pairs ``(a, b)``, a < b, within the rows of each unit.
+    """Candidate pairs ``(a, b, agreed)``, a < b, within the rows of each unit.
 
     ``blocks``: unit (bigint), side (-1: one block against itself; else which of two blocks), rep,
     component, low (lowest byte of each coordinate). Collisions of low bytes can only add candidates.
-    With ``all_pairs`` every candidate between different components; else for each row the first row of
-    the unit, in the order of rep, that it agrees with and that isn't itself taken by another.
+    With ``all_pairs`` every candidate between different components; else for each row of a large unit the
+    one before it, in the order of rep, that agrees with it in most coordinates.
     """
-    def found(rep, comp, side, low) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def found(rep, comp, side, low) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         n = len(rep)
         if all_pairs:
             for i in range(n):
                 rest = np.flatnonzero((comp[i + 1:] != comp[i]) & ((side[i + 1:] != side[i]) | (side[i] < 0))) + i + 1
                 if len(rest):
-                    rest = rest[(low[rest] == low[i]).sum(axis=1) >= threshold]
-                    yield np.full(len(rest), rep[i]), rep[rest]
+                    like = (low[rest] == low[i]).sum(axis=1)
+                    rest, like = rest[like >= threshold], like[like >= threshold]
+                    yield np.full(len(rest), rep[i]), rep[rest], like
             return
-        left = np.arange(n)
-        while len(left) > 1:
-            like = (low[left[1:]] == low[left[0]]).sum(axis=1) >= threshold
-            taken = left[1:][like]
-            yield np.full(len(taken), rep[left[0]]), rep[taken]
-            left = left[1:][~like]
+        for i in range(1, n):
+            like = (low[:i] == low[i]).sum(axis=1)
+            j = int(like.argmax())
+            if like[j] >= threshold:
+                yield np.array([rep[j]]), np.array([rep[i]]), like[j:j + 1]
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held = None
@@ -182,18 +182,19 @@ def _pairs(blocks: DataFrame, threshold: int, all_pairs: bool) -> DataFrame:
                                    & ((side[s:] != side[:-s]) | (side[s:] < 0)))
                 for a in range(0, len(i), 65536):
                     j = i[a:a + 65536]
-                    j = j[(low[j] == low[j + s]).sum(axis=1) >= threshold]
-                    out.append((rep[j], rep[j + s]))
+                    like = (low[j] == low[j + s]).sum(axis=1)
+                    j, like = j[like >= threshold], like[like >= threshold]
+                    out.append((rep[j], rep[j + s], like))
             for a, b in zip(edge[:-1][size > SMALL], edge[1:][size > SMALL]):
                 out += found(rep[a:b], comp[a:b], side[a:b], low[a:b])
             if out:
-                a, b = (np.concatenate(x) for x in zip(*out))
+                a, b, like = (np.concatenate(x) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())],
-                    names=["a", "b"])
+                    [pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()),
+                     pa.array(like, pa.int32())], names=["a", "b", "agreed"])
 
     return (blocks.select("unit", "side", "rep", "component", "low").repartition("unit")
-            .sortWithinPartitions("unit", "rep").mapInArrow(match, "a bigint, b bigint").distinct())
+            .sortWithinPartitions("unit", "rep").mapInArrow(match, "a bigint, b bigint, agreed int"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -257,7 +258,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = live.select(F.xxhash64("value", block).alias("unit"), F.lit(-1).alias("side"), "rep",
                       F.col("rep").alias("component"), "low")
     first = written(_pairs(own, threshold, all_pairs=False)
-                    .groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
+                    .groupBy("b").agg(F.max(F.struct("agreed", (-F.col("a")).alias("minus_a"))).alias("best"))
+                    .select((-F.col("best.minus_a")).alias("a"), "b"), "first-pairs")
     texts_of = texts.filter("id is not null")
     links = written(_confirmed(first, texts_of, classes, shingle_words, percent, 100), "first-links")
     component = connected_components(links)
@@ -273,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.xxhash64("value", "u.i", "u.j").alias("unit"),
         F.when(F.col("u.i") == F.col("u.j"), -1).when(F.col("at") == F.col("u.i"), 0).otherwise(1).alias("side"),
         "rep", "component", "low")
-    rest = written(_pairs(units, threshold, all_pairs=True).join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = written(_pairs(units, threshold, all_pairs=True).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     links = written(links.unionByName(
         _confirmed(rest, texts_of, classes, shingle_words, percent, 100)), "links")
     component = connected_components(links)
