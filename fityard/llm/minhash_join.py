@@ -31,7 +31,8 @@ from fityard.runtime import written
 
 COORDINATES = 64
 MISS = 1e-7  # chance that a pair of exactly the wanted similarity agrees in too few coordinates
-BLOCK = 1024
+BLOCK = 4096
+PARITY_BITS = 1024
 SMALL = 12
 _TO_SIGNED = np.int64(-1 << 63)
 
@@ -79,22 +80,31 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
             int(_signed(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).reshape(1))[0]))
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of the set's hashes fall on it: two sets differ in at least as many
+    elements as their bits differ."""
+    odd = np.bincount((mix(s) & U64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _signatures(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factor, shift = _coefficients(coordinates)
         for batch in batches:
-            n, one, two, sig = [], [], [], []
+            n, one, two, sig, parity = [], [], [], [], []
             for _, s in _sets(batch.column(1), k):
                 x, y = _set_key(s)
                 n.append(len(s))
                 one.append(x)
                 two.append(y)
                 sig.append(signature(s, factor, shift).tobytes() if len(s) else None)
+                parity.append(_parity(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
-                 pa.array(two, pa.int64()), pa.array(sig, pa.binary())], names=["id", "n", "k1", "k2", "sig"])
+                 pa.array(two, pa.int64()), pa.array(sig, pa.binary()), pa.array(parity, pa.binary())],
+                names=["id", "n", "k1", "k2", "sig", "parity"])
 
-    return docs.mapInArrow(sign, "id bigint, n bigint, k1 bigint, k2 bigint, sig binary")
+    return docs.mapInArrow(sign, "id bigint, n bigint, k1 bigint, k2 bigint, sig binary, parity binary")
 
 
 def _coordinate_values(sig: pa.Array, coordinates: int) -> np.ndarray:
@@ -131,15 +141,22 @@ def _low_bytes(sig: pa.Array) -> np.ndarray:
     return values.reshape(len(sig), -1)
 
 
-def _pairs(blocks: DataFrame, threshold: int, all_pairs: bool) -> DataFrame:
+def _pairs(blocks: DataFrame, threshold: int, percent: int, all_pairs: bool) -> DataFrame:
     """Candidate pairs ``(a, b, agreed)``, a < b, within the rows of each unit.
 
     ``blocks``: unit (bigint), side (-1: one block against itself; else which of two blocks), rep,
-    component, low (lowest byte of each coordinate). Collisions of low bytes can only add candidates.
+    component, low (lowest byte of each coordinate), n (set size) and parity. Collisions of low bytes can only add
+    candidates; with parities, pairs go whose bits differ in more places than similar sets may differ in elements.
     With ``all_pairs`` every candidate between different components; else for each row of a large unit the
     one before it, in the order of rep, that agrees with it in most coordinates.
     """
-    def found(rep, comp, side, low) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def alike(i, j, n, bits) -> np.ndarray:
+        if not bits.shape[1]:
+            return np.ones(len(j), dtype=bool)
+        # |A - B| + |B - A| <= (n_a + n_b) (1 - s) / (1 + s) at a similarity of s or more.
+        return np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+
+    def found(rep, comp, side, low, n_of, bits) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         n = len(rep)
         if all_pairs:
             for i in range(n):
@@ -147,6 +164,8 @@ def _pairs(blocks: DataFrame, threshold: int, all_pairs: bool) -> DataFrame:
                 if len(rest):
                     like = (low[rest] == low[i]).sum(axis=1)
                     rest, like = rest[like >= threshold], like[like >= threshold]
+                    ok = alike(i, rest, n_of, bits)
+                    rest, like = rest[ok], like[ok]
                     yield np.full(len(rest), rep[i]), rep[rest], like
             return
         for i in range(1, n):
@@ -160,7 +179,8 @@ def _pairs(blocks: DataFrame, threshold: int, all_pairs: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [np.asarray(batch.column(i)) for i in range(4)] + [_low_bytes(batch.column(4))]
+            cols = [np.asarray(batch.column(i)) for i in range(4)] + [
+                _low_bytes(batch.column(4)), np.asarray(batch.column(5)), _low_bytes(batch.column(6)).view(U64)]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             last = int(np.searchsorted(cols[0], cols[0][-1]))  # sorted by unit; the last may go on
@@ -171,7 +191,7 @@ def _pairs(blocks: DataFrame, threshold: int, all_pairs: bool) -> DataFrame:
             yield held
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit, side, rep, comp, low in units(batches):
+        for unit, side, rep, comp, low, n_of, bits in units(batches):
             edge = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
             size = np.diff(edge)
             out = []
@@ -184,16 +204,18 @@ def _pairs(blocks: DataFrame, threshold: int, all_pairs: bool) -> DataFrame:
                     j = i[a:a + 65536]
                     like = (low[j] == low[j + s]).sum(axis=1)
                     j, like = j[like >= threshold], like[like >= threshold]
+                    ok = alike(j, j + s, n_of, bits)
+                    j, like = j[ok], like[ok]
                     out.append((rep[j], rep[j + s], like))
             for a, b in zip(edge[:-1][size > SMALL], edge[1:][size > SMALL]):
-                out += found(rep[a:b], comp[a:b], side[a:b], low[a:b])
+                out += found(*(x[a:b] for x in (rep, comp, side, low, n_of, bits)))
             if out:
                 a, b, like = (np.concatenate(x) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()),
                      pa.array(like, pa.int32())], names=["a", "b", "agreed"])
 
-    return (blocks.select("unit", "side", "rep", "component", "low").repartition("unit")
+    return (blocks.select("unit", "side", "rep", "component", "low", "size", "parity").repartition("unit")
             .sortWithinPartitions("unit", "rep").mapInArrow(match, "a bigint, b bigint, agreed int"))
 
 
@@ -244,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(_signatures(texts, shingle_words, coordinates), "signatures")
     linkable = signed.filter("n > 0 and id is not null")
     classes = written(linkable.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-                      .join(linkable.select(F.col("id").alias("rep"), "k1", "k2", "sig"), ["k1", "k2", "rep"])
+                      .join(linkable.select(F.col("id").alias("rep"), "n", "k1", "k2", "sig", "parity"), ["k1", "k2", "rep"])
                       .dropDuplicates(["k1", "k2"]), "classes")
 
     posted = written(_postings(classes, coordinates, threshold), "postings")
@@ -256,8 +278,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     block = F.pmod(F.xxhash64("rep", "value"), blocks).cast("int")
 
     own = live.select(F.xxhash64("value", block).alias("unit"), F.lit(-1).alias("side"), "rep",
-                      F.col("rep").alias("component"), "low")
-    first = written(_pairs(own, threshold, all_pairs=False)
+                      F.col("rep").alias("component"), "low", F.lit(0).cast("bigint").alias("size"),
+                      F.unhex(F.lit("")).alias("parity"))
+    first = written(_pairs(own, threshold, percent, all_pairs=False)
                     .groupBy("b").agg(F.max(F.struct("agreed", (-F.col("a")).alias("minus_a"))).alias("best"))
                     .select((-F.col("best.minus_a")).alias("a"), "b"), "first-pairs")
     texts_of = texts.filter("id is not null")
@@ -268,14 +291,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "component", F.coalesce("component", "rep"))
     open_values = (known.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y"))
                    .filter("x != y").select("value"))
-    still = known.join(open_values, "value").withColumn("nb", blocks).withColumn("at", block)
+    still = known.join(open_values, "value").join(
+        classes.dropDuplicates(["rep"]).select("rep", F.col("n").alias("size"), "parity"), "rep").withColumn("nb", blocks).withColumn("at", block)
     others = F.transform(F.sequence(F.lit(0), F.col("nb") - 1),
                          lambda j: F.struct(F.least("at", j).alias("i"), F.greatest("at", j).alias("j")))
     units = still.withColumn("u", F.explode(others)).select(
         F.xxhash64("value", "u.i", "u.j").alias("unit"),
         F.when(F.col("u.i") == F.col("u.j"), -1).when(F.col("at") == F.col("u.i"), 0).otherwise(1).alias("side"),
-        "rep", "component", "low")
-    rest = written(_pairs(units, threshold, all_pairs=True).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+        "rep", "component", "low", "size", "parity")
+    rest = written(_pairs(units, threshold, percent, all_pairs=True).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     links = written(links.unionByName(
         _confirmed(rest, texts_of, classes, shingle_words, percent, 100)), "links")
     component = connected_components(links)
