@@ -43,9 +43,10 @@ def text_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 
 
 def hash_terms(terms: list[str]) -> np.ndarray:
+    """Of each term the hash of the word and that of its beginning."""
     words, at = zip(*[(w, a) for _, w, a in text_words(pa.array(terms, pa.string()))]) if terms else ((), ())
-    out = np.concatenate(words)[::2] if words else np.zeros(0, U64)
-    if len(out) != len(terms):
+    out = np.concatenate(words) if words else np.zeros(0, U64)
+    if len(out) != 2 * len(terms):
         raise ValueError("a term must be one word")
     return out
 
