@@ -10,25 +10,29 @@ from fityard.runtime import join_lookup, new_table_path, written
 
 # Rows of one group that may share a task in a blocked computation.
 BLOCK_ROWS = 1 << 16
-MAX_BUCKETS = 4096
+# Distinct scores that may share a task in a running total.
+BUCKET_ROWS = 1 << 20
 
 
 def row_index(df: DataFrame, keys: list[str], out: str = "row_idx") -> DataFrame:
     """Dense 0-based position of every row in the order of ``keys`` (unique together).
 
-    The rows are range-partitioned, sorted and written once; the position inside a file is then read
-    from Parquet metadata, so that the second scan neither sorts nor shuffles.
+    The rows are range-partitioned, sorted and written once, one file for each partition; the position inside
+    a file is then read from Parquet metadata, so that the second scan neither sorts nor shuffles. Files are
+    ordered by the partition number that their rows carry, never by their names.
     """
     spark = df.sparkSession
     path = new_table_path(spark, "ordered")
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
-    rows = spark.read.schema(df.schema).parquet(path).select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    ordered = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+               .withColumn("_part", F.spark_partition_id()))
+    ordered.write.option("maxRecordsPerFile", 0).parquet(path)
+    rows = spark.read.schema(ordered.schema).parquet(path).select(
+        "*", F.col("_metadata.row_index").alias("_at"))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     # One row per written file, that is at most spark.sql.shuffle.partitions rows.
-    before = Window.orderBy(F.length("_file"), "_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (rows.join(F.broadcast(offsets), "_file")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (rows.join(F.broadcast(offsets), "_part")
             .select(*df.columns, (F.col("_off") + F.col("_at")).alias(out)))
 
 
@@ -85,7 +89,8 @@ def score_buckets(scores: DataFrame, score: str, out: str = "_bucket") -> DataFr
     the same buckets. Larger scores never get a smaller bucket, so only the place of the cuts is
     approximate, never a result that is put together from all buckets.
     """
-    n = min(max(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8), MAX_BUCKETS)
+    partitions = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(partitions, 8, -(-scores.count() // BUCKET_ROWS))  # the count reads Parquet footers
     cuts = sorted(set(scores.approxQuantile(score, [i / n for i in range(1, n)], 1 / (2 * n))))
     if not cuts:
         return scores.withColumn(out, F.lit(0))

@@ -118,12 +118,13 @@ def _as_value(metric: str) -> Column:
 
 
 def long_metrics(summary: DataFrame) -> DataFrame:
-    """``(run_id, library, model, result_type, metric, value)`` from a run summary."""
+    """``(run_id, library, model, result_type, metric, value)`` from a run summary;
+    runs without a model have none."""
     cells = F.array(*[
         F.struct(F.lit(kind).alias("result_type"), F.lit(m).alias("metric"),
                  _as_value(m).alias("value"))
         for kind, metrics in METRICS.items() for m in metrics])
-    return summary.select("run_id", "library", "model", F.inline(cells))
+    return summary.filter("model is not null").select("run_id", "library", "model", F.inline(cells))
 
 
 def select_metric(metrics: DataFrame, result_type: str) -> DataFrame:
@@ -137,14 +138,23 @@ def dimension_comparison(metrics: DataFrame, dimensions: DataFrame, lib_a: str =
                          lib_b: str = LIB_B.name) -> DataFrame:
     """Per model, metric and dimension value the mean over the runs of each library, side by side.
 
+    Failed runs carry a negative marker instead of a value: they are counted (``failures_a``, ``failures_b``) and
+    left out of the mean, which is -1 only if all runs of the library have failed.
+
     ``dimensions`` is ``(run_id, dimension)``, for example the number of training rows or workers.
     """
     def mean(lib):
-        return F.avg(F.when(F.col("library") == lib, F.col("value")))
+        own = F.col("library") == lib
+        return F.coalesce(F.avg(F.when(own & (F.col("value") >= 0), F.col("value"))),
+                          F.max(F.when(own & (F.col("value") < 0), F.lit(-1.0))))
+
+    def failures(lib):
+        return F.count(F.when((F.col("library") == lib) & (F.col("value") < 0), True))
 
     return (metrics.join(dimensions.select("run_id", "dimension"), "run_id")
             .groupBy("model", "result_type", "metric", "dimension")
-            .agg(mean(lib_a).alias("value_a"), mean(lib_b).alias("value_b")))
+            .agg(mean(lib_a).alias("value_a"), mean(lib_b).alias("value_b"),
+                 failures(lib_a).alias("failures_a"), failures(lib_b).alias("failures_b")))
 
 
 def interleaved_series(members: DataFrame, dimensions: DataFrame, short_names: dict[str, str]) -> DataFrame:

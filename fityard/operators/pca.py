@@ -115,16 +115,23 @@ def collect_matrix(long: DataFrame, n: int, value_col: str) -> np.ndarray:
     return matrix
 
 
-def power_components(gram: np.ndarray, k: int, steps: int = 10_000,
-                     tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
-    """Leading ``k`` eigenvectors and eigenvalues by power iteration with deflation.
+def power_components(gram: np.ndarray, k: int, steps: int | None = None,
+                     tol: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Leading ``k`` eigenvectors and eigenvalues of a symmetric matrix, largest eigenvalue first.
 
-    Every component starts from the vector of ones and stops when a step moves it by at most ``tol``,
-    or after ``steps`` steps; with ``tol = 0`` the number of steps is fixed.
+    By default from the full decomposition, with signs that make each vector's entries sum to at least 0. With
+    ``steps``, by so many steps of power iteration with deflation from the vector of ones; if a ``tol`` above 0 is given
+    and a component still moves by more, or isn't an eigenvector to that precision, that is an error.
     """
     n = gram.shape[0]
     if not 1 <= k <= n:
         raise ValueError(f"k must lie between 1 and {n}")
+    if not np.isfinite(gram).all():
+        raise ValueError("the moments aren't finite; impute or drop missing values first")
+    if steps is None:
+        values, vectors = np.linalg.eigh(gram)
+        vectors, values = vectors[:, ::-1][:, :k], values[::-1][:k]
+        return vectors * np.where(vectors.sum(axis=0) < 0, -1.0, 1.0), values
     rest, vectors, values = np.array(gram, dtype=float), [], []
     for _ in range(k):
         v = np.ones(n) / np.sqrt(n)
@@ -137,6 +144,8 @@ def power_components(gram: np.ndarray, k: int, steps: int = 10_000,
             if tol > 0 and np.linalg.norm(v - old) <= tol:
                 break
         value = float(v @ rest @ v)
+        if tol > 0 and np.linalg.norm(rest @ v - value * v) > max(tol, 1e-12) * max(np.trace(gram), 1e-300):
+            raise ValueError(f"component {len(values)} has not converged after {steps} steps")
         vectors.append(v)
         values.append(value)
         rest = rest - value * np.outer(v, v)

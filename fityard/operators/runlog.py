@@ -226,10 +226,13 @@ def model_summary(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 def run_summary(events: DataFrame, profiles: Sequence[LibraryProfile] = (LIB_A, LIB_B),
                 block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """:func:`model_summary` with the run's number of setup events and their total time."""
+    """:func:`model_summary` with the run's number of setup events and their total time.
+
+    A run with setup events but without any Training keeps one row, whose model and results are null.
+    """
     setup = setup_times(events, profiles, block_rows).groupBy("run_id").agg(
         F.count("*").alias("setup_events"), F.sum("setup_us").alias("setup_us"))
-    return model_summary(events, block_rows).join(setup, "run_id", "left").withColumns({
+    return model_summary(events, block_rows).join(setup, "run_id", "full").withColumns({
         "setup_events": F.coalesce("setup_events", F.lit(0)),
         "setup_us": F.coalesce("setup_us", F.lit(0)),
     })

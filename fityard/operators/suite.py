@@ -59,6 +59,7 @@ def fit_all_models(train: DataFrame, test: DataFrame, models: dict[str, ModelEnt
     rows = []
     try:
         for ord_, (name, entry) in enumerate(models.items()):
+            on_train = None
             try:
                 model = entry.fit(train)
                 on_train = entry.train_metric(model)
@@ -69,7 +70,7 @@ def fit_all_models(train: DataFrame, test: DataFrame, models: dict[str, ModelEnt
                 rows.append((ord_, name, True, None, on_train, on_test))
             except Exception as failure:  # one model must not stop the others
                 reason = (str(failure) or type(failure).__name__).splitlines()[0]
-                rows.append((ord_, name, False, reason, None, None))
+                rows.append((ord_, name, False, reason, on_train, None))
     finally:
         train.unpersist()
         test.unpersist()

@@ -202,8 +202,12 @@ def _metric(spark, sf_dir):
 
 @query("dimension_comparison", f"""with {LONG_SQL}
 select model, result_type, metric, (pair_idx + 1) * 36000 as dimension,
-       avg(value) filter (where lm.library = 'lib_a') as value_a,
-       avg(value) filter (where lm.library = 'lib_b') as value_b
+       coalesce(avg(value) filter (where lm.library = 'lib_a' and value >= 0),
+                max(-1.0::double) filter (where lm.library = 'lib_a' and value < 0)) as value_a,
+       coalesce(avg(value) filter (where lm.library = 'lib_b' and value >= 0),
+                max(-1.0::double) filter (where lm.library = 'lib_b' and value < 0)) as value_b,
+       count(*) filter (where lm.library = 'lib_a' and value < 0) as failures_a,
+       count(*) filter (where lm.library = 'lib_b' and value < 0) as failures_b
 from lm join members using (run_id) group by 1, 2, 3, 4""")
 def _dimension(spark, sf_dir):
     members = _members(spark, sf_dir)

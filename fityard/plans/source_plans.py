@@ -88,14 +88,15 @@ def _export(spark, sf_dir):
     return back.toDF("label", *[f"f{i}" for i in range(EMB_WIDTH)])
 
 
-def _log_files(spark, sf_dir) -> str:
-    def make() -> str:
-        path = new_table_path(spark, "run-logs")
-        write_run_logs(run_log(spark, sf_dir).withColumn(
-            "start_time_epoch", F.col("epoch_us") / 1e6), path)
-        return path
+def _new_log_files(spark, sf_dir) -> str:
+    path = new_table_path(spark, "run-logs")
+    write_run_logs(run_log(spark, sf_dir).withColumn(
+        "start_time_epoch", F.col("epoch_us") / 1e6), path)
+    return path
+
 
-    return once(spark, "log_files", sf_dir, make)
+def _log_files(spark, sf_dir) -> str:
+    return once(spark, "log_files", sf_dir, lambda: _new_log_files(spark, sf_dir))
 
 
 @query("read_run_log", f"""with {LOG_SQL}
@@ -112,7 +113,7 @@ select run_id, count(*) as n_events, arg_min(event, pos) as first_event,
 from lg group by 1""")
 def _write_log(spark, sf_dir):
     lines = spark.read.schema("run_id bigint, segment bigint, events array<struct<event:string>>").json(
-        _log_files(spark, sf_dir))
+        _new_log_files(spark, sf_dir))
     names = F.col("events.event")
     return lines.groupBy("run_id").agg(
         F.sum(F.size(names)).alias("n_events"),

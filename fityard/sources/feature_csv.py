@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +25,9 @@ def _files_of_prefix(spark: SparkSession, path: str, spec: DatasetSpec, rows: in
     Files are counted in batches of growing size, so that a short prefix of a long table does not
     cost a pass over the whole table.
     """
-    files = sorted(scan_feature_csv(spark, path, spec).inputFiles())
+    # Names come encoded as URLs, and paths are read as patterns.
+    files = sorted(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f))
+                   for f in scan_feature_csv(spark, path, spec).inputFiles())
     if len(files) == 1:
         return files
     taken, batch, have = 0, 1, 0

@@ -8,6 +8,9 @@ ever builds a run of any length in memory.
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,11 +32,14 @@ def _segments(events: DataFrame, segment_events: int) -> DataFrame:
     fields = [F.col(c) for c in EVENT_FIELDS if c in events.columns]
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("e"))))
     return (events.groupBy("run_id", F.expr(f"pos div {segment_events}").alias("segment"))
-            .agg(F.transform(ordered, lambda x: x["e"]).alias("events")))
+            .agg(F.min("pos").alias("first_pos"), F.transform(ordered, lambda x: x["e"]).alias("events")))
 
 
 def _events(segments: DataFrame, segment_events: int) -> DataFrame:
+    """Positions follow from the segment's own first position, where it is stored."""
     first = F.col("segment").cast("bigint") * segment_events
+    if "first_pos" in segments.columns:
+        first = F.coalesce(F.col("first_pos"), first)
     return (segments.select("run_id", first.alias("_first"), F.posexplode("events").alias("_p", "_e"))
             .select("run_id", (F.col("_first") + F.col("_p")).alias("pos"), "_e.*"))
 
@@ -46,11 +52,11 @@ def write_run_logs(events: DataFrame, path: str, segment_events: int = SEGMENT_E
 def read_run_logs(spark: SparkSession, path: str | list[str], run_id_type: str = "string",
                   segment_events: int = SEGMENT_EVENTS) -> DataFrame:
     """Read the bulk layout into ``(run_id, pos, event, value, execution_time, start_time,
-    start_time_epoch)``."""
+    start_time_epoch)``. A broken line is an error. ``segment_events`` matters only for files without ``first_pos``."""
     schema = T.StructType([
         T.StructField("run_id", T.StringType()), T.StructField("segment", T.LongType()),
-        T.StructField("events", T.ArrayType(EVENT_TYPE))])
-    segments = spark.read.schema(schema).json(path)
+        T.StructField("first_pos", T.LongType()), T.StructField("events", T.ArrayType(EVENT_TYPE))])
+    segments = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     return _events(segments.withColumn("run_id", F.col("run_id").cast(run_id_type)), segment_events)
 
 
@@ -66,13 +72,27 @@ def read_run_files(spark: SparkSession, path: str | list[str],
                    segment_events: int = SEGMENT_EVENTS) -> DataFrame:
     """Read files of one JSON array each, with the columns of :func:`read_run_logs`.
 
-    A folder of :func:`write_run_files` keeps its run ids; otherwise each file is one run and its id
-    is the file name without extension.
+    A folder of :func:`write_run_files` keeps its run ids; otherwise each file is one run and its id is the
+    file's path below the folder that all given paths have in common, without extension: equal names in different
+    folders are different runs. A file that isn't one JSON array is an error. This layout needs a
+    whole file in one row.
     """
     files = spark.read.text(path, wholetext=True)
     if not {"run_id", "segment"} <= set(files.columns):
-        name = F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1)
-        files = files.select("value", F.regexp_replace(name, r"\.[^.]*$", "").alias("run_id"),
+        # Paths come encoded as URLs; a plus sign stands for itself there.
+        full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        root = F.lit(_common_folder([path] if isinstance(path, str) else path))
+        below = F.when(F.instr(full, root) > 0, F.substring(
+            full, F.instr(full, root) + F.length(root) + 1, F.length(full))).otherwise(full)
+        name = F.when(below == "", F.regexp_extract(full, r"([^/]+)$", 1)).otherwise(below)
+        files = files.select("value", F.regexp_replace(name, r"\.[^./]*$", "").alias("run_id"),
                              F.lit(0).alias("segment"))
-    arrays = files.withColumn("events", F.from_json("value", T.ArrayType(EVENT_TYPE)))
+    arrays = files.withColumn("events", F.from_json("value", T.ArrayType(EVENT_TYPE), {"mode": "FAILFAST"}))
     return _events(arrays, segment_events)
+
+
+def _common_folder(paths: list[str]) -> str:
+    """Folder above all paths, up to the first wildcard, without a scheme; of a single path, the path itself."""
+    plain = [re.sub(r"^\w+:(//[^/]*)?", "", p).rstrip("/") for p in paths]
+    fixed = [os.path.dirname(re.split(r"[*?\[{]", p)[0] + "x") if re.search(r"[*?\[{]", p) else p for p in plain]
+    return os.path.commonpath(fixed)

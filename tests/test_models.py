@@ -191,3 +191,12 @@ def test_one_failing_model_does_not_stop_the_rest(sides):
     assert [(r["model"], r["ok"]) for r in got] == [
         ("kmeans", True), ("logistic_regression", True), ("pca", False), ("mlp", True)]
     assert got[2]["error"] and got[1]["test_metric"] > 0.7 and got[0]["train_metric"] is None
+
+
+def test_uncentered_components_of_any_matrix():
+    vectors, values = pca.power_components(np.array([[2.0, -1.0], [-1.0, 2.0]]), 2)
+    assert np.allclose(values, [3.0, 1.0]) and np.allclose(np.abs(vectors), np.sqrt(0.5))
+    with pytest.raises(ValueError, match="converged"):
+        pca.power_components(np.diag([1.0, 0.999]), 1, steps=3, tol=1e-12)
+    with pytest.raises(ValueError, match="finite"):
+        pca.power_components(np.full((2, 2), np.nan), 1)

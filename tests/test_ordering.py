@@ -88,3 +88,13 @@ def test_micros_do_not_depend_on_the_session_zone(spark, zone):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == [1710037800123456, -1, 1730597400000000]
+
+
+def test_positions_do_not_depend_on_file_names_or_sizes(spark):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "2")
+    try:
+        rows = [(x,) for x in range(5000)]
+        df = spark.createDataFrame(rows, "a int").repartition(7)
+        assert rows_of(row_index(df, ["a"]), "row_idx", "a") == [(i, i) for i in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")

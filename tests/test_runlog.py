@@ -150,7 +150,8 @@ def test_header_library_and_setup(spark):
                                       (4, "Frame"), (4, "Session")]
     total = rl.run_summary(events, PROFILES).collect()
     assert {(r["run_id"], r["setup_events"], r["setup_us"]) for r in total} == {
-        (1, 3, 3 * SECOND), (2, 4, 4 * SECOND)}
+        (1, 3, 3 * SECOND), (2, 4, 4 * SECOND), (4, 2, sum(s[2] for s in setup if s[0] == 4))}
+    assert {r["run_id"] for r in total if r["model"] is None} == {4}
 
 
 def _runs(spark, *pairs):
@@ -219,6 +220,11 @@ def test_metrics_over_a_dimension(spark, summary):
     got = cmp.dimension_comparison(accuracies, dims).filter("model = 'real'")
     assert rows_of(got, "metric", "dimension", "value_a", "value_b") == [
         ("test_acc", 36000, 0.25, -1.0), ("train_acc", 36000, 0.5, 0.75)]
+    some = spark.createDataFrame([(1, "lib_a", "m", "Runtime(Sec)", "train_us", -1.0),
+                                  (2, "lib_a", "m", "Runtime(Sec)", "train_us", 12.5)],
+                                 "run_id bigint, library string, model string, result_type string, metric string, value double")
+    assert rows_of(cmp.dimension_comparison(some, dims), "value_a", "value_b", "failures_a", "failures_b") == [
+        (12.5, None, 1, 0)]
     lonely = cmp.dimension_comparison(metrics, dims).filter("model = 'lonely' and metric = 'train_us'")
     assert rows_of(lonely, "value_a", "value_b") == [(1e-6, None)]
     series = cmp.interleaved_series(_members(spark), dims, {"lib_a": "A", "lib_b": "B"})

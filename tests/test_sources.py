@@ -124,3 +124,27 @@ def test_log_round_trip(spark, out_dir, segment):
         assert rows_of(got.select(F.col("run_id").cast("bigint"), "pos", "event",
                                   F.coalesce("value", F.lit("")), "start_time_epoch")) == sorted(
             (r, p, e, v or "", t) for r, p, e, v, t in rows)
+
+
+def test_equal_file_names_in_two_folders_are_two_runs(spark, tmp_path):
+    for plan in ("a b", "c+d"):
+        (tmp_path / plan).mkdir()
+        (tmp_path / plan / "lib.json").write_text(json.dumps(LOG))
+    got = rows_of(read_run_files(spark, [str(tmp_path / "a b"), str(tmp_path / "c+d")]), "run_id", "pos")
+    assert got == [(f"{plan}/lib", p) for plan in ("a b", "c+d") for p in range(3)]
+
+
+def test_broken_logs_are_errors(spark, tmp_path):
+    (tmp_path / "one.json").write_text(json.dumps(LOG)[:-20])
+    with pytest.raises(Exception):
+        read_run_files(spark, str(tmp_path / "one.json")).collect()
+    (tmp_path / "bulk").mkdir()
+    (tmp_path / "bulk" / "x.json").write_text('{"run_id": "1", "segment": 0, "events": [{"event": "a"')
+    with pytest.raises(Exception):
+        read_run_logs(spark, str(tmp_path / "bulk")).collect()
+
+
+def test_segments_know_their_first_position(spark, out_dir):
+    rows = [(1, p, f"e{p}") for p in range(25)]
+    write_run_logs(spark.createDataFrame(rows, "run_id bigint, pos bigint, event string"), out_dir, 4)
+    assert rows_of(read_run_logs(spark, out_dir, "bigint"), "run_id", "pos", "event") == rows
