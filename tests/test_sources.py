@@ -148,3 +148,9 @@ def test_segments_know_their_first_position(spark, out_dir):
     rows = [(1, p, f"e{p}") for p in range(25)]
     write_run_logs(spark.createDataFrame(rows, "run_id bigint, pos bigint, event string"), out_dir, 4)
     assert rows_of(read_run_logs(spark, out_dir, "bigint"), "run_id", "pos", "event") == rows
+
+
+def test_prefix_of_a_path_with_odd_characters(spark, tmp_path):
+    path = _csv(tmp_path / "a b%20+c", 60, files=4)
+    got = read_prefix(spark, path, SPEC, n_train=3, n_test=2)
+    assert got.count() == 50
