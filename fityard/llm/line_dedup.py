@@ -8,9 +8,12 @@ other (length), and the tokens that follow the shared one must suffice for the w
 is left is verified on the full sets. A line goes if an earlier line of the corpus matches it.
 
 1. Count tokens and line keys. 2. Post every line, once a batch, under those of its prefix tokens that occur in
-other lines; compare what is posted under one token in the order of sizes, in blocks. 3. Read the texts again for the
-places of lines whose key occurs again or is in a candidate pair, and the full sets of the latter; verify.
-4. Join the decisions back to the lines, gather them by document, and cut the texts.
+other lines; compare what is posted under one token in the order of sizes, in blocks; keep which lines had a candidate
+under which token. 3. Read the texts again for the places of lines whose key occurs again or that had a candidate,
+and the full sets of the latter. Post these with their sets under the tokens that gave candidates, and verify each pair
+under the first token its sets share, where links are summed up by line; no row is made for a pair. Only pairs
+with a line of more than ``WIDE`` tokens are joined with their sets one by one, as such a set is too long to be sent with
+every token. 4. Join the decisions back to the lines, gather them by document, and cut the texts.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ from fityard.runtime import MAX_BROADCAST_ROWS, written
 
 BLOCK = 512            # rows of one token that are compared with each other as a unit
 NARROW = 96            # tokens up to which a line has 64 parity bits
+WIDE = 512             # tokens up to which a line's set is sent with its postings
 MAX_BITS = 1 << 14
 TOKEN_BITS = 42        # bits of a token's hash that tell tokens apart inside a set
 LINES_AT_ONCE = 60_000
+PAIRS_AT_ONCE = 1 << 15
 _LOW = U64((1 << TOKEN_BITS) - 1)
 
 
@@ -136,41 +141,166 @@ def _postings(texts: DataFrame, levels, percent: int) -> DataFrame:
         post, "token bigint, class bigint, size int, position int, parity binary")
 
 
-def _candidates(units: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of classes that pass all filters under some token. Rows come by unit and size."""
-    q, d = percent, 100 + percent
+def _near_rows(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i < j of one unit whose classes pass all filters under the unit's token. Rows come by unit and size; the
+    first columns are unit, class, size, position, side and parity."""
+    unit, cls, size, position, side = (table.column(i).to_numpy() for i in range(5))
+    parity = table.column(5).to_pylist()
+    narrow = np.array([np.frombuffer(p[:8], dtype=U64)[0] if len(p) == 8 else 0 for p in parity], dtype=U64)
+    wide = np.array([len(p) > 8 for p in parity])
+    size = size.astype(np.int64)
+    left = np.arange(len(unit))
+    for s in range(1, len(unit)):
+        left = left[left + s < len(unit)]
+        # Sizes ascend within a unit: who is too small for this one is so for all that follow (length).
+        left = left[(unit[left + s] == unit[left]) & (100 * size[left] >= percent * size[left + s])]
+        if not len(left):
+            return
+        i = left[(cls[left] != cls[left + s]) & ((side[left] < 0) | (side[left] != side[left + s]))]
+        j = i + s
+        need = -(-percent * (size[i] + size[j]) // (100 + percent))
+        room = np.minimum(size[i] - position[i], size[j] - position[j])
+        slack = size[i] + size[j] - 2 * need
+        any_wide = wide[i] | wide[j]
+        ok = (room >= need) & (any_wide | (np.bitwise_count(narrow[i] ^ narrow[j]) <= slack))
+        for k in np.flatnonzero(ok & any_wide).tolist():
+            ok[k] = _apart(parity[i[k]], parity[j[k]]) <= slack[k]
+        yield i[ok], j[ok]
+
 
+def _candidates(units: DataFrame, percent: int) -> DataFrame:
+    """``(token, a, b)``: for every unit the classes that have a candidate in it (a, with b null), and the
+    candidate pairs with a class of more than ``WIDE`` tokens."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 20_000):
-            unit, cls, size, position, side = (table.column(i).to_numpy() for i in range(5))
-            parity = table.column(5).to_pylist()
-            narrow = np.array([np.frombuffer(p[:8], dtype=U64)[0] if len(p) == 8 else 0 for p in parity], dtype=U64)
-            wide = np.array([len(p) > 8 for p in parity])
-            size = size.astype(np.int64)
-            left, found = np.arange(len(unit)), []
-            for s in range(1, len(unit)):
-                left = left[left + s < len(unit)]
-                # Sizes ascend within a unit: who is too small for this one is so for all that follow (length).
-                left = left[(unit[left + s] == unit[left]) & (100 * size[left] >= q * size[left + s])]
-                if not len(left):
-                    break
-                i = left[(cls[left] != cls[left + s]) & ((side[left] < 0) | (side[left] != side[left + s]))]
-                j = i + s
-                need = -(-q * (size[i] + size[j]) // d)
-                room = np.minimum(size[i] - position[i], size[j] - position[j])
-                slack = size[i] + size[j] - 2 * need
-                ok = (room >= need) & (wide[i] | wide[j] | (np.bitwise_count(narrow[i] ^ narrow[j]) <= slack))
-                i, j, slack = i[ok], j[ok], slack[ok]
-                far = np.array([(wide[x] or wide[y]) and _apart(parity[x], parity[y]) > z
-                                for x, y, z in zip(i.tolist(), j.tolist(), slack.tolist())], dtype=bool)
-                found.append((cls[i[~far]], cls[j[~far]]))
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found))
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            cls, size, token = (table.column(c).to_numpy() for c in ("class", "size", "token"))
+            hit, pairs = np.zeros(len(cls), dtype=bool), []
+            for i, j in _near_rows(table, percent):
+                hit[i] = hit[j] = True
+                k = np.maximum(size[i], size[j]) > WIDE
+                if k.any():
+                    a, b = cls[i[k]], cls[j[k]]
+                    pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            if hit.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token[hit]), pa.array(cls[hit]), pa.nulls(int(hit.sum()), pa.int64())],
+                    names=["token", "a", "b"])
+            if pairs:
+                both = np.unique(np.concatenate(pairs), axis=0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(both), pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])],
+                    names=["token", "a", "b"])
+
+    return (units.repartition("unit").sortWithinPartitions("unit", "size", "class")
+            .mapInArrow(compare, "token bigint, a bigint, b bigint"))
+
+
+def _common(tokens: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens the sets i and j have in common, and the first of them in rarity order (0 without any)."""
+    sets = np.concatenate([i, j])
+    pair = np.tile(np.arange(len(i), dtype=U64), 2)
+    size = at[sets + 1] - at[sets]
+    to = np.cumsum(size)
+    index = np.repeat(at[sets] - to + size, size) + np.arange(to[-1])
+    key = np.sort(np.repeat(pair, size) << U64(48) | tokens[index])
+    twice = key[:-1][key[1:] == key[:-1]]
+    of = (twice >> U64(48)).astype(np.int64)
+    first = np.zeros(len(i), dtype=U64)
+    first[of[::-1]] = twice[::-1] & U64((1 << 48) - 1)
+    return np.bincount(of, minlength=len(i)), first
+
+
+def _set_postings(classes: DataFrame, hits, percent: int) -> DataFrame:
+    """``(token, class, size, position, parity, place, tokens)`` of classes up to ``WIDE`` tokens, under the prefix tokens
+    that gave candidates."""
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                rows = batch.slice(k, 2048)
+                cls, sets = np.asarray(rows.column(0)), rows.column(2).to_pylist()
+                at = np.concatenate([[0], np.cumsum([len(x) // 8 for x in sets])])
+                tokens = np.frombuffer(b"".join(sets), dtype=U64)
+                size = np.diff(at)
+                rank = np.arange(len(tokens)) - np.repeat(at[:-1], size)
+                line = np.repeat(np.arange(len(size)), size)
+                pick = np.flatnonzero(rank < prefix_sizes(size, percent)[line])
+                pick = pick[hits.value[buckets_of(_posting_hash(tokens[pick], cls[line[pick]]))] > 0]
+                parity = pa.array(_parities(tokens, at), pa.binary())
+                for n in range(0, len(pick), 8192):
+                    t = pick[n:n + 8192]
+                    own = pa.array(line[t])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(tokens[t].view(np.int64)), rows.column(0).take(own),
+                         pa.array(size[line[t]], pa.int32()), pa.array(rank[t], pa.int32()), parity.take(own),
+                         rows.column(1).take(own), rows.column(2).take(own)],
+                        names=["token", "class", "size", "position", "parity", "place", "tokens"])
+
+    return (classes.filter(f"tokens is not null and octet_length(tokens) <= {8 * WIDE}")
+            .select(F.col("k1").alias("class"), "place", "tokens").mapInArrow(
+        post, "token bigint, class bigint, size int, position int, parity binary, place bigint, tokens binary"))
+
+
+def _posting_hash(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return mix(tokens.view(U64) ^ mix(classes.view(U64)))
+
+
+def _links(units: DataFrame, percent: int) -> DataFrame:
+    """``(class, n_links, earliest)`` by unit, of the pairs that match and whose first common token is the unit's."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 20_000):
+            cls, size, place, token = (table.column(c).to_numpy() for c in ("class", "size", "place", "token"))
+            sets = table.column("tokens").to_pylist()
+            at = np.concatenate([[0], np.cumsum([len(x) // 8 for x in sets])])
+            tokens = np.frombuffer(b"".join(sets), dtype=U64)
+            size, token = size.astype(np.int64), token.view(U64)
+            n_links = np.zeros(len(cls), dtype=np.int64)
+            earliest = np.full(len(cls), np.iinfo(np.int64).max)
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def settle() -> None:
+                i, j = (np.concatenate(x) for x in zip(*held))
+                held.clear()
+                for k in range(0, len(i), PAIRS_AT_ONCE):
+                    x, y = i[k:k + PAIRS_AT_ONCE], j[k:k + PAIRS_AT_ONCE]
+                    n, first = _common(tokens, at, x, y)
+                    ok = (100 * n >= percent * (size[x] + size[y] - n)) & (first == token[x])
+                    x, y = x[ok], y[ok]
+                    for one, other in ((x, y), (y, x)):
+                        np.add.at(n_links, one, 1)
+                        np.minimum.at(earliest, one, place[other])
+
+            for i, j in _near_rows(table, percent):
+                if len(i):
+                    held.append((i, j))
+                if sum(len(x) for x, _ in held) >= PAIRS_AT_ONCE:
+                    settle()
+            if held:
+                settle()
+            some = np.flatnonzero(n_links)
+            if len(some):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cls[some]), pa.array(n_links[some]), pa.array(earliest[some])],
+                    names=["class", "n_links", "earliest"])
 
     return (units.repartition("unit").sortWithinPartitions("unit", "size", "class")
-            .mapInArrow(compare, "a bigint, b bigint").distinct())
+            .mapInArrow(check, "class bigint, n_links bigint, earliest bigint"))
+
+
+def _units(posted: DataFrame, name: str) -> DataFrame:
+    """``(unit, class, size, position, side, parity, ...)``: what is posted under one token, in pairs of blocks if it is
+    more than ``BLOCK`` rows. Side -1: one block against itself; else which of two blocks."""
+    hot = written(posted.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), name)
+    small = hot.count() <= MAX_BROADCAST_ROWS  # two numbers a row
+    blocks = F.coalesce(F.expr(f"cast(ceil(n / {BLOCK}) as int)"), F.lit(1))
+    at = F.pmod(F.xxhash64("class", "token"), F.col("nb")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1),
+                       lambda j: F.struct(F.least("at", j).alias("i"), F.greatest("at", j).alias("j")))
+    further = [c for c in posted.columns if c not in ("class", "size", "position", "parity")]
+    return (posted.join(F.broadcast(hot) if small else hot, "token", "left").withColumn("nb", blocks)
+            .withColumn("at", at).withColumn("u", F.explode(pair)).select(
+        F.xxhash64("token", "u.i", "u.j").alias("unit"), "class", "size", "position",
+        F.when(F.col("u.i") == F.col("u.j"), -1).when(F.col("at") == F.col("u.i"), 0).otherwise(1).alias("side"),
+        "parity", *further))
 
 
 def _places(texts: DataFrame, levels, again, wanted) -> DataFrame:
@@ -197,7 +327,7 @@ def _places(texts: DataFrame, levels, again, wanted) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """``(class, n_links, earliest)``: how many other classes match, and the first place among them."""
+    """``(class, n_links, earliest)`` of given pairs: how many of the other classes match, and the first place among them."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -235,31 +365,23 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = occurrence_levels(known.select("text"), lambda batch: (
         mix(_keys(*distinct_tokens(words, to, levels.value))[0]) for _, _, words, to in line_sets(batch.column(0))))
 
-    posted = _postings(known, levels, percent)
-    hot = written(posted.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "hot-tokens")
-    small = hot.count() <= MAX_BROADCAST_ROWS  # two numbers a row
-    blocks = F.coalesce(F.expr(f"cast(ceil(n / {BLOCK}) as int)"), F.lit(1))
-    at = F.pmod(F.xxhash64("class", "token"), F.col("nb")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1),
-                       lambda j: F.struct(F.least("at", j).alias("i"), F.greatest("at", j).alias("j")))
-    units = (posted.join(F.broadcast(hot) if small else hot, "token", "left").withColumn("nb", blocks)
-             .withColumn("at", at).withColumn("u", F.explode(pair)).select(
-        F.xxhash64("token", "u.i", "u.j").alias("unit"), "class", "size", "position",
-        F.when(F.col("u.i") == F.col("u.j"), -1).when(F.col("at") == F.col("u.i"), 0).otherwise(1).alias("side"),
-        "parity"))
-    pairs = written(_candidates(units, percent), "line-pairs")
-
-    wanted = occurrence_levels(pairs, lambda batch: [
-        mix(np.asarray(batch.column(i)).view(U64)) for i in range(2)])
+    found = written(_candidates(_units(_postings(known, levels, percent), "hot-tokens"), percent), "line-candidates")
+    wanted = occurrence_levels(found.select("a", "b"), lambda batch: [
+        mix(np.asarray(batch.column(i).drop_null()).view(U64)) for i in range(2)])
+    hits = occurrence_levels(found.filter("b is null").select("token", "a"), lambda batch: [
+        _posting_hash(np.asarray(batch.column(0)), np.asarray(batch.column(1)))])
     places = written(_places(known, levels, again, wanted), "lines")
     # One integer that orders places: documents may have up to 2^24 lines.
     place = F.shiftleft(F.col("first.id"), 24) + F.least(F.col("first.line"), F.lit((1 << 24) - 1))
     classes = written(places.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("first"),
                                                      F.min("tokens").alias("tokens"))
                       .withColumn("place", place), "line-sets")
-    found = _verified(pairs, classes, percent)
+    pairs = found.filter("b is not null").select("a", "b").distinct()
+    links = (_links(_units(_set_postings(classes, hits, percent), "hot-sets"), percent)
+             .unionByName(_verified(pairs, classes, percent)).groupBy("class")
+             .agg(F.sum("n_links").alias("n_links"), F.min("earliest").alias("earliest")))
     decided = written(classes.select("k1", "k2", "first", "place").join(
-        found.withColumnRenamed("class", "k1"), "k1", "left"), "line-decisions")
+        links.withColumnRenamed("class", "k1"), "k1", "left"), "line-decisions")
     lines = places.select("id", "line", "k1", "k2").join(decided, ["k1", "k2"])
     is_first = (F.col("id") == F.col("first.id")) & (F.col("line") == F.col("first.line"))
     nearest = F.shiftright("earliest", 24)
