@@ -215,9 +215,16 @@ def test_lines_in_blocks_and_long_ones(spark, monkeypatch):
         for _ in range(rng.randint(0, 3)):
             own = own[:(k := rng.randrange(len(own)))] + [f"x{rng.randrange(30)}"] + own[k + 1:]
         rows.append((i, " ".join(own)))
+    sets = {i: frozenset(t.split()) for i, t in rows}
+    links = {i: sum(x != y and 100 * len(x & y) >= 80 * len(x | y) for y in set(sets.values()))
+             for i, x in sets.items()}
     monkeypatch.setattr(line_dedup, "BLOCK", 16)
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert {r["doc_id"]: r["text"] for r in got.collect()} == brute_lines(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for wide in (512, 140):  # all pairs in their units; some of them joined with their sets
+        monkeypatch.setattr(line_dedup, "WIDE", wide)
+        got = line_dedup.dedup_lines(docs).collect()
+        assert {r["doc_id"]: r["text"] for r in got} == brute_lines(rows)
+        assert {r["doc_id"]: r["n_links"] for r in got} == links
 
 
 def test_lines_of_odd_rows(odd, empty):
