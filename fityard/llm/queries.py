@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from fityard.llm import byte_bpe, fingerprints, language_id, line_dedup, minhash_join, mixing, multi_index, suffix_dedup, toxicity, url_filter
+from fityard.llm import (byte_bpe, fingerprints, importance, language_id, line_dedup, minhash_join, mixing, multi_index,
+                         quality_ranking, suffix_dedup, token_alignment, toxicity, url_filter)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +23,7 @@ URL_RULES = [
     ("net", "/fr/", "block"),
 ]
 VOCABULARY = os.environ.get("FITYARD_BYTE_BPE") or public_tokenizers.path("byte_bpe_50k.json")
+PIECES = os.environ.get("FITYARD_PIECE_BPE") or public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(function):
@@ -114,3 +116,65 @@ def op9_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_minhash_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned_documents(table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
+
+
+@query
+def op12_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ranking.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# CRC-32 of a word's UTF-8 bytes, from the table that its polynomial gives.
+ORACLES["op13_importance_resampling"] = f"""
+with crc_table(steps) as (
+  select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i:
+    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))),
+words as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from documents),
+wanted as (
+  select unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark),
+every as (select distinct word from (select word from words union all select word from wanted)),
+hexed as (select word, hex(word) as h from every),
+bucket_of as (
+  select word, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(h), 2), lambda i:
+             (strpos('0123456789ABCDEF', substr(h, i, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, i + 1, 1)) - 1)),
+           lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1])), 4294967295) % 10000 as bucket
+  from hexed, crc_table),
+source as (select bucket, count(*) as s from words join bucket_of using (word) group by 1),
+target as (select bucket, count(*) as t from wanted join bucket_of using (word) group by 1),
+sizes as (select (select coalesce(sum(s), 0) from source) + 10000 as big_s,
+                 (select coalesce(sum(t), 0) from target) + 10000 as big_t),
+gain as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * big_s::double
+                                 / ((coalesce(s, 0) + 1)::double * big_t::double)))::bigint as gain
+  from source full join target using (bucket), sizes),
+weighed as (
+  select doc_id, count(*) as n_features, sum(gain) as total
+  from words join bucket_of using (word) join gain using (bucket) group by 1),
+scored as (
+  select doc_id, coalesce(n_features, 0) as n_features,
+         case when n_features > 0
+              then ((total - ((total % n_features) + n_features) % n_features) / n_features)::bigint else 0 end as weight,
+         list_reduce(list_prepend(0::bigint, list_transform(range(1, 9), lambda i:
+           strpos('0123456789abcdef', substr(sha256('2024:' || doc_id), i, 1)) - 1)), lambda a, d: a * 16 + d) as h
+  from documents left join weighed using (doc_id)),
+noisy as (
+  select doc_id, n_features, weight,
+         weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from scored),
+ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n
+  from noisy where n_features >= 20)
+select doc_id, n_features::bigint as n_features, weight::bigint as weight, score::bigint as score,
+       case when place <= 10 * n // 100 then place end as rank
+from noisy left join ranked using (doc_id)"""
