@@ -148,12 +148,13 @@ def _gather(flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarra
 
 def _slab(both: Tokenizers, doc: np.ndarray, pieces: list[str], totals: dict[int, _Totals], keep_groups: bool) -> None:
     """Align the pieces (each with the number of its document, ascending) and add to the documents' totals."""
-    code, unique = pd.factorize(np.array(pieces, dtype=object))
+    numbers: dict[str, int] = {}
+    code, unique = np.array([numbers.setdefault(p, len(numbers)) for p in pieces]), list(numbers)
     # Pieces of a document stand next to each other, a piece's bytes being a space and its own.
     size = np.array([len(p.encode()) + 1 for p in unique], dtype=np.int64)
     tables, raw = [], []
     for (ids, at), token_size, token_start, token_bytes in zip(
-            both.encode(list(unique)), (both.a_size, both.b_size), (both.a_start, both.b_start), (both.a_bytes, both.b_bytes)):
+            both.encode(unique), (both.a_size, both.b_size), (both.a_start, both.b_start), (both.a_bytes, both.b_bytes)):
         many = np.diff(at)
         own = _gather(ids, at[:-1][code], many[code])
         raw.append((ids, at, token_size, token_start, token_bytes))
