@@ -18,11 +18,13 @@ long text is worked through in slabs with only its running totals held.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,8 +36,11 @@ from pyspark.sql import functions as F
 from fityard.llm.byte_bpe import _byte_chars
 from fityard.runtime import written
 
-SLAB = 1 << 19  # characters that are aligned together; one longer piece is a slab of its own
+SLAB = 1 << 20  # characters that are aligned together, about; one longer piece is a slab of its own
 CUT = re.compile(r"(?<=\S) (?=\S)")
+JOINED = 64     # pieces that side B encodes in one go
+# Fixed value: the byte-level pre-tokenizer's pattern.
+WORDS = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
 
 class Tokenizers:
@@ -59,6 +64,7 @@ class Tokenizers:
         b_bytes = {i: (bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode())
                    for i, p in enumerate(pieces) if not self.b.is_control(i) and not self.b.is_unknown(i)}
         added = self.a.get_added_tokens_decoder().values()
+        self.ranked = _ranked(bpe_path, vocab, a_bytes, {t.content for t in added})
         self.cuts = (not any(re.search("[^▁]▁", p) for i, p in enumerate(pieces) if i in b_bytes and not self.b.is_byte(i))
                      and isinstance(self.a.pre_tokenizer, pre_tokenizers.ByteLevel) and self.a.normalizer is None
                      and all(t.special for t in added))
@@ -69,10 +75,75 @@ class Tokenizers:
         self.texts_of = [[np.array([f"{i}{end}" for i in range(len(size))], dtype=object) for end in (",", sign)]
                          for size, sign in ((self.a_size, "|"), (self.b_size, ";"))]
 
-    def encode(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of both sides the ids of all pieces and where each piece's begin."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
-        return [_flat(a), _flat(self.b.encode(pieces, num_threads=1))]
+    def _encoded_a(self, text: str) -> np.ndarray:
+        if self.ranked is not None:
+            return self.ranked.encode_to_numpy(text).astype(np.int64)
+        return np.array(self.a.encode(text, add_special_tokens=False).ids, dtype=np.int64)
+
+    def encode(self, pieces: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
+        """Of both sides the ids of all pieces, where each piece's begin, and its bytes; which pieces are given back by
+        both sides; and how many bytes each has, with the space before it."""
+        plain = [i for i, p in enumerate(pieces) if " " not in p and "▁" not in p and p == p.strip()] if self.cuts else []
+        odd = np.setdiff1d(np.arange(len(pieces)), plain).tolist()
+        texts = [pieces[i] for i in plain]
+        together = self._joined(texts)
+        if together is None:  # some normalisation: each on its own
+            plain, odd, together = [], list(range(len(pieces))), self._joined([])
+        (a, a_at), (b, b_at), size = together
+        own_a = [self._encoded_a(" " + pieces[i]) for i in odd]
+        own_b = [np.array(x, dtype=np.int64) for x in self.b.encode([pieces[i] for i in odd], num_threads=1)] if odd else []
+        a, a_at = _extended(a, a_at, own_a)
+        b, b_at = _extended(b, b_at, own_b)
+        place = np.empty(len(pieces), dtype=np.int64)
+        place[[*plain, *odd]] = np.arange(len(pieces))
+        fine = np.ones(len(pieces), dtype=bool)
+        sizes = np.concatenate([size, [len(pieces[i].encode()) + 1 for i in odd]]).astype(np.int64)[place]
+        for i in odd:
+            k, wanted = place[i], (" " + pieces[i]).encode()
+            fine[i] = all(self._bytes(side, ids[at[k]:at[k + 1]]) == wanted for side, ids, at in ((0, a, a_at), (1, b, b_at)))
+        return [(a, a_at[:-1][place], np.diff(a_at)[place]), (b, b_at[:-1][place], np.diff(b_at)[place])], fine, sizes
+
+    def _joined(self, pieces: list[str]):
+        """Both sides of pieces without spaces, encoded next to each other; nothing if their bytes don't come back."""
+        if not pieces:
+            return (np.zeros(0, np.int64), np.zeros(1, np.int64)), (np.zeros(0, np.int64), np.zeros(1, np.int64)), np.zeros(0)
+        text = " " + " ".join(pieces)
+        wanted = np.frombuffer(text.encode(), dtype=np.uint8)
+        begin = np.append(np.flatnonzero(wanted == 0x20), len(wanted))
+        a = self._encoded_a(text)
+        b = self.b.encode([" ".join(pieces[i:i + JOINED]) for i in range(0, len(pieces), JOINED)], num_threads=1)
+        b = np.fromiter(chain.from_iterable(b), np.int64)
+        out = []
+        for side, ids in enumerate((a, b)):
+            if not np.array_equal(np.frombuffer(self._bytes(side, ids), np.uint8), wanted):
+                return None
+            ends = np.cumsum((self.a_size, self.b_size)[side][ids])
+            out.append((ids, np.concatenate([[0], np.searchsorted(ends, begin[1:]) + 1])))
+        return *out, np.diff(begin)
+
+    def _bytes(self, side: int, ids: np.ndarray) -> bytes:
+        size, start, data = ((self.a_size, self.a_start, self.a_bytes), (self.b_size, self.b_start, self.b_bytes))[side]
+        known = ids[ids < len(size)]
+        return b"" if len(known) < len(ids) else _gather(data, start[ids], size[ids]).tobytes()
+
+
+def _ranked(path: str, vocab: dict[str, int], bytes_of: dict[int, bytes], added: set[str]):
+    """The same vocabulary as merge ranks for a faster encoder, if merges rank as their results' ids do; else nothing."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    merged = [vocab["".join(pair if isinstance(pair, list) else pair.split(" "))] for pair in spec["model"]["merges"]]
+    kind = spec["pre_tokenizer"] or {}
+    plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
+    if merged != sorted(merged) or not plain or spec["normalizer"] or spec["model"].get("ignore_merges"):
+        return None
+    ranks = {bytes_of[i]: i for token, i in vocab.items() if token not in added}
+    return tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+
+def _extended(ids: np.ndarray, at: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([ids, *more]), np.concatenate([at, at[-1] + np.cumsum([len(x) for x in more]).astype(np.int64)])
 
 
 def _table(bytes_of: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,11 +151,6 @@ def _table(bytes_of: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(t) for t in tokens], dtype=np.int64), np.frombuffer(b"".join(tokens), dtype=np.uint8)
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(at[-1])), at
-
-
 def ending_together(a_bytes: dict[int, bytes], b_bytes: dict[int, bytes]) -> np.ndarray:
     """Ascending keys (a << 32 | b) of all pairs of which one's bytes are the end of the other's."""
     def by_bytes(tokens: dict[int, bytes]) -> dict[bytes, list[int]]:
@@ -112,16 +178,15 @@ def _loaded(bpe_path: str, piece_path: str) -> Tokenizers:
 def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     """``(doc, a, b, ends)`` of all pairs of overlapping tokens, ``a`` and ``b`` their row numbers and ``ends`` whether they end
     together. Both tables have doc, start, end, ascending, and tile the same bytes of each document."""
-    b_cover = pd.merge_asof(a, b.assign(other=np.arange(len(b)))[["doc", "start", "end", "other"]], on="start", by="doc",
-                            suffixes=("", "_b"))
-    a_cover = pd.merge_asof(b, a.assign(other=np.arange(len(a)), begin=a["start"])[["doc", "start", "begin", "end", "other"]],
-                            on="start", by="doc", suffixes=("", "_a"))
-    forth = pd.DataFrame({"doc": a["doc"], "a": np.arange(len(a)), "b": b_cover["other"].to_numpy(),
-                          "ends": a["end"].to_numpy() == b_cover["end_b"].to_numpy()})
-    back = pd.DataFrame({"doc": b["doc"], "a": a_cover["other"].to_numpy(), "b": np.arange(len(b)),
-                         "ends": b["end"].to_numpy() == a_cover["end_a"].to_numpy()})
+    keys = [t[["doc", "start"]].assign(other=np.arange(len(t))) for t in (a, b)]
+    covering_b = pd.merge_asof(keys[0][["doc", "start"]], keys[1], on="start", by="doc")["other"].to_numpy()
+    covering_a = pd.merge_asof(keys[1][["doc", "start"]], keys[0], on="start", by="doc")["other"].to_numpy()
     # Tokens that start together have found each other in both directions.
-    return pd.concat([forth, back[a_cover["begin"].to_numpy() != b["start"].to_numpy()]], ignore_index=True)
+    later = np.flatnonzero(a["start"].to_numpy()[covering_a] != b["start"].to_numpy())
+    at_a = np.concatenate([np.arange(len(a)), covering_a[later]])
+    at_b = np.concatenate([covering_b, later])
+    return pd.DataFrame({"doc": a["doc"].to_numpy()[at_a], "a": at_a, "b": at_b,
+                         "ends": a["end"].to_numpy()[at_a] == b["end"].to_numpy()[at_b]})
 
 
 @dataclass
@@ -148,46 +213,28 @@ def _gather(flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarra
 
 def _slab(both: Tokenizers, doc: np.ndarray, pieces: list[str], totals: dict[int, _Totals], keep_groups: bool) -> None:
     """Align the pieces (each with the number of its document, ascending) and add to the documents' totals."""
-    numbers: dict[str, int] = {}
-    code, unique = np.array([numbers.setdefault(p, len(numbers)) for p in pieces]), list(numbers)
+    unique = list(dict.fromkeys(pieces))
+    number = dict(zip(unique, range(len(unique))))
+    code = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+    sides, fine, _ = both.encode(unique)
+    if not fine.all():
+        bad = np.unique(doc[~fine[code]])
+        for d in bad:
+            totals[d].same = False
+        kept = ~np.isin(doc, bad)
+        doc, code = doc[kept], code[kept]
+        if not len(doc):
+            return
     # Pieces of a document stand next to each other, a piece's bytes being a space and its own.
-    size = np.array([len(p.encode()) + 1 for p in unique], dtype=np.int64)
-    tables, raw = [], []
-    for (ids, at), token_size, token_start, token_bytes in zip(
-            both.encode(unique), (both.a_size, both.b_size), (both.a_start, both.b_start), (both.a_bytes, both.b_bytes)):
-        many = np.diff(at)
-        own = _gather(ids, at[:-1][code], many[code])
-        raw.append((ids, at, token_size, token_start, token_bytes))
-        length = token_size[np.minimum(own, len(token_size) - 1)]
-        end = np.cumsum(length)
-        tables.append(pd.DataFrame({"doc": np.repeat(doc, many[code]), "start": end - length, "end": end, "id": own}))
-    # The bytes of both sides must be those of the piece.
-    wrong = np.zeros(len(unique), dtype=bool)
-    wanted = b"".join(b" " + p.encode() for p in unique)
-    for ids, at, token_size, token_start, token_bytes in raw:
-        known = np.where(ids < len(token_size), token_size[np.minimum(ids, len(token_size) - 1)], 0)
-        made = np.add.reduceat(np.append(known, 0), at[:-1]) * (np.diff(at) > 0)
-        wrong |= (made != size) | (np.add.reduceat(np.append((known == 0).astype(np.int64), 0), at[:-1]) * (np.diff(at) > 0) > 0)
-        text = _gather(token_bytes, token_start[np.minimum(ids, len(token_size) - 1)], known)
-        ok = np.flatnonzero(~wrong)
-        if made.sum() == size.sum() and not wrong.any() and text.tobytes() == wanted:
-            continue
-        begin_w, begin_m = np.cumsum(size) - size, np.cumsum(made) - made
-        for k in ok:
-            if wanted[begin_w[k]:begin_w[k] + size[k]] != text[begin_m[k]:begin_m[k] + made[k]].tobytes():
-                wrong[k] = True
-    bad = np.unique(doc[wrong[code]])
-    for d in bad:
-        totals[d].same = False
-    if len(bad):
-        fine = ~np.isin(doc, bad)
-        if fine.any():
-            _slab(both, doc[fine], [p for p, f in zip(pieces, fine) if f], totals, keep_groups)
-        return
+    tables = []
+    for (ids, at, many), size in zip(sides, (both.a_size, both.b_size)):
+        own = _gather(ids, at[code], many[code])
+        end = np.cumsum(size[own])
+        tables.append(pd.DataFrame({"doc": np.repeat(doc, many[code]), "start": end - size[own], "end": end, "id": own}))
     a, b = tables
     over = overlaps(a, b)
-    linked = over[over["ends"]].sort_values("a", ignore_index=True)
-    la, lb = linked["a"].to_numpy(), linked["b"].to_numpy()
+    ends = over["ends"].to_numpy()
+    la, lb = np.sort(over["a"].to_numpy()[ends]), np.sort(over["b"].to_numpy()[ends])  # both ascend with the end
     a_id, b_id, a_doc, b_doc = a["id"].to_numpy(), b["id"].to_numpy(), a["doc"].to_numpy(), b["doc"].to_numpy()
     at = np.searchsorted(both.keys, a_id[la] << 32 | b_id[lb])
     # Of every token its place in the written groups: its own number and the other side's tokens of all groups before,
@@ -218,17 +265,31 @@ def _slab(both: Tokenizers, doc: np.ndarray, pieces: list[str], totals: dict[int
 
 def _pieces(texts: list[str | None], cuts: bool) -> Iterator[tuple[np.ndarray, list[str], list[int]]]:
     """Slabs: document numbers and pieces, and the documents that end with the slab."""
-    doc, pieces, done, size = [], [], [], 0
+    doc, many, pieces, done, size = [], [], [], [], 0
     for d, text in enumerate(texts):
-        for piece in (CUT.split(text) if cuts else [text]) if text else ():
+        parts = (CUT.split(text) if cuts else [text]) if text else []
+        at = 0
+        while at < len(parts):
+            if len(text) <= SLAB:
+                to = len(parts)
+            else:  # as many pieces as the slab still takes, one at least
+                ends = np.cumsum(np.fromiter(map(len, parts[at:at + SLAB]), np.int64) + 1)
+                to = at + max(1, int(np.searchsorted(ends, max(SLAB - size, 1))))
             doc.append(d)
-            pieces.append(piece)
-            size += len(piece) + 1
+            many.append(to - at)
+            pieces.extend(parts[at:to])
+            size += len(text) if to - at == len(parts) else sum(map(len, parts[at:to]))
+            at = to
             if size >= SLAB:
-                yield np.array(doc), pieces, done
-                doc, pieces, done, size = [], [], [], 0
-        done.append(d)
-    yield np.array(doc, dtype=np.int64), pieces, done
+                if at == len(parts):
+                    done.append(d)
+                yield np.repeat(doc, many), pieces, done
+                doc, many, pieces, done, size = [], [], [], [], 0
+                if at == len(parts):
+                    break
+        else:
+            done.append(d)
+    yield np.repeat(np.array(doc, dtype=np.int64), many), pieces, done
 
 
 def align_documents(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -254,9 +315,12 @@ def align_documents(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str
                 for doc, pieces, done in _pieces(texts, both.cuts):
                     for d in [*dict.fromkeys(doc.tolist()), *done]:
                         totals.setdefault(d, _Totals())
-                    alive = np.array([totals[d].same for d in doc.tolist()], dtype=bool)
-                    if alive.any():
-                        _slab(both, doc[alive], [p for p, f in zip(pieces, alive) if f], totals, keep_groups)
+                    lost = [d for d in dict.fromkeys(doc.tolist()) if not totals[d].same]
+                    if lost:
+                        alive = ~np.isin(doc, lost)
+                        doc, pieces = doc[alive], [p for p, f in zip(pieces, alive) if f]
+                    if pieces:
+                        _slab(both, doc, pieces, totals, keep_groups)
                     out.extend(_result(totals.pop(d), keep_groups) for d in done)
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(

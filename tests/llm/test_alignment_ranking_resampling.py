@@ -109,7 +109,7 @@ def test_alignment_of_random_texts(spark):
 
 
 def test_alignment_of_texts_longer_than_a_slab(spark, monkeypatch):
-    long = " ".join(f"word{i % 977} été" for i in range(70_000))
+    long = " ".join(f"word{i % 977} été" for i in range(100_000))
     assert len(long) > token_alignment.SLAB
     check_alignment(spark, [long, "short one", long + " ▁ ", "x" * 3000 + " y", long])
 
