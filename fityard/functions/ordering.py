@@ -60,11 +60,14 @@ def file_order_index(rows: DataFrame, out: str = "row_idx") -> DataFrame:
     the split. Scanning the files a second time instead would parse them again, and could find other
     splits when the number of executors has changed in between.
     """
-    tagged = written(rows.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_mid")), "scan")
+    return place_in_files(rows.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")), out)
+
+
+def place_in_files(rows: DataFrame, out: str = "row_idx") -> DataFrame:
+    """As :func:`file_order_index` for rows that carry their ``_file`` and the ``_start`` of their split, in the order of the
+    scan; rows of whole splits may be missing at the end."""
+    tagged = written(rows.withColumn("_mid", F.monotonically_increasing_id()), "scan")
     splits = written(tagged.groupBy("_file", "_start").agg(
         F.count("*").alias("_n"), F.min("_mid").alias("_m0")), "splits")
     # Prefix sums in two steps, so that the widest window is one row per file.
@@ -77,8 +80,8 @@ def file_order_index(rows: DataFrame, out: str = "row_idx") -> DataFrame:
                .join(files, "_file")
                .select("_file", "_start", "_m0", (F.col("_foff") + F.col("_boff")).alias("_off")))
     return (join_lookup(tagged, written(offsets, "split-offsets"), ["_file", "_start"])
-            .select(*rows.columns,
-                    (F.col("_off") + F.col("_mid") - F.col("_m0")).alias(out)))
+            .withColumn(out, F.col("_off") + F.col("_mid") - F.col("_m0"))
+            .drop("_file", "_start", "_mid", "_m0", "_off"))
 
 
 def score_buckets(scores: DataFrame, score: str, out: str = "_bucket") -> DataFrame:

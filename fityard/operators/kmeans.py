@@ -10,12 +10,14 @@ from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fityard.functions.vectors import nearest_center, quoted
+from fityard.functions.vectors import nearest_center, quoted, squared_distance, unit_hash
 
 RUN_TO_CONVERGENCE = 1_000_000
+# Odd multipliers of the hashes that choose the first center and the candidates of each round.
+SEED_MULTIPLIERS = (3266489917, 2246822519, 668265263, 374761393, 2869860233)
 
 
 def fit_kmeans(train: DataFrame, seed: int, k: int = 2, max_iter: int = RUN_TO_CONVERGENCE,
@@ -37,9 +39,53 @@ def assign_clusters(df: DataFrame, feature_cols: Sequence[str],
     return df.withColumn(out, nearest_center(centers, feature_cols))
 
 
+def seed_centers(df: DataFrame, feature_cols: Sequence[str], key: str, k: int, rounds: int = 2) -> list[list[float]]:
+    """``k`` starting centers by parallel seeding with squared distances, the same for any partitioning.
+
+    The row of the smallest hash of the integer ``key`` comes first. In each round every row becomes a candidate with
+    probability 2 k times its share of all squared distances to the candidates so far; a hash of the key decides.
+    So a round is two passes, and about 2 k rows reach the driver. Candidates are weighed by the rows nearest to them; the
+    heaviest is the first center, and each further one has the largest weight times squared distance to the centers before.
+    """
+    if not 1 <= rounds < len(SEED_MULTIPLIERS):
+        raise ValueError(f"rounds must lie between 1 and {len(SEED_MULTIPLIERS) - 1}")
+    x = F.array(*[quoted(c).cast("double") for c in feature_cols])
+    first = df.agg(F.min(F.struct(unit_hash(key, SEED_MULTIPLIERS[0]).alias("h"), x.alias("x"))).alias("m")).first()["m"]
+    if first is None:
+        raise ValueError("there are no rows")
+    candidates = [list(first["x"])]
+
+    def nearest() -> Column:
+        distances = [squared_distance(c, feature_cols) for c in candidates]
+        return F.least(*distances) if len(distances) > 1 else distances[0]
+
+    for r in range(1, rounds + 1):
+        total = df.agg(F.sum(nearest())).first()[0]
+        if not total:
+            break
+        chosen = df.filter(unit_hash(key, SEED_MULTIPLIERS[r]) < nearest() * F.lit(2.0 * k / total)).select(x.alias("x")).distinct()
+        candidates += sorted(list(row["x"]) for row in chosen.collect())
+    counts = {r["_c"]: r["count"] for r in assign_clusters(df, feature_cols, candidates, "_c").groupBy("_c").count().collect()}
+    weight = np.array([counts.get(i, 0) for i in range(len(candidates))], dtype=float)
+    points = np.array(candidates)
+    if (weight > 0).sum() < k:
+        raise ValueError(f"there are fewer than {k} candidates; more rounds, or a smaller k")
+    chosen = [int(np.argmax(weight))]
+    while len(chosen) < k:
+        far = np.square(points[:, None] - points[None, chosen]).sum(axis=2).min(axis=1)
+        chosen.append(int(np.argmax(weight * far)))
+    return [candidates[i] for i in chosen]
+
+
+def fit_kmeans_seeded(df: DataFrame, feature_cols: Sequence[str], key: str, k: int = 2, rounds: int = 2,
+                      tol: float = 1e-12, max_steps: int = RUN_TO_CONVERGENCE) -> list[list[float]]:
+    """Centers of plain columns: :func:`seed_centers`, then Lloyd steps until no coordinate moves by more than ``tol``."""
+    return kmeans_lloyd(df, feature_cols, seed_centers(df, feature_cols, key, k, rounds), max_steps, tol)
+
+
 def kmeans_lloyd(df: DataFrame, feature_cols: Sequence[str], centers: Sequence[Sequence[float]],
-                 steps: int) -> list[list[float]]:
-    """Centers after ``steps`` Lloyd steps (fewer if they stop moving).
+                 steps: int, tol: float = 0.0) -> list[list[float]]:
+    """Centers after ``steps`` Lloyd steps (fewer if they move by ``tol`` at most).
 
     A step is one aggregation with map-side combining; what reaches the driver is k rows of sums. A
     cluster that loses all its rows keeps its center.
@@ -55,9 +101,10 @@ def kmeans_lloyd(df: DataFrame, feature_cols: Sequence[str], centers: Sequence[S
             moved = [list(c) for c in current]
             for row in means:
                 moved[row["_cluster"]] = [row[f"_m{i}"] for i in range(len(feature_cols))]
-            if moved == current:
-                break
+            rested = np.abs(np.subtract(moved, current)).max() <= tol
             current = moved
+            if rested:
+                break
     finally:
         points.unpersist()
     return current

@@ -1,4 +1,4 @@
-"""Principal components: centered (library fit) and uncentered (power method on the Gram matrix)."""
+"""Principal components, centered and uncentered: the library's fit, and block subspace iteration over the rows."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.feature import PCA, PCAModel
-from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fityard.functions.vectors import dot, quoted
+from fityard.operators import moments
+from fityard.runtime import written
 
 SWEEP = (10, 20, 30, 40, 50)
 # Matrices of n x n doubles are decomposed on the driver; 8,192 columns are 512 MB.
@@ -79,31 +80,31 @@ def gram_matrix(df: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
 
 
 def vector_moments(df: DataFrame, features_col: str = "features") -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, mean and sample covariance of a vector column of any supported width.
+    """Row count, mean and sample covariance of a vector column; missing values count as their column's mean.
 
-    Both passes are tree aggregations inside the JVM; only n x n numbers reach the driver.
+    The first pass adds up columns, the second one products of centred values, so a constant column has
+    covariance 0 and nothing cancels. n x n numbers reach the driver; :func:`covariance_table` needs none there.
     """
-    s = df.select(Summarizer.metrics("count", "mean", "variance")
-                  .summary(F.col(features_col)).alias("s")).first()["s"]
-    mean = s["mean"].toArray()
+    x = moments.arrays(df, features_col)
+    n, mean = moments.column_means(x)
     if len(mean) > MAX_COLUMNS:
         raise ValueError(f"{len(mean)} columns exceed the driver-side limit of {MAX_COLUMNS}")
-    std = np.sqrt(s["variance"].toArray())
-    corr = Correlation.corr(df, features_col).head()[0].toArray()
-    # A constant column has no correlation; its covariance is 0.
-    cov = np.nan_to_num(corr) * np.outer(std, std)
-    return int(s["count"]), mean, cov
+    total = moments.collected(moments.scatter(x, mean), (len(mean), len(mean)))[0]
+    return n, mean, total / max(n - 1, 1)
 
 
-def matrix_table(spark: SparkSession, matrix: np.ndarray, out: str) -> DataFrame:
-    n = matrix.shape[0]
-    rows = [(i, j, float(matrix[i, j])) for i in range(n) for j in range(n)]
-    return spark.createDataFrame(rows, f"i int, j int, {out} double")
+def covariance_table(df: DataFrame, features_col: str = "features") -> DataFrame:
+    """Sample covariance of a vector column of any width as ``(i, j, cov)`` rows, which stay on the executors."""
+    x = moments.arrays(df, features_col)
+    n, mean = moments.column_means(x)
+    return moments.matrix_rows(moments.scatter(x, mean), len(mean), "cov", 1.0 / max(n - 1, 1))
 
 
 def vector_gram(df: DataFrame, features_col: str = "features") -> np.ndarray:
-    n, mean, cov = vector_moments(df, features_col)
-    return (n - 1) * cov + n * np.outer(mean, mean)
+    """Uncentered second moments of a vector column, imputed."""
+    x = moments.arrays(df, features_col)
+    mean = moments.column_means(x)[1]
+    return moments.collected(moments.scatter(x, mean, centered=False), (len(mean), len(mean)))[0]
 
 
 def collect_matrix(long: DataFrame, n: int, value_col: str) -> np.ndarray:
@@ -152,20 +153,29 @@ def power_components(gram: np.ndarray, k: int, steps: int | None = None,
     return np.array(vectors).T, np.array(values)
 
 
-def fit_pca_uncentered(df: DataFrame, feature_cols: Sequence[str], k: int = 10,
-                       **power) -> tuple[np.ndarray, np.ndarray]:
+def fit_components(df: DataFrame, features: str | Sequence[str], k: int = 10, centered: bool = True, tol: float = 1e-11,
+                   max_passes: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Leading components (columns) and their shares of the total variance, around the mean or around zero.
+
+    ``features``: a vector column, or plain columns. Missing values count as their column's mean. Rows are written
+    once, as arrays; then each pass multiplies them by a few columns, so nothing as large as width x width exists
+    anywhere. Passes go on until the components are exact to ``tol`` of the trace.
+    """
+    x = written(moments.arrays(df, features), "pca-rows")
+    _, mean = moments.column_means(x)
+    vectors, values, trace = moments.leading_components(moments.product(x, mean, centered), len(mean), k, tol, max_passes)
+    return vectors, values / trace if trace > 0 else np.zeros(k)
+
+
+def fit_pca_uncentered(df: DataFrame, feature_cols: Sequence[str], k: int = 10, **limits) -> tuple[np.ndarray, np.ndarray]:
     """Components and their share of the total (uncentered) variance, plain columns."""
-    gram = collect_matrix(gram_matrix(df, feature_cols), len(feature_cols), "gram")
-    vectors, values = power_components(gram, k, **power)
-    return vectors, values / np.trace(gram)
+    return fit_components(df, list(feature_cols), k, centered=False, **limits)
 
 
 def fit_pca_uncentered_vectors(df: DataFrame, k: int = 10, features_col: str = "features",
-                               **power) -> tuple[np.ndarray, np.ndarray]:
+                               **limits) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`fit_pca_uncentered` for a vector column."""
-    gram = vector_gram(df, features_col)
-    vectors, values = power_components(gram, k, **power)
-    return vectors, values / np.trace(gram)
+    return fit_components(df, features_col, k, centered=False, **limits)
 
 
 def project(df: DataFrame, feature_cols: Sequence[str], components: np.ndarray,
@@ -180,14 +190,13 @@ def pca_k_sweep(train: DataFrame, ks: Sequence[int] = SWEEP,
     """``(k, ok, error, explained)`` for each k, from one fit.
 
     Components are nested: what k components explain is a prefix sum of the largest valid fit. A k
-    above the width cannot be fitted and gives ``ok = false``.
+    above the width cannot be fitted and gives ``ok = false``; so do all without rows.
     """
     spark = train.sparkSession
     first = train.select(features_col).first()
     width = 0 if first is None else first[0].size
     valid = [k for k in ks if 1 <= k <= width]
-    sums = np.cumsum(fit_pca(train, max(valid), features_col).explainedVariance.toArray()) \
-        if valid else []
+    sums = np.cumsum(fit_components(train, features_col, max(valid))[1]) if valid else []
     rows = [(k, True, None, float(sums[k - 1])) if k in valid
             else (k, False, f"k = {k} does not fit {width} columns", None) for k in ks]
     return spark.createDataFrame(rows, "k int, ok boolean, error string, explained double")

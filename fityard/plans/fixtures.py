@@ -13,7 +13,7 @@ from fityard.functions.vectors import as_vector, ntz_micros
 from fityard.operators.features import assemble_features, rename_label
 from fityard.operators.splits import hash_split
 from fityard.runtime import new_table_path, spread, written
-from fityard.sources.feature_csv import read_prefix
+from fityard.sources.feature_csv import index_feature_csv, read_prefix
 from fityard.spec import TARGET, DatasetSpec
 
 SUSY_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -135,10 +135,15 @@ def file_rows(rows: DataFrame) -> DataFrame:
     return inner.select(*keys, TARGET, *[F.col(f"`{f}`") for f in SUSY_FEATURES], *extra)
 
 
+def susy_csv_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every split of the exported files."""
+    return once(spark, "susy_csv_index", sf_dir, lambda: index_feature_csv(spark, susy_csv(spark, sf_dir)))
+
+
 def susy_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first chunks of the exported file, with their position in it."""
-    rows = read_prefix(spark, susy_csv(spark, sf_dir), FILE_SPEC, N_TRAIN, N_TEST,
-                       chunk_rows(spark, sf_dir))
+    rows = read_prefix(spark, susy_csv(spark, sf_dir), FILE_SPEC, N_TRAIN, N_TEST, chunk_rows(spark, sf_dir),
+                       susy_csv_index(spark, sf_dir))
     return file_rows(rows)
 
 

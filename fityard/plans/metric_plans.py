@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from fityard.operators import evaluation as ev
 from fityard.operators import features as ft
-from fityard.operators.linear import score_weights, with_margin
+from fityard.operators.linear import score_weights
 from fityard.plans.feature_plans import SCORED_SQL, scored
-from fityard.plans.fixtures import SPLIT_SQL, SUSY_FEATURES
-from fityard.plans.model_plans import CLUSTERED_SQL, clustered, logreg_on_0
+from fityard.plans.fixtures import SUSY_FEATURES
+from fityard.plans.model_plans import CLUSTERED_SQL, MARGIN_SQL, NEWTON_SQL, clustered, logreg_all
 from fityard.plans.registry import query
 
 
@@ -43,20 +43,20 @@ def _confusion(spark, sf_dir):
 
 
 def _auc_sql(side: str) -> str:
-    """Rank formula with mid-ranks; feature 0 orders the rows as the fitted model does."""
-    return f"""with {SPLIT_SQL}, r as (
-  select target, rank() over (order by "0") + (count(*) over (partition by "0") - 1) / 2.0 as rnk
-  from sp where split = '{side}'), t as (
+    """Rank formula with mid-ranks over the margins of the exact fit; rows that are alike up to rounding count as tied."""
+    return f"""with {NEWTON_SQL}, m as (
+  select target, round({MARGIN_SQL}, 9) as margin from sp, nw where split = '{side}'), r as (
+  select target, rank() over (order by margin) + (count(*) over (partition by margin) - 1) / 2.0 as rnk from m), t as (
   select sum(rnk) filter (where target = 1) as s, count(*) filter (where target = 1) as p,
          count(*) filter (where target = 0) as q from r)
-select round((s - p * (p + 1) / 2.0) / (cast(p as double) * q), 9) as auc from t"""
+select round((s - p * (p + 1) / 2.0) / (cast(p as double) * q), 6) as auc from t"""
 
 
 def _model_auc(side):
     def run(spark, sf_dir):
-        model, train, test = logreg_on_0(spark, sf_dir)
-        rows = with_margin(model.transform(train if side == "train" else test))
-        return _rounded(ev.auc(rows), 9, "auc")
+        fit, train, test = logreg_all(spark, sf_dir)
+        rows = score_weights(train if side == "train" else test, SUSY_FEATURES, fit.coefficients, fit.intercept)
+        return _rounded(ev.auc(rows.withColumn("margin", F.round("margin", 9))), 6, "auc")
     return run
 
 
@@ -119,18 +119,21 @@ def _comparison(spark, sf_dir):
 
 # --- clusters ------------------------------------------------------------------------------------
 
+_SQUARE = " + ".join(f'"{f}" * "{f}"' for f in SUSY_FEATURES)
+_CROSS = " + ".join(f'"{f}" * s{i}' for i, f in enumerate(SUSY_FEATURES))
+_SUMS = ", ".join(f'sum("{f}") as s{i}' for i, f in enumerate(SUSY_FEATURES))
+
+
 @query("silhouette", f"""with {CLUSTERED_SQL}, st as (
-  select prediction as k, count(*) as n, sum("0") as s0, sum("1") as s1,
-         sum("0" * "0" + "1" * "1") as ss from cl group by 1), dist as (
+  select prediction as k, count(*) as n, {_SUMS}, sum({_SQUARE}) as ss from cl group by 1), dist as (
   select cl.l_orderkey, cl.l_linenumber, cl.l_partkey, cl.l_suppkey, cl.l_extendedprice,
-         max(case when st.k = prediction then
-             (n * ("0" * "0" + "1" * "1") - 2 * ("0" * s0 + "1" * s1) + ss) / (n - 1) end) as a,
-         min(case when st.k <> prediction then
-             (n * ("0" * "0" + "1" * "1") - 2 * ("0" * s0 + "1" * s1) + ss) / n end) as b
+         max(case when st.k = prediction then (n * ({_SQUARE}) - 2 * ({_CROSS}) + ss) / (n - 1) end) as a,
+         min(case when st.k <> prediction then (n * ({_SQUARE}) - 2 * ({_CROSS}) + ss) / n end) as b
   from cl, st group by all)
 select round(avg((b - a) / greatest(a, b)), 6) as silhouette from dist""")
 def _silhouette(spark, sf_dir):
-    rows = ft.assemble_features(clustered(spark, sf_dir).select("`0`", "`1`", "prediction"), ["0", "1"])
+    rows = ft.assemble_features(clustered(spark, sf_dir).select(
+        *[F.col(f"`{f}`") for f in SUSY_FEATURES], "prediction"), SUSY_FEATURES)
     return _rounded(ev.silhouette(rows), 6, "silhouette")
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fityard.operators import design
+from fityard.operators.runlog import event_durations
 from fityard.plans.fixtures import (
-    EMB_WIDTH, FILE_COLUMNS, FILE_SPEC, INDEXED_SQL, LOG_SQL, N_TEST, N_TRAIN, SUSY_FEATURES,
+    EMB_WIDTH, EV_SQL, FILE_COLUMNS, FILE_SPEC, INDEXED_SQL, LOG_SQL, N_TEST, N_TRAIN, SUSY_FEATURES,
     SUSY_KEYS, SUSY_SQL, chunk_rows, file_rows, once, run_log, susy_csv, susy_prefix, table)
 from fityard.plans.registry import query
 from fityard.runtime import new_table_path, spread
 from fityard.sources import (
     batch_featurize, byte_histogram, chunk_table, export_feature_csv, label_from_filename,
-    read_run_logs, scan_feature_csv, write_run_logs)
+    read_run_files, read_run_logs, scan_feature_csv, write_run_files, write_run_logs)
 from fityard.spec import DatasetSpec
 
 ROW_SQL = ", ".join([*SUSY_KEYS, "target", *[f'"{f}"' for f in SUSY_FEATURES]])
@@ -88,6 +89,8 @@ def _export(spark, sf_dir):
     return back.toDF("label", *[f"f{i}" for i in range(EMB_WIDTH)])
 
 
+# Bulk layout: any number of runs per file.
+
 def _new_log_files(spark, sf_dir) -> str:
     path = new_table_path(spark, "run-logs")
     write_run_logs(run_log(spark, sf_dir).withColumn(
@@ -99,19 +102,19 @@ def _log_files(spark, sf_dir) -> str:
     return once(spark, "log_files", sf_dir, lambda: _new_log_files(spark, sf_dir))
 
 
-@query("read_run_log", f"""with {LOG_SQL}
+@query("read_run_log_bulk", f"""with {LOG_SQL}
 select run_id, pos, event, value, epoch_us from lg""")
-def _read_log(spark, sf_dir):
+def _read_bulk(spark, sf_dir):
     return read_run_logs(spark, _log_files(spark, sf_dir), "bigint").select(
         "run_id", "pos", "event", "value",
         F.round(F.col("start_time_epoch") * 1e6).cast("bigint").alias("epoch_us"))
 
 
-@query("write_run_log", f"""with {LOG_SQL}
+@query("write_run_log_bulk", f"""with {LOG_SQL}
 select run_id, count(*) as n_events, arg_min(event, pos) as first_event,
        arg_max(event, pos) as last_event, count(*) filter (where event = 'Training') as trainings
 from lg group by 1""")
-def _write_log(spark, sf_dir):
+def _write_bulk(spark, sf_dir):
     lines = spark.read.schema("run_id bigint, segment bigint, events array<struct<event:string>>").json(
         _new_log_files(spark, sf_dir))
     names = F.col("events.event")
@@ -122,6 +125,69 @@ def _write_log(spark, sf_dir):
         F.sum(F.size(F.filter(names, lambda e: e == "Training"))).alias("trainings"))
 
 
+# One file per run. The runs of each library lie in a folder of their own, under the same names: half the run's id.
+
+def _run_records(spark, sf_dir):
+    """The five fields of every logged event; times as the run itself writes them."""
+    seconds = F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, epoch_us div 1000000)")
+    return event_durations(run_log(spark, sf_dir)).select(
+        "run_id", "pos", "library", "event", "value", (F.col("dur_us") / F.lit(1e6)).alias("execution_time"),
+        seconds.cast("string").alias("start_time"), (F.col("epoch_us") / F.lit(1e6)).alias("start_time_epoch"))
+
+
+def _new_run_files(spark, sf_dir) -> list[str]:
+    root = new_table_path(spark, "run-files")
+    records = _run_records(spark, sf_dir).withColumn("run_id", F.expr("run_id div 2"))
+    for library in ("lib_a", "lib_b"):
+        write_run_files(records.filter(F.col("library") == library).drop("library"), f"{root}/{library}")
+    return [f"{root}/{library}" for library in ("lib_a", "lib_b")]
+
+
+def _run_files(spark, sf_dir) -> list[str]:
+    return once(spark, "run_files", sf_dir, lambda: _new_run_files(spark, sf_dir))
+
+
+# A run's id again, from the folder of its library and its name there.
+RUN_OF_PATH = "cast(split_part(run_id, '/', 2) as bigint) * 2 + if(run_id like 'lib_b/%', 1, 0)"
+RECORD_SQL = EV_SQL + """, rec as (
+  select run_id, pos, event, v as value, round(dur / 1e6, 6) as execution_time,
+         strftime(make_timestamp(epoch_us), '%Y-%m-%d %H:%M:%S') as start_time, epoch_us from ev)"""
+
+
+@query("read_run_log", f"with {RECORD_SQL} select * from rec")
+def _read_log(spark, sf_dir):
+    return read_run_files(spark, _run_files(spark, sf_dir)).select(
+        F.expr(RUN_OF_PATH).alias("run_id"), "pos", "event", "value", F.round("execution_time", 6).alias("execution_time"),
+        "start_time", F.round(F.col("start_time_epoch") * 1e6).cast("bigint").alias("epoch_us"))
+
+
+@query("write_run_log", f"""with {RECORD_SQL}
+select run_id, count(*) as n_events, cast(1 as bigint) as n_files,
+       count(*) filter (where event = 'Result' and value in ('true', 'false')) as bare_results,
+       cast(sum(length(event)) as bigint) as event_chars, cast(sum(length(value)) as bigint) as value_chars,
+       min(start_time) as first_start, round(sum(execution_time), 3) as seconds
+from rec group by 1""")
+def _write_log(spark, sf_dir):
+    # The files as any JSON reader sees them, a whole array each.
+    files = spark.read.option("recursiveFileLookup", True).text(_new_run_files(spark, sf_dir), wholetext=True)
+    array = F.from_json("value", "array<map<string,string>>", {"mode": "FAILFAST"})
+    rows = files.select(
+        F.concat(F.regexp_extract("_metadata.file_path", r"/(lib_[ab])/run_id=", 1), F.lit("/"),
+                 F.regexp_extract("_metadata.file_path", r"/run_id=([^/]*)/", 1)).alias("run_id"),
+        F.regexp_count("value", F.lit(r'"event": "Result",\n +"value": (true|false),')).alias("bare"), array.alias("e"))
+
+    def total(array_, fn):
+        return F.aggregate(array_, F.lit(0.0), lambda acc, x: acc + F.coalesce(fn(x).cast("double"), F.lit(0.0)))
+
+    return rows.groupBy(F.expr(RUN_OF_PATH).alias("run_id")).agg(
+        F.sum(F.size("e")).cast("bigint").alias("n_events"), F.count("*").alias("n_files"),
+        F.sum("bare").cast("bigint").alias("bare_results"),
+        F.sum(total(F.col("e"), lambda x: F.length(x["event"]))).cast("bigint").alias("event_chars"),
+        F.sum(total(F.col("e"), lambda x: F.length(x["value"]))).cast("bigint").alias("value_chars"),
+        F.min(F.array_min(F.transform("e", lambda x: x["start_time"]))).alias("first_start"),
+        F.round(F.sum(total(F.col("e"), lambda x: x["execution_time"])), 3).alias("seconds"))
+
+
 # --- experiment grids ----------------------------------------------------------------------------
 
 def _tables(spark, sf_dir):

@@ -1,7 +1,7 @@
 """Run logs: ordered events of a run as a JSON array.
 
 Two layouts. *Bulk*: JSON lines ``{run_id, segment, events: [...]}``, any number of runs per file.
-*One file per run*: files that hold a bare JSON array each, as a single run writes them. A run of up
+*One file per run*: files that hold one indented JSON array each, as a single run writes its log. A run of up
 to ``SEGMENT_EVENTS`` events is one array; a longer run continues in further segments, so no task
 ever builds a run of any length in memory.
 """
@@ -10,12 +10,17 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fityard.runtime import join_lookup, written
+
 SEGMENT_EVENTS = 10_000
+# What ends an element of an array that is indented by four spaces, and nothing else: strings hold no line feed.
+ELEMENT_END = "\n    }"
 
 EVENT_TYPE = T.StructType([
     T.StructField("event", T.StringType()),
@@ -60,35 +65,101 @@ def read_run_logs(spark: SparkSession, path: str | list[str], run_id_type: str =
     return _events(segments.withColumn("run_id", F.col("run_id").cast(run_id_type)), segment_events)
 
 
-def write_run_files(events: DataFrame, path: str, segment_events: int = SEGMENT_EVENTS) -> None:
-    """Write one JSON array per file under ``run_id=<id>/segment=<s>/``. Meant for few runs: every
-    run costs a folder."""
-    lines = _segments(events, segment_events).select(
-        "run_id", "segment", F.to_json("events", {"ignoreNullFields": "false"}).alias("value"))
-    lines.write.partitionBy("run_id", "segment").text(path)
+def _json_scalar(name: str, booleans: Sequence[str]) -> Column:
+    """The field's value as JSON; ``true`` and ``false`` of the named events stay bare."""
+    # {"v":...} without the braces and the name.
+    record = F.to_json(F.struct(F.col(name).alias("v")), {"ignoreNullFields": "false"})
+    scalar = F.regexp_extract(record, r"(?s)^\{\"v\":(.*)\}$", 1)
+    if name != "value":
+        return scalar
+    bare = F.col("event").isin(*booleans) & F.col(name).isin("true", "false")
+    return F.when(bare, F.col(name)).otherwise(scalar)
+
 
+def write_run_files(events: DataFrame, path: str, segment_events: int = SEGMENT_EVENTS,
+                    booleans: Sequence[str] = ("Result",)) -> None:
+    """Write every run to a file of its own, ``run_id=<id>/segment=<s>/``: one indented JSON array, as a single run
+    writes its log. Fields that ``events`` lacks are left out; values ``true`` and ``false`` of the events in
+    ``booleans`` are JSON booleans.
 
-def read_run_files(spark: SparkSession, path: str | list[str],
-                   segment_events: int = SEGMENT_EVENTS) -> DataFrame:
+    Lines are brought together by run and segment and written one by one, so no array is ever built in memory; a
+    run of more than ``segment_events`` events continues in further files, which other tasks can write.
+    """
+    fields = [c for c in EVENT_FIELDS if c in events.columns]
+    lines = [F.concat(F.lit(f'{" " * 8}"{c}": '), _json_scalar(c, booleans)) for c in fields]
+    in_file = Window.partitionBy("run_id", "segment").orderBy("pos")
+    placed = events.withColumn("segment", F.expr(f"pos div {segment_events}")).select(
+        "*", F.lag("pos").over(in_file).isNull().alias("_first"), F.lead("pos").over(in_file).isNull().alias("_last"))
+    element = F.concat(F.when(F.col("_first"), "[\n").otherwise(""), F.lit("    {\n"), F.concat_ws(",\n", *lines),
+                       F.lit(ELEMENT_END), F.when(F.col("_last"), "\n]").otherwise(","))
+    (placed.sortWithinPartitions("run_id", "segment", "pos").select("run_id", "segment", element.alias("value"))
+     .write.partitionBy("run_id", "segment").text(path))
+
+
+def read_run_files(spark: SparkSession, path: str | list[str], segment_events: int | None = None) -> DataFrame:
     """Read files of one JSON array each, with the columns of :func:`read_run_logs`.
 
-    A folder of :func:`write_run_files` keeps its run ids; otherwise each file is one run and its id is the
-    file's path below the folder that all given paths have in common, without extension: equal names in different
-    folders are different runs. A file that isn't one JSON array is an error. This layout needs a
-    whole file in one row.
+    In a folder of :func:`write_run_files` a run keeps its id, after the folders between it and the one that all given paths
+    have in common; otherwise each file is one run and its id is the file's path below that folder, without extension. So
+    equal names in different folders are different runs. Segments of a run follow each other by number; with
+    ``segment_events`` a segment's first position is a multiple of it, as when a segment is read alone.
+
+    An indented array (four spaces) is split at the ends of its elements, and their order follows from file, split and
+    place in the split: a file of any length is read in pieces, by as many tasks as it has splits. Any other
+    array is one row. A file that isn't one whole JSON array is an error.
     """
-    files = spark.read.text(path, wholetext=True)
-    if not {"run_id", "segment"} <= set(files.columns):
-        # Paths come encoded as URLs; a plus sign stands for itself there.
-        full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-        root = F.lit(_common_folder([path] if isinstance(path, str) else path))
-        below = F.when(F.instr(full, root) > 0, F.substring(
-            full, F.instr(full, root) + F.length(root) + 1, F.length(full))).otherwise(full)
-        name = F.when(below == "", F.regexp_extract(full, r"([^/]+)$", 1)).otherwise(below)
-        files = files.select("value", F.regexp_replace(name, r"\.[^./]*$", "").alias("run_id"),
-                             F.lit(0).alias("segment"))
-    arrays = files.withColumn("events", F.from_json("value", T.ArrayType(EVENT_TYPE), {"mode": "FAILFAST"}))
-    return _events(arrays, segment_events)
+    full, below = _paths([path] if isinstance(path, str) else path)
+    ids = r"/run_id=([^/]*)/segment=(\d+)/[^/]*$"
+    ours = F.col("_full").rlike(ids)
+    own = F.nullif(F.regexp_extract("_full", ids, 1), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    run_id = F.when(ours, F.concat(F.regexp_extract("_below", r"^(.*/)?run_id=", 1), _decoded(own))).otherwise(
+        F.regexp_replace("_below", r"\.[^./]*$", ""))
+    segment = F.when(ours, F.regexp_extract("_full", ids, 2).cast("bigint")).otherwise(0)
+    opened = F.col("value").rlike(r"^\s*[\[,]\s*\n    \{")
+    closing = F.col("value").rlike(r"^\s*\]\s*$")
+    strict = {"mode": "FAILFAST"}
+    element = F.concat(F.regexp_replace("value", r"^\s*[\[,]\s*", ""), F.lit(ELEMENT_END))
+    events = (F.when(closing, F.array().cast(T.ArrayType(EVENT_TYPE)))
+              .when(opened, F.array(F.from_json(element, EVENT_TYPE, strict)))
+              .when(F.ltrim("value").startswith("["), F.from_json("value", T.ArrayType(EVENT_TYPE), strict))
+              .otherwise(F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("_file")))))
+    pieces = spark.read.option("lineSep", ELEMENT_END).option("recursiveFileLookup", True).text(path).select(
+        "value", full.alias("_full"), below.alias("_below"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"))
+    parsed = written(pieces.select(
+        run_id.alias("run_id"), segment.alias("segment"), "_file", "_start", F.monotonically_increasing_id().alias("_mid"),
+        events.alias("events"), (~opened).cast("int").alias("_end")), "log-pieces")
+    full_of_events = F.size("events") > 0
+    splits = parsed.groupBy("run_id", "segment", "_file", "_start").agg(
+        F.sum(F.size("events")).alias("_n"), F.min(F.when(full_of_events, F.col("_mid"))).alias("_m0"),
+        F.sum("_end").alias("_ends"))
+    # One row per split of a file: a run's events before it, and how often its file ends.
+    before = Window.partitionBy("run_id").orderBy("segment", "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.sum("_ends").over(Window.partitionBy("run_id", "segment", "_file"))
+    in_segment = (Window.partitionBy("run_id", "segment").orderBy("_file", "_start")
+                  .rowsBetween(Window.unboundedPreceding, -1))
+    offset = (F.coalesce(F.sum("_n").over(before), F.lit(0)) if segment_events is None else
+              F.col("segment") * segment_events + F.coalesce(F.sum("_n").over(in_segment), F.lit(0)))
+    offsets = splits.select("_file", "_start", "_m0", offset.alias("_off"), ends.alias("_whole"))
+    placed = join_lookup(parsed.drop("segment"), written(offsets, "log-splits"), ["_file", "_start"])
+    whole = F.when(F.col("_whole") == 1, F.col("events")).otherwise(
+        F.raise_error(F.concat(F.lit("not one whole JSON array: "), F.col("_file"))))
+    return (placed.select("run_id", "_off", "_mid", "_m0", F.posexplode(whole).alias("_p", "_e"))
+            .select("run_id", (F.col("_off") + F.col("_mid") - F.col("_m0") + F.col("_p")).alias("pos"), "_e.*"))
+
+
+def _decoded(path: Column) -> Column:
+    """Paths come encoded as URLs; a plus sign stands for itself there."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def _paths(paths: list[str]) -> tuple[Column, Column]:
+    """Each row's file path, and the part below the folder that all paths have in common."""
+    full = _decoded(F.col("_metadata.file_path"))
+    root = F.lit(_common_folder(paths))
+    below = F.when(F.instr(full, root) > 0, F.substring(
+        full, F.instr(full, root) + F.length(root) + 1, F.length(full))).otherwise(full)
+    return full, F.when(below == "", F.regexp_extract(full, r"([^/]+)$", 1)).otherwise(below)
 
 
 def _common_folder(paths: list[str]) -> str:

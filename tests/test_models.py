@@ -36,6 +36,24 @@ def test_logreg_gradient_vanishes(sides, matrix):
     assert np.abs(x.T @ (y - p)).max() / len(y) < 1e-5 and abs((y - p).sum()) / len(y) < 1e-5
 
 
+def test_newton_meets_the_optimum(spark, sides, matrix, wide):
+    x, y = matrix
+    fit = linear.fit_logreg_newton(sides[0], SUSY_FEATURES)
+    p = 1 / (1 + np.exp(-(x @ np.array(fit.coefficients) + fit.intercept)))
+    assert np.abs(x.T @ (y - p)).max() / len(y) < 1e-9 and abs((y - p).sum()) / len(y) < 1e-9 and fit.steps < 15
+    df, _ = wide
+    model = linear.fit_logreg(df, max_iter=500, tol=1e-12)
+    both = linear.fit_logreg_newton(df.repartition(3), "features")
+    assert np.allclose(both.coefficients, model.coefficients.toArray(), atol=1e-3)
+    parted = spark.createDataFrame([(float(i), float(i > 5)) for i in range(12)], "x double, label double")
+    with pytest.raises(ValueError):
+        linear.fit_logreg_newton(parted, ["x"])
+    with pytest.raises(ValueError, match="missing"):
+        linear.fit_logreg_newton(spark.createDataFrame([(1.0, 1.0), (None, 0.0)], "x double, label double"), ["x"])
+    with pytest.raises(ValueError, match="depend"):
+        linear.fit_logreg_newton(sides[0].withColumn("copy", F.col("`0`") * 2), ["0", "copy"])
+
+
 @pytest.mark.parametrize("lam", [0.01, 0.1])
 def test_elastic_net_meets_the_optimality_conditions(sides, matrix, lam):
     x, y = matrix
@@ -88,6 +106,85 @@ def test_network_expressions_equal_the_model(sides):
         mlp.score_network(test, SUSY_FEATURES, layers, "relu")
 
 
+def test_tanh_network_learns_by_its_gradient(spark, sides, matrix):
+    x, y = matrix
+    start = mlp.random_layers([4, 5, 3, 2], seed=2)
+    flat = [(np.array(layer.weights), np.array(layer.bias)) for layer in start]
+    loss, gradient = mlp._gradient(x, y, flat)
+    at = 0
+    for w, b in flat:
+        for a in (w, b):
+            for i in (0, a.size - 1):
+                old = a.flat[i]
+                a.flat[i] = old + 1e-6
+                up = mlp._gradient(x, y, flat)[0]
+                a.flat[i] = old - 1e-6
+                down = mlp._gradient(x, y, flat)[0]
+                a.flat[i] = old
+                assert gradient[at + i] == pytest.approx((up - down) / 2e-6, rel=1e-4, abs=1e-3)
+            at += a.size
+    assert at == len(gradient)
+    train, test = sides
+    layers, losses = mlp.fit_mlp_tanh(train, SUSY_FEATURES, hidden=(6, 4), max_iter=200, step_size=0.5, seed=5)
+    assert len(losses) == 201 and losses[-1] < losses[0] - 0.1 and all(b < a + 1e-3 for a, b in zip(losses, losses[1:]))
+    scored = mlp.score_network(test, SUSY_FEATURES, layers, "tanh")
+    assert accuracy(scored).first()["accuracy"] > _majority(test) + 0.05
+    assert scored.select("prediction").distinct().count() == 2
+    again = mlp.fit_mlp_tanh(train.repartition(3), SUSY_FEATURES, hidden=(6, 4), max_iter=20, step_size=0.5, seed=5, tol=0.0)[1]
+    assert np.allclose(again, losses[:21])
+    assert len(mlp.fit_mlp_tanh(train, "features", hidden=(3,), max_iter=50, step_size=1e-9, tol=1e-6)[1]) == 2
+
+
+def test_network_from_given_weights(sides):
+    layers = mlp.random_layers([4, 3, 2], seed=1)
+    model = mlp.fit_mlp(sides[0], 4, start=layers, max_iter=1, step_size=1e-300)
+    assert np.allclose(model.weights.toArray(), mlp.flat_weights(layers))
+    assert mlp.flat_weights(mlp.layers_of(model)) == model.weights.toArray().tolist()
+
+
+def test_trees_as_a_table(spark, sides):
+    train, test = sides
+    model = trees.fit_gbt(train, seed=1, n_trees=4)
+    nodes = trees.model_nodes(model, spark).drop("n")
+    mine = trees.score_trees(test, SUSY_FEATURES, nodes, model.treeWeights).withColumnsRenamed({"margin": "m", "prediction": "q"})
+    both = model.transform(mine)
+    raw = vector_to_array("rawPrediction")
+    assert both.filter(F.abs(raw[1] - F.col("m") * 1) > 1e-9).filter(F.abs(raw[1] - F.col("m") * 2) > 1e-9).count() == 0
+    assert both.filter("prediction <> q").count() == 0
+    with pytest.raises(ValueError):
+        trees.score_trees(test, SUSY_FEATURES, nodes, [1.0])
+
+
+def test_grown_tree_lowers_the_squared_error_most(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 5, size=(400, 3)).astype(float)
+    t = np.where((x[:, 1] > 2) & (x[:, 0] < 2), 1.0, -1.0) + rng.integers(0, 2, 400)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, t)], "a double, b double, c double, t double")
+
+    def best(rows):
+        found = []
+        for f in range(3):
+            values = np.unique(x[rows, f])
+            for lo, hi in zip(values, values[1:]):
+                left = x[rows, f] <= (lo + hi) / 2
+                error = sum(((t[rows][s] - t[rows][s].mean()) ** 2).sum() for s in (left, ~left))
+                found.append((error, f, (lo + hi) / 2))
+        return min(found) if found else None
+
+    got = {r["node"]: r for r in trees.grow_tree(df.repartition(4), ["a", "b", "c"], "t", 2).collect()}
+    places = {1: np.arange(400)}
+    for node in sorted(got):
+        rows = places[node]
+        assert got[node]["n"] == len(rows) and got[node]["value"] == pytest.approx(t[rows].mean())
+        if got[node]["cut"] is not None:
+            f, cut = got[node]["feature"], got[node]["cut"]
+            left = x[rows, f] <= cut
+            error = sum(((t[rows][s] - t[rows][s].mean()) ** 2).sum() for s in (left, ~left))
+            assert error == pytest.approx(best(rows)[0])
+            places[2 * node], places[2 * node + 1] = rows[left], rows[~left]
+    assert set(got) == set(places) and len(got) > 3
+
+
 def test_gbt(sides):
     train, test = sides
     model = trees.fit_gbt(train, seed=1, n_trees=5)
@@ -116,6 +213,21 @@ def test_nearest_center_ties(spark):
     assert rows_of(km.assign_clusters(df, ["x"], [[1.0], [-1.0], [1.0]])) == [(0.0, 0), (0.6, 0)]
 
 
+def test_seeding_does_not_depend_on_partitions(spark, sides):
+    rows = susy(spark, "/root/testdata/sf0.001")
+    one = km.seed_centers(rows, SUSY_FEATURES, "split_key", 3)
+    assert one == km.seed_centers(rows.repartition(7), SUSY_FEATURES, "split_key", 3) and len(one) == 3
+    far = spark.createDataFrame([(i, float(i % 3) * 100 + i / 1000) for i in range(300)], "k bigint, x double").repartition(5)
+    seeds = sorted(round(c[0] / 100) for c in km.seed_centers(far, ["x"], "k", 3))
+    assert seeds == [0, 1, 2]
+    centers = km.fit_kmeans_seeded(far, ["x"], "k", 3)
+    assert np.allclose(sorted(c[0] for c in centers), [0.1485, 100.1495, 200.1505], atol=0.01)
+    with pytest.raises(ValueError, match="fewer"):
+        km.seed_centers(spark.createDataFrame([(1, 5.0)] * 4, "k bigint, x double"), ["x"], "k", 2)
+    with pytest.raises(ValueError, match="no rows"):
+        km.seed_centers(far.limit(0), ["x"], "k", 2)
+
+
 def test_kmeans_centers_are_fixed_points(spark, sf_dir):
     rows = susy(spark, sf_dir).select(array_to_vector(F.array("`0`")).alias("features"), F.col("`0`"))
     centers = km.fit_kmeans(rows, seed=1).clusterCenters()
@@ -178,13 +290,54 @@ def test_power_method(wide):
     want, basis = np.linalg.eigh(gram)
     assert np.allclose(values, want[::-1])
     assert np.allclose(pca.fix_signs(vectors), pca.fix_signs(basis[:, ::-1]), atol=1e-6)
-    _, ratios = pca.fit_pca_uncentered_vectors(df, k=10)
-    values = np.linalg.eigvalsh(x.T @ x)[::-1]
-    assert np.allclose(ratios, values[:10] / values.sum(), atol=1e-6)
     with pytest.raises(ValueError):
         pca.power_components(gram, 4)
 
 
+@pytest.mark.parametrize("k", [1, 10, 40, 64])
+@pytest.mark.parametrize("centered", [True, False])
+def test_components_of_wide_rows(wide, k, centered):
+    df, x = wide
+    moment = np.cov(x.T, bias=True) if centered else x.T @ x
+    want, basis = np.linalg.eigh(moment)
+    vectors, ratios = pca.fit_components(df.repartition(5), "features", k, centered)
+    assert np.allclose(ratios, want[::-1][:k] / want.sum(), atol=1e-10)
+    assert np.allclose(pca.fix_signs(vectors), pca.fix_signs(basis[:, ::-1][:, :k]), atol=1e-6)
+
+
+def test_components_of_rows_with_holes(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 90)) * np.linspace(1, 3, 90) + 5
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 4] = 2.5
+    full = np.where(np.isnan(x), np.nanmean(x, axis=0), x)
+    df = spark.createDataFrame([(Vectors.dense(r),) for r in x], ["features"]).repartition(7)
+    for centered, moment in ((True, np.cov(full.T)), (False, full.T @ full)):
+        want, basis = np.linalg.eigh(moment)
+        vectors, ratios = pca.fit_components(df, "features", 3, centered)
+        assert np.allclose(ratios, want[::-1][:3] / want.sum(), atol=1e-10)
+        assert np.allclose(pca.fix_signs(vectors), pca.fix_signs(basis[:, ::-1][:, :3]), atol=1e-6)
+    n, mean, cov = pca.vector_moments(df)
+    assert n == 300 and np.allclose(mean, full.mean(axis=0)) and np.allclose(cov, np.cov(full.T)) and (cov[4] == 0).all()
+    table = {(r["i"], r["j"]): r["cov"] for r in pca.covariance_table(df).collect()}
+    assert len(table) == 8100 and np.allclose([table[i, 7] for i in range(90)], cov[:, 7])
+    cols = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r[:5]) for r in x], "a double, b double, c double, d double, e double")
+    assert np.allclose(pca.fit_pca_uncentered(cols, cols.columns, 2)[1], np.linalg.eigvalsh(full[:, :5].T @ full[:, :5])[::-1][:2]
+                       / (full[:, :5] ** 2).sum(), atol=1e-10)
+
+
+def test_components_need_values_and_passes(spark, wide):
+    df = spark.createDataFrame([(Vectors.dense(1.0, float("nan")),)] * 3, ["features"])
+    with pytest.raises(ValueError, match="no value"):
+        pca.fit_components(df, "features", 1)
+    with pytest.raises(ValueError, match="no rows"):
+        pca.fit_components(df.limit(0), "features", 1)
+    with pytest.raises(ValueError, match="converged"):
+        pca.fit_components(wide[0], "features", 5, max_passes=1)
+    with pytest.raises(ValueError, match="k must"):
+        pca.fit_components(wide[0], "features", 65)
+
+
 def test_one_failing_model_does_not_stop_the_rest(sides):
     train, test = (s.select("label", "features") for s in sides)
     got = suite.fit_all_models(train, test, suite.default_models(4, seed=1)).orderBy("ord").collect()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fityard.sources import (
-    batch_featurize, byte_histogram, chunk_table, export_feature_csv, label_from_filename,
+    batch_featurize, byte_histogram, chunk_table, export_feature_csv, feature_csv, index_feature_csv, label_from_filename,
     read_items, read_prefix, read_run_files, read_run_logs, scan_feature_csv, write_run_files,
     write_run_logs)
 from fityard.sources.feature_csv import _files_of_prefix
@@ -50,6 +50,53 @@ def test_prefix_reads_only_the_files_it_needs(spark, tmp_path):
     assert read_prefix(spark, path, SPEC, n_train=3, n_test=2).count() == 50
 
 
+def _splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+@pytest.mark.parametrize("size", [300, 1000, 10_000_000])
+def test_prefix_of_an_index_equals_the_plain_one(spark, tmp_path, size):
+    path = _csv(tmp_path / "a", 1000, files=4)
+    index = index_feature_csv(spark, path)
+    assert index.agg(F.sum("rows")).first()[0] == 1000 and (tmp_path / "a" / "_row_counts").is_dir()
+    assert scan_feature_csv(spark, path, SPEC).count() == 1000
+    try:
+        _splits(spark, size)  # other splits than those of the index
+        for n_train, n_test in ((1, 1), (20, 5), (24, 1), (25, 1), (60, 30), (200, 1)):
+            got = read_prefix(spark, path, SPEC, n_train, n_test, index=index)
+            want = min(1000, (n_train + n_test) * 10)
+            assert rows_of(got.select("row_idx", F.col("`0`").cast("int"))) == [(i, i) for i in range(want)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_prefix_of_one_large_file_parses_little_more_than_itself(spark, tmp_path):
+    folder = tmp_path / "a"
+    folder.mkdir()
+    (folder / "one.csv").write_text("".join(f"{i % 2},{i},{i * 0.25}\n" for i in range(100_000)) + "\n1,broken\n")
+    try:
+        _splits(spark, 10_000)
+        index = index_feature_csv(spark, str(folder))
+        assert index.count() > 100
+        lines = feature_csv._indexed_prefix(spark, str(folder), index, 1000)
+        assert 1000 <= lines.count() < 3000
+        got = read_prefix(spark, str(folder), SPEC, 80, 20, index=index)  # the broken line is never parsed
+        assert rows_of(got.select("row_idx", F.col("`0`").cast("int"))) == [(i, i) for i in range(1000)]
+        with pytest.raises(Exception):
+            read_prefix(spark, str(folder), SPEC, 20_000, 1, index=index).count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_stale_indexes_are_errors(spark, tmp_path):
+    path = _csv(tmp_path / "a", 100, files=2)
+    index = index_feature_csv(spark, path, str(tmp_path / "index")).cache()
+    assert read_prefix(spark, path, SPEC, 3, 2, index=index).count() == 50
+    (tmp_path / "a" / "part-2.csv").write_text("1,2,3\n")
+    with pytest.raises(ValueError, match="part-2"):
+        read_prefix(spark, path, SPEC, 3, 2, index=index)
+
+
 def test_prefix_needs_chunks_on_both_sides(spark, tmp_path):
     path = _csv(tmp_path / "a", 30)
     for n_train, n_test in ((0, 1), (1, 0)):
@@ -64,7 +111,9 @@ def test_chunk_table(spark, tmp_path):
         F.count("*").alias("n"), F.min("row_idx").alias("first"))
     assert rows_of(got) == [("test", 3, 0, 10, 30), ("test", 4, 1, 5, 40), ("train", 0, 0, 10, 0),
                             ("train", 1, 1, 10, 10), ("train", 2, 2, 10, 20)]
-    assert (tmp_path / "chunks" / "split=train" / "chunk_id=2").is_dir()
+    one_by_one = chunk_table(rows.coalesce(2), 1, 30, str(tmp_path / "small"))
+    assert one_by_one.select("chunk_id").distinct().count() == 45
+    assert len(list((tmp_path / "small").glob("*.parquet"))) <= 2
 
 
 def test_label_from_filename(spark):
@@ -126,6 +175,54 @@ def test_log_round_trip(spark, out_dir, segment):
             (r, p, e, v or "", t) for r, p, e, v, t in rows)
 
 
+def test_run_files_are_what_a_run_writes(spark, out_dir):
+    rows = [(7, p, e["event"], {True: "true"}.get(e["value"], e["value"]), float(e["execution_time"]), e["start_time"],
+             e["start_time_epoch"]) for p, e in enumerate(LOG)]
+    schema = ("run_id bigint, pos bigint, event string, value string, execution_time double, start_time string, "
+              "start_time_epoch double")
+    odd = [(8, 0, 'quote " back \\ brace }\n    }', "true", 0.1, "x", 1e300), (8, 1, "Result", "false", None, None, None)]
+    write_run_files(spark.createDataFrame(rows + odd, schema), out_dir)
+    files = {r["p"].split("run_id=")[1].split("/")[0]: r["value"] for r in spark.read.option(
+        "recursiveFileLookup", True).text(out_dir, wholetext=True).select("value", F.col("_metadata.file_path").alias("p")).collect()}
+    assert files["7"].rstrip("\n") == json.dumps([{**e, "execution_time": float(e["execution_time"])} for e in LOG], indent=4)
+    assert json.loads(files["8"])[0]["event"] == odd[0][2] and json.loads(files["8"])[1]["value"] is False
+    got = read_run_files(spark, out_dir).orderBy("run_id", "pos").collect()
+    assert [tuple(r) for r in got] == [(str(r[0]), *r[1:]) for r in rows + odd]
+
+
+@pytest.mark.parametrize("size", [100, 1000, 100_000])
+def test_long_logs_are_read_in_pieces(spark, tmp_path, size):
+    log = [{"event": f"e{i} }}", "value": "x" * (i % 40) if i % 3 else None, "execution_time": i / 4,
+            "start_time": "t", "start_time_epoch": float(i)} for i in range(500)]
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "run.json").write_text(json.dumps(log, indent=4) + "\n")
+    (tmp_path / "b" / "short.json").write_text(json.dumps(log[:7]))
+    (tmp_path / "b" / "none.json").write_text("[]")
+    try:
+        _splits(spark, size)
+        got = read_run_files(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+        assert rows_of(got, "run_id", "pos", "event", "start_time_epoch") == sorted(
+            (run, i, e["event"], e["start_time_epoch"]) for run, n in (("a/run", 500), ("b/run", 500), ("b/short", 7))
+            for i, e in enumerate(log[:n]))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("cut", [3, 40, 250, 700])
+def test_a_log_cut_short_is_an_error(spark, tmp_path, cut):
+    text = json.dumps(LOG * 2, indent=4)
+    (tmp_path / "one.json").write_text(text[:-cut])
+    with pytest.raises(Exception):
+        read_run_files(spark, str(tmp_path)).collect()
+
+
+def test_log_ending_at_an_element_is_an_error(spark, tmp_path):
+    (tmp_path / "one.json").write_text(json.dumps(LOG, indent=4)[:-2])
+    with pytest.raises(Exception):
+        read_run_files(spark, str(tmp_path)).collect()
+
+
 def test_equal_file_names_in_two_folders_are_two_runs(spark, tmp_path):
     for plan in ("a b", "c+d"):
         (tmp_path / plan).mkdir()
