@@ -37,6 +37,7 @@ MAX_BITS = 1 << 14
 TOKEN_BITS = 42        # bits of a token's hash that tell tokens apart inside a set
 LINES_AT_ONCE = 60_000
 PAIRS_AT_ONCE = 1 << 15
+PLACE = "struct<id:bigint,line:bigint>"  # of a line; places are ordered by id, then line
 _LOW = U64((1 << TOKEN_BITS) - 1)
 
 
@@ -237,7 +238,7 @@ def _set_postings(classes: DataFrame, hits, percent: int) -> DataFrame:
 
     return (classes.filter(f"tokens is not null and octet_length(tokens) <= {8 * WIDE}")
             .select(F.col("k1").alias("class"), "place", "tokens").mapInArrow(
-        post, "token bigint, class bigint, size int, position int, parity binary, place bigint, tokens binary"))
+        post, f"token bigint, class bigint, size int, position int, parity binary, place {PLACE}, tokens binary"))
 
 
 def _posting_hash(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -248,13 +249,18 @@ def _links(units: DataFrame, percent: int) -> DataFrame:
     """``(class, n_links, earliest)`` by unit, of the pairs that match and whose first common token is the unit's."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 20_000):
-            cls, size, place, token = (table.column(c).to_numpy() for c in ("class", "size", "place", "token"))
+            cls, size, token = (table.column(c).to_numpy() for c in ("class", "size", "token"))
+            place = table.column("place").combine_chunks()
+            place = pa.concat_arrays(place.chunks) if isinstance(place, pa.ChunkedArray) else place
+            order = np.lexsort([np.asarray(place.field(c)) for c in ("line", "id")])
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
             sets = table.column("tokens").to_pylist()
             at = np.concatenate([[0], np.cumsum([len(x) // 8 for x in sets])])
             tokens = np.frombuffer(b"".join(sets), dtype=U64)
             size, token = size.astype(np.int64), token.view(U64)
             n_links = np.zeros(len(cls), dtype=np.int64)
-            earliest = np.full(len(cls), np.iinfo(np.int64).max)
+            earliest = np.full(len(cls), len(cls))
             held: list[tuple[np.ndarray, np.ndarray]] = []
 
             def settle() -> None:
@@ -267,7 +273,7 @@ def _links(units: DataFrame, percent: int) -> DataFrame:
                     x, y = x[ok], y[ok]
                     for one, other in ((x, y), (y, x)):
                         np.add.at(n_links, one, 1)
-                        np.minimum.at(earliest, one, place[other])
+                        np.minimum.at(earliest, one, rank[other])
 
             for i, j in _near_rows(table, percent):
                 if len(i):
@@ -279,11 +285,11 @@ def _links(units: DataFrame, percent: int) -> DataFrame:
             some = np.flatnonzero(n_links)
             if len(some):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls[some]), pa.array(n_links[some]), pa.array(earliest[some])],
+                    [pa.array(cls[some]), pa.array(n_links[some]), place.take(pa.array(order[earliest[some]]))],
                     names=["class", "n_links", "earliest"])
 
     return (units.repartition("unit").sortWithinPartitions("unit", "size", "class")
-            .mapInArrow(check, "class bigint, n_links bigint, earliest bigint"))
+            .mapInArrow(check, f"class bigint, n_links bigint, earliest {PLACE}"))
 
 
 def _units(posted: DataFrame, name: str) -> DataFrame:
@@ -344,7 +350,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         F.col("k1").alias(c), F.col("tokens").alias(f"tokens_{c}"), F.col("place").alias(f"place_{c}")) for c in "ab"}
     held = (pairs.join(side["a"], "a").join(side["b"], "b")
             .select("a", "b", "tokens_a", "tokens_b", "place_a", "place_b")
-            .mapInArrow(check, "a bigint, b bigint, place_a bigint, place_b bigint"))
+            .mapInArrow(check, f"a bigint, b bigint, place_a {PLACE}, place_b {PLACE}"))
     ways = F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("place_b").alias("place")),
                              F.struct(F.col("b").alias("class"), F.col("place_a").alias("place"))))
     return held.select(ways.alias("w")).groupBy(F.col("w.class").alias("class")).agg(
@@ -371,22 +377,18 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hits = occurrence_levels(found.filter("b is null").select("token", "a"), lambda batch: [
         _posting_hash(np.asarray(batch.column(0)), np.asarray(batch.column(1)))])
     places = written(_places(known, levels, again, wanted), "lines")
-    # One integer that orders places: documents may have up to 2^24 lines.
-    place = F.shiftleft(F.col("first.id"), 24) + F.least(F.col("first.line"), F.lit((1 << 24) - 1))
-    classes = written(places.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("first"),
-                                                     F.min("tokens").alias("tokens"))
-                      .withColumn("place", place), "line-sets")
+    classes = written(places.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("place"),
+                                                     F.min("tokens").alias("tokens")), "line-sets")
     pairs = found.filter("b is not null").select("a", "b").distinct()
     links = (_links(_units(_set_postings(classes, hits, percent), "hot-sets"), percent)
              .unionByName(_verified(pairs, classes, percent)).groupBy("class")
              .agg(F.sum("n_links").alias("n_links"), F.min("earliest").alias("earliest")))
-    decided = written(classes.select("k1", "k2", "first", "place").join(
+    decided = written(classes.select("k1", "k2", "place").join(
         links.withColumnRenamed("class", "k1"), "k1", "left"), "line-decisions")
     lines = places.select("id", "line", "k1", "k2").join(decided, ["k1", "k2"])
-    is_first = (F.col("id") == F.col("first.id")) & (F.col("line") == F.col("first.line"))
-    nearest = F.shiftright("earliest", 24)
+    is_first = (F.col("id") == F.col("place.id")) & (F.col("line") == F.col("place.line"))
     lines = lines.select("id", "line", F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                         F.least(F.col("first.id"), F.coalesce(nearest, F.col("first.id"))).alias("first_id"),
+                         F.least(F.col("place.id"), F.coalesce("earliest.id", "place.id")).alias("first_id"),
                          (~is_first | F.coalesce(F.col("earliest") < F.col("place"), F.lit(False))).alias("removed"))
     return lines, texts
 
@@ -451,7 +453,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null texts stay null, with 0 lines. Rows with a null id are returned unchanged and match nothing. Rows that repeat an id
     count as one document: a line number that several of them have counts as one line, and goes in all of them. Other columns
-    are not read. An empty table gives an empty table. A line's number beyond 2^24 orders like 2^24.
+    are not read. An empty table gives an empty table.
     """
     cut = _cut_rows(docs, id_col, text_col, percent)
     return cut.select(F.col(f"row.`{id_col}`").alias(id_col), "text", "n_lines", "n_removed", "n_links", "class_id")
