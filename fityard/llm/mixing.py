@@ -4,19 +4,23 @@ A classifier fitted on the labelled table gives every document its posterior of
 rate is how often it enters the mixture on average; the rates are nonnegative and, in the least squares
 sense, make the expected tokens of every domain (sum of rate x tokens x posterior) equal its target.
 
-The rates start at 1 and move by projected gradient steps. A step of document d is its posteriors times
-the same few numbers, the current shortfalls of all domains. So the rates never have to be stored between
-steps: a document's rate is the replay of those numbers, and a step costs one aggregation of one row per
-task. Steps are scaled by each document's tokens and by the Gram matrix of the posteriors.
+The rates start at 1 and move by projected gradient steps. The gradient of document d is its tokens times its posteriors
+times the same few numbers, the current shortfalls of all domains; a step moves its rate by its posteriors times a
+direction that follows from those, and cuts it at 0. So the rates never have to be stored between steps: a document's
+rate is the replay of shortfalls and directions, and a step costs two aggregations of one row per task.
+Documents that stand at 0 and would be pushed below stay where they are; the direction is the shortfalls through the
+inverse Gram matrix of all others, or the plain gradient, in several lengths: what brings the targets nearest of all is
+taken, and the plain gradient over the largest eigenvalue always helps. The end is where such a step would move next to nothing.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -26,7 +30,7 @@ from fityard.runtime import written
 
 DOMAINS = ["good", "poor", "toxic"]
 TARGETS = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
-MAX_STEPS = 60
+MAX_STEPS = 100
 TOLERANCE = 1e-6  # of all tokens
 
 
@@ -38,57 +42,88 @@ def labelled_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
             .filter("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label")))
 
 
-def replay(posteriors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+def moved(rate: np.ndarray, posteriors: np.ndarray, gap: np.ndarray, direction: np.ndarray) -> np.ndarray:
+    """Rates after a step; those at 0 whose gradient points below stay."""
+    held = (rate <= 0) & (posteriors @ gap <= 0)
+    return np.where(held, rate, np.maximum(0.0, rate + posteriors @ direction))
+
+
+def replay(posteriors: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     rate = np.ones(len(posteriors))
-    for step in steps:
-        rate = np.maximum(0.0, rate + posteriors @ step)
+    for gap, direction in steps:
+        rate = moved(rate, posteriors, gap, direction)
     return rate
 
 
 def fit_rates(members: DataFrame, targets: np.ndarray, max_steps: int = MAX_STEPS,
-              tolerance: float = TOLERANCE) -> list[np.ndarray]:
+              tolerance: float = TOLERANCE) -> list[tuple[np.ndarray, np.ndarray]]:
     """Steps whose replay gives the rates. ``members``: n_tokens, posteriors. ``targets``: wanted tokens of each
-    domain, NaN where any number will do."""
+    domain, NaN where any number will do. A fit that hasn't come to its end after ``max_steps`` steps is warned about."""
     k, spark = len(targets), members.sparkSession
     total = np.nansum(targets)
     if not total > 0:
         return []
 
-    def summed(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        sent = spark.sparkContext.broadcast(steps)
+    def summed(work, size: int, *sent_: object) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(sent_)
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tokens_of, gram = np.zeros(k), np.zeros((k, k))
+            sums = np.zeros(size)
             for batch in batches:
                 tokens = np.asarray(batch.column(0)).astype(float)
                 p = np.asarray(batch.column(1).flatten()).reshape(-1, k)
-                rate = replay(p, sent.value)
-                tokens_of += (rate * tokens) @ p
-                gram += (p * (tokens * (rate > 0))[:, None]).T @ p
-            yield pa.RecordBatch.from_arrays([pa.array([tokens_of.tolist()]), pa.array([gram.reshape(-1).tolist()])],
-                                             names=["tokens", "gram"])
-
-        one = members.select("n_tokens", "posteriors").mapInArrow(part, "tokens array<double>, gram array<double>")
-        row = one.agg(*(F.sum(F.col("tokens")[i]).alias(f"t{i}") for i in range(k)),
-                      *(F.sum(F.col("gram")[i]).alias(f"g{i}") for i in range(k * k))).first()
-        values = np.array([v or 0.0 for v in row], dtype=float)
-        return values[:k], values[k:].reshape(k, k)
+                sums += work(tokens, p, *sent.value)
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()])], names=["sums"])
+
+        one = members.select("n_tokens", "posteriors").mapInArrow(part, "sums array<double>")
+        row = one.agg(*(F.sum(F.col("sums")[i]) for i in range(size))).first()
+        sent.destroy()
+        return np.array([v or 0.0 for v in row], dtype=float)
+
+    def tokens_at(steps: list, gap: np.ndarray, directions: list[np.ndarray]) -> np.ndarray:
+        """Expected tokens of every domain after one more step, for each of the directions."""
+        def work(tokens, p, s, g, ds):
+            rate = replay(p, s)
+            return np.concatenate([(moved(rate, p, g, d) * tokens) @ p for d in ds])
+
+        return summed(work, k * len(directions), steps, gap, directions).reshape(-1, k)
+
+    def slopes_at(steps: list, gap: np.ndarray, scale: float) -> tuple[np.ndarray, float]:
+        """Gram matrix of the documents that can move, and how many tokens a plain step would move."""
+        def work(tokens, p, s, g):
+            rate, push = replay(p, s), p @ g
+            free = (rate > 0) | (push > 0)
+            far = np.abs(rate - np.maximum(0.0, rate + push / scale)) @ tokens
+            return np.append(((p * (tokens * free)[:, None]).T @ p).reshape(-1), far)
+
+        sums = summed(work, k * k + 1, steps, gap)
+        return sums[:-1].reshape(k, k), float(sums[-1])
 
     def shortfall(tokens: np.ndarray) -> np.ndarray:
         return np.nan_to_num(targets - tokens)
 
-    steps: list[np.ndarray] = []
-    tokens, gram = summed(steps)
-    gap, damping = shortfall(tokens), 1.0
-    while len(steps) < max_steps and np.abs(gap).max() > tolerance * total:
-        step = damping * np.linalg.solve(gram + 1e-6 * total * np.eye(k), gap)
-        tokens, next_gram = summed([*steps, step])
-        if np.linalg.norm(shortfall(tokens)) >= np.linalg.norm(gap):  # too far: what was projected came back
-            damping /= 2
-            if damping < 1e-3:
-                break
-            continue
-        steps, gap, gram = [*steps, step], shortfall(tokens), next_gram
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    gap = shortfall(tokens_at(steps, np.zeros(k), [np.zeros(k)])[0])
+    used = ~np.isnan(targets)
+    whole = summed(lambda tokens, p: ((p * tokens[:, None]).T @ p).reshape(-1), k * k).reshape(k, k)
+    largest = float(np.linalg.eigvalsh(whole * np.outer(used, used))[-1])
+    if not largest > 0:
+        return []
+    while len(steps) < max_steps:
+        gram, far = slopes_at(steps, gap, largest)
+        if far <= tolerance * total or np.abs(gap).max() <= tolerance * total:
+            return steps
+        gram = gram * np.outer(used, used)
+        newton = np.linalg.solve(gram + (1e-9 * np.trace(gram) + 1e-12 * largest) * np.eye(k), gap)
+        # Both kinds of direction in several lengths, tried in one pass; the plain gradient's first one always helps.
+        directions = [newton / 2 ** i for i in range(6)] + [gap / largest * 2 ** i for i in range(10)]
+        size = [np.linalg.norm(shortfall(t)) for t in tokens_at(steps, gap, directions)]
+        best = int(np.argmin(size))
+        if size[best] >= np.linalg.norm(gap) * (1 - 1e-13):
+            return steps  # as near as doubles can tell
+        steps = [*steps, (gap, directions[best])]
+        gap = shortfall(tokens_at(steps, gap, [np.zeros(k)])[0])
+    warnings.warn(f"rates have not converged after {max_steps} steps; {far / total:.1e} of all tokens would still move")
     return steps
 
 
@@ -111,14 +146,14 @@ def _with_tokens(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, schema)
 
 
-def _steps(members: DataFrame, targets: dict[str, float], budget: float) -> list[np.ndarray]:
+def _steps(members: DataFrame, targets: dict[str, float], budget: float) -> list[tuple[np.ndarray, np.ndarray]]:
     total = float(members.agg(F.sum("n_tokens")).first()[0] or 0) * budget
     shares = np.array([targets.get(d, np.nan) for d in DOMAINS])
     return fit_rates(members, total * shares / max(np.nansum(shares), 1e-300))
 
 
-def _rated(members: DataFrame, steps: list[np.ndarray]) -> DataFrame:
-    """``(row, n_tokens, posteriors, rate, copies)``."""
+def _rated(members: DataFrame, steps: list[tuple[np.ndarray, np.ndarray]], id_: Column) -> DataFrame:
+    """``(row, n_tokens, posteriors, rate, copies)``; ``id_`` is the document's id, found in ``row``."""
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.asarray(batch.column(2).flatten()).reshape(-1, len(DOMAINS))
@@ -126,7 +161,7 @@ def _rated(members: DataFrame, steps: list[np.ndarray]) -> DataFrame:
                                              names=["row", "n_tokens", "posteriors", "rate"])
 
     rated = members.mapInArrow(rate, StructType([*members.schema.fields, StructField("rate", DoubleType())]))
-    chance = F.pmod(F.xxhash64("row", "n_tokens"), F.lit(1 << 40)) / float(1 << 40)
+    chance = F.pmod(F.xxhash64(id_, "n_tokens"), F.lit(1 << 40)) / float(1 << 40)
     return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
 
@@ -145,7 +180,7 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = _fitted(docs, labels, id_col, text_col, max_labelled)
     rows = docs.select(docs[id_col].alias("row"), docs[text_col].cast("string").alias("text"))
     members = written(_with_tokens(text_classifier.with_posteriors(rows, model)), "members")
-    rated = _rated(members, _steps(members, targets, budget))
+    rated = _rated(members, _steps(members, targets, budget), F.col("row"))
     return rated.select(F.col("row").alias(id_col), "n_tokens",
                         *(F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", "copies")
 
@@ -154,11 +189,14 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     targets: dict[str, float] = TARGETS, budget: float = 1.0,
                     max_labelled: int = text_classifier.MAX_LABELLED) -> DataFrame:
     """The rows of ``docs``, with all their columns, each as often as ``mix`` says (copies may be 0). Texts are
-    classified a second time instead of being joined to their rates, so no text is shuffled."""
+    classified a second time instead of being joined to their rates, so no text is shuffled.
+
+    Null ids, null and empty texts, repeated rows and an empty table are treated as in ``mix``; columns may have any
+    names, as they travel as one."""
     model = _fitted(docs, labels, id_col, text_col, max_labelled)
     ids = docs.select(docs[id_col].alias("row"), docs[text_col].cast("string").alias("text"))
     members = written(_with_tokens(text_classifier.with_posteriors(ids, model)), "members")
     steps = _steps(members, targets, budget)
     rows = _with_tokens(text_classifier.with_posteriors(text_classifier.carried(docs, text_col), model))
-    rated = _rated(rows, steps).filter("copies > 0")
+    rated = _rated(rows, steps, F.col("row").getField(id_col)).filter("copies > 0")
     return rated.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
