@@ -5,7 +5,7 @@
 2. A pair at the wanted similarity agrees in at least ``T`` of ``K`` coordinates but for a stated chance
    (``match_threshold``). Such a pair shares one of the ``K - T + 1`` coordinate-value pairs that come
    first in any common order, so a class is posted only under its rarest ones (prefix).
-3. Under each value, collisions are counted on the whole signatures; pairs below ``T`` go. Pairs of
+3. Under each value, collisions are counted over all coordinates, on a few bits of each; pairs below ``T`` go. Pairs of
    classes that are known to be connected are skipped: a first pass takes the best candidate of each
    class, a second one all that remain between different components.
 4. Every candidate is confirmed on the full shingle sets; confirmed links give the components.
@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from fityard.llm.components import connected_components
 from fityard.llm.sketch import buckets_of, occurrence_levels
 from fityard.llm.textcols import U64, mix, shingle_hashes, texts_words
-from fityard.runtime import written
+from fityard.runtime import MAX_BROADCAST_ROWS, written
 
 COORDINATES = 64
 MISS = 1e-7  # chance that a pair of exactly the wanted similarity agrees in too few coordinates
 BLOCK = 4096
 PARITY_BITS = 1024
+LOW_BITS = 4  # of every coordinate, sent with each posting
 SMALL = 12
 _TO_SIGNED = np.int64(-1 << 63)
 
@@ -113,8 +114,25 @@ def _coordinate_values(sig: pa.Array, coordinates: int) -> np.ndarray:
     return mix(values.astype(U64) | (np.arange(1, coordinates + 1, dtype=U64) << U64(32)))
 
 
+def low_bits(signatures: np.ndarray) -> np.ndarray:
+    """The lowest ``LOW_BITS`` bits of every coordinate, packed into 64-bit words (rows, words)."""
+    n, k = signatures.shape
+    a_word = 64 // LOW_BITS
+    padded = np.zeros((n, -(-k // a_word) * a_word), dtype=U64)
+    padded[:, :k] = signatures & ((1 << LOW_BITS) - 1)
+    return np.bitwise_or.reduce(padded.reshape(n, -1, a_word) << (np.arange(a_word, dtype=U64) * U64(LOW_BITS)), axis=2)
+
+
+def may_agree(x: np.ndarray, y: np.ndarray, coordinates: int) -> np.ndarray:
+    """In how many coordinates two rows of ``low_bits`` agree: at least as many as the signatures themselves."""
+    differ = x ^ y
+    differ = differ | differ >> U64(1)
+    differ = (differ | differ >> U64(2)) & U64(0x1111111111111111)
+    return coordinates - np.bitwise_count(differ).sum(axis=1).astype(np.int64)
+
+
 def _postings(classes: DataFrame, coordinates: int, threshold: int) -> DataFrame:
-    """``(value, rep)``: every class under its rarest coordinate-value pairs."""
+    """``(value, rep, low)``: every class under its rarest coordinate-value pairs, with its signature's low bits."""
     keep = coordinates - threshold + 1
     levels = occurrence_levels(classes.select("sig"),
                                lambda batch: [_coordinate_values(batch.column(0), coordinates).reshape(-1)])
@@ -129,23 +147,28 @@ def _postings(classes: DataFrame, coordinates: int, threshold: int) -> DataFrame
             order = np.argsort((level.astype(U64) << U64(56)) | (values >> U64(8)), axis=1)[:, :keep]
             shared = np.take_along_axis(level, order, axis=1) > 1  # a value of one class makes no pair
             value = np.take_along_axis(values, order, axis=1)[shared]
-            rep = np.repeat(np.asarray(batch.column(0)), shared.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(value)), pa.array(rep, pa.int64())],
-                                             names=["value", "rep"])
+            row = np.repeat(np.arange(batch.num_rows), shared.sum(axis=1))
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, coordinates)
+            low = pa.array([x.tobytes() for x in low_bits(sig)], pa.binary())
+            for a in range(0, len(row), 50_000):
+                at = pa.array(row[a:a + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(value[a:a + 50_000])), batch.column(0).take(at), low.take(at)],
+                                                 names=["value", "rep", "low"])
 
-    return classes.select("rep", "sig").mapInArrow(post, "value bigint, rep bigint")
+    return classes.select("rep", "sig").mapInArrow(post, "value bigint, rep bigint, low binary")
 
 
-def _low_bytes(sig: pa.Array) -> np.ndarray:
-    values = np.frombuffer(b"".join(sig.to_pylist()), dtype=np.uint8)
-    return values.reshape(len(sig), -1)
+def _words(column: pa.Array) -> np.ndarray:
+    """Binary values of one length as 64-bit words (rows, words)."""
+    values = np.frombuffer(b"".join(column.to_pylist()), dtype=U64)
+    return values.reshape(len(column), -1)
 
 
-def _pairs(blocks: DataFrame, threshold: int, percent: int, all_pairs: bool) -> DataFrame:
+def _pairs(blocks: DataFrame, threshold: int, coordinates: int, percent: int, all_pairs: bool) -> DataFrame:
     """Candidate pairs ``(a, b, agreed)``, a < b, within the rows of each unit.
 
     ``blocks``: unit (bigint), side (-1: one block against itself; else which of two blocks), rep,
-    component, low (lowest byte of each coordinate), n (set size) and parity. Collisions of low bytes can only add
+    component, low (low bits of each coordinate), n (set size) and parity. Collisions of low bits can only add
     candidates; with parities, pairs go whose bits differ in more places than similar sets may differ in elements.
     With ``all_pairs`` every candidate between different components; else for each row of a large unit the
     one before it, in the order of rep, that agrees with it in most coordinates.
@@ -162,14 +185,14 @@ def _pairs(blocks: DataFrame, threshold: int, percent: int, all_pairs: bool) ->
             for i in range(n):
                 rest = np.flatnonzero((comp[i + 1:] != comp[i]) & ((side[i + 1:] != side[i]) | (side[i] < 0))) + i + 1
                 if len(rest):
-                    like = (low[rest] == low[i]).sum(axis=1)
+                    like = may_agree(low[rest], low[i], coordinates)
                     rest, like = rest[like >= threshold], like[like >= threshold]
                     ok = alike(i, rest, n_of, bits)
                     rest, like = rest[ok], like[ok]
                     yield np.full(len(rest), rep[i]), rep[rest], like
             return
         for i in range(1, n):
-            like = (low[:i] == low[i]).sum(axis=1)
+            like = may_agree(low[:i], low[i], coordinates)
             j = int(like.argmax())
             if like[j] >= threshold:
                 yield np.array([rep[j]]), np.array([rep[i]]), like[j:j + 1]
@@ -180,7 +203,7 @@ def _pairs(blocks: DataFrame, threshold: int, percent: int, all_pairs: bool) ->
             if not batch.num_rows:
                 continue
             cols = [np.asarray(batch.column(i)) for i in range(4)] + [
-                _low_bytes(batch.column(4)), np.asarray(batch.column(5)), _low_bytes(batch.column(6)).view(U64)]
+                _words(batch.column(4)), np.asarray(batch.column(5)), _words(batch.column(6))]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             last = int(np.searchsorted(cols[0], cols[0][-1]))  # sorted by unit; the last may go on
@@ -202,7 +225,7 @@ def _pairs(blocks: DataFrame, threshold: int, percent: int, all_pairs: bool) ->
                                    & ((side[s:] != side[:-s]) | (side[s:] < 0)))
                 for a in range(0, len(i), 65536):
                     j = i[a:a + 65536]
-                    like = (low[j] == low[j + s]).sum(axis=1)
+                    like = may_agree(low[j], low[j + s], coordinates)
                     j, like = j[like >= threshold], like[like >= threshold]
                     ok = alike(j, j + s, n_of, bits)
                     j, like = j[ok], like[ok]
@@ -270,17 +293,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       .dropDuplicates(["k1", "k2"]), "classes")
 
     posted = written(_postings(classes, coordinates, threshold), "postings")
-    counted = posted.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-    low = F.expr(f"unhex(regexp_replace(hex(sig), '(..)......', '$1'))")
-    live = written(posted.join(counted, "value")
-                   .join(classes.dropDuplicates(["rep"]).select("rep", low.alias("low")), "rep"), "live")
+    # Values with more than one block: at most one row for every BLOCK postings.
+    hot = written(posted.groupBy("value").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "hot-values")
+    small = hot.count() <= MAX_BROADCAST_ROWS
+    live = posted.join(F.broadcast(hot) if small else hot, "value", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     blocks = F.expr(f"cast(ceil(n / {BLOCK}) as int)")
     block = F.pmod(F.xxhash64("rep", "value"), blocks).cast("int")
 
     own = live.select(F.xxhash64("value", block).alias("unit"), F.lit(-1).alias("side"), "rep",
                       F.col("rep").alias("component"), "low", F.lit(0).cast("bigint").alias("size"),
                       F.unhex(F.lit("")).alias("parity"))
-    first = written(_pairs(own, threshold, percent, all_pairs=False)
+    first = written(_pairs(own, threshold, coordinates, percent, all_pairs=False)
                     .groupBy("b").agg(F.max(F.struct("agreed", (-F.col("a")).alias("minus_a"))).alias("best"))
                     .select((-F.col("best.minus_a")).alias("a"), "b"), "first-pairs")
     texts_of = texts.filter("id is not null")
@@ -299,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.xxhash64("value", "u.i", "u.j").alias("unit"),
         F.when(F.col("u.i") == F.col("u.j"), -1).when(F.col("at") == F.col("u.i"), 0).otherwise(1).alias("side"),
         "rep", "component", "low", "size", "parity")
-    rest = written(_pairs(units, threshold, percent, all_pairs=True).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = written(_pairs(units, threshold, coordinates, percent, all_pairs=True).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     links = written(links.unionByName(
         _confirmed(rest, texts_of, classes, shingle_words, percent, 100)), "links")
     component = connected_components(links)
