@@ -25,8 +25,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 SHORT_WORD = 256
-# Words remembered per Python worker; when full, the memory is emptied (results don't depend on it).
-REMEMBERED = 1_000_000
+# Words remembered while a task runs; when full, the memory is emptied (results don't depend on it).
+REMEMBERED = 250_000
 NO_RANK = 1 << 60
 
 
@@ -138,6 +138,11 @@ class ByteBpe:
                 self.words[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empty what is remembered: a worker outlives its task."""
+        self.known.clear()
+        self.words.clear()
+
     def _piece(self, piece: str) -> bytes:
         if len(self.words) > REMEMBERED:
             self.words.clear()
@@ -201,14 +206,17 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(SparkFiles.get(name))
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):  # ids and texts of a few rows at a time
-                rows = batch.slice(a, 256)
-                ids = [bpe.encode(t or "") for t in rows.column(1).to_pylist()]
-                texts = [bpe.decode(np.frombuffer(x, dtype="<u4")) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
-                    names=["id", "ids", "decoded"])
+        try:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 256):  # ids and texts of a few rows at a time
+                    rows = batch.slice(a, 256)
+                    ids = [bpe.encode(t or "") for t in rows.column(1).to_pylist()]
+                    texts = [bpe.decode(np.frombuffer(x, dtype="<u4")) for x in ids]
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
+                        names=["id", "ids", "decoded"])
+        finally:
+            bpe.forget()
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     out = rows.mapInArrow(encode, f"id {kind.simpleString()}, ids binary, decoded string")

@@ -258,11 +258,13 @@ def with_posteriors(rows: DataFrame, model: Model) -> DataFrame:
     k = len(model.classes)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = sent.value.posteriors(batch.column(1))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * k, pa.int32()),
-                                             pa.array(p.reshape(-1), pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["row", "text", "posteriors"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):  # a few rows at a time, so that little waits to be sent back
+                batch = whole.slice(a, 512)
+                p = sent.value.posteriors(batch.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * k, pa.int32()),
+                                                 pa.array(p.reshape(-1), pa.float64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["row", "text", "posteriors"])
 
     schema = StructType([rows.schema["row"], rows.schema["text"],
                          StructField("posteriors", ArrayType(DoubleType()))])
