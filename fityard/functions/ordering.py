@@ -22,18 +22,29 @@ def row_index(df: DataFrame, keys: list[str], out: str = "row_idx") -> DataFrame
     ordered by the partition number that their rows carry, never by their names.
     """
     spark = df.sparkSession
+    part, at, n, off = _unused(df, "_part", "_at", "_n", "_off")
     path = new_table_path(spark, "ordered")
     ordered = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-               .withColumn("_part", F.spark_partition_id()))
+               .withColumn(part, F.spark_partition_id()))
     ordered.write.option("maxRecordsPerFile", 0).parquet(path)
     rows = spark.read.schema(ordered.schema).parquet(path).select(
-        "*", F.col("_metadata.row_index").alias("_at"))
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+        "*", F.col("_metadata.row_index").alias(at))
+    sizes = rows.groupBy(part).agg(F.count("*").alias(n))
     # One row per written file, that is at most spark.sql.shuffle.partitions rows.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (rows.join(F.broadcast(offsets), "_part")
-            .select(*df.columns, (F.col("_off") + F.col("_at")).alias(out)))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(off))
+    return (rows.join(F.broadcast(offsets), part)
+            .select(*[F.col(f"`{c}`") for c in df.columns], (F.col(off) + F.col(at)).alias(out)))
+
+
+def _unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with more underscores where a column of ``df`` has one already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def index_within(df: DataFrame, group: list[str], keys: list[str], out: str = "pos",

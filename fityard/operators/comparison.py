@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fityard.functions.ordering import BLOCK_ROWS, index_within
+from fityard.runtime import join_lookup, written
 from fityard.spec import LIB_A, LIB_B
 
 # The two kinds of result that can be compared, and the metrics under each.
@@ -85,6 +86,30 @@ def setup_stack(comparison: DataFrame) -> DataFrame:
         F.coalesce(F.sum(f"{s}_us").over(before), F.lit(0)).alias(f"{s}_base_us") for s in "ab"])
 
 
+def setup_by_dimension(setup: DataFrame, members: DataFrame, dimensions: DataFrame, lib_a: str = LIB_A.name,
+                       lib_b: str = LIB_B.name) -> DataFrame:
+    """Stacked setup times over a dimension: ``(dimension, event, both_present, a_s, b_s, ord, a_base_s, b_base_s)``.
+
+    Per dimension value and setup event the mean seconds over the runs of each library, 0 where it has none. Events that both
+    libraries log, in any run, are at the bottom, in name order, then those of one library; a bar's base is the sum of
+    the bars below it. ``dimensions`` is ``(run_id, dimension)``.
+    """
+    rows = _in_pairs(setup, members).join(dimensions.select("run_id", "dimension"), "run_id")
+    # One row per name of a setup event, of which a library profile has a handful.
+    names = written(rows.groupBy("event").agg(
+        (F.max((F.col("library") == lib_a).cast("int")) + F.max((F.col("library") == lib_b).cast("int")) == 2)
+        .alias("both_present")), "setup-events")
+
+    def mean(lib):
+        return F.coalesce(F.avg(F.when(F.col("library") == lib, F.col("setup_us"))) / F.lit(1e6), F.lit(0.0))
+
+    bars = join_lookup(rows.groupBy("dimension", "event").agg(mean(lib_a).alias("a_s"), mean(lib_b).alias("b_s")), names, ["event"])
+    order = Window.partitionBy("dimension").orderBy(F.desc("both_present"), "event")
+    below = order.rowsBetween(Window.unboundedPreceding, -1)
+    return bars.select("dimension", "event", "both_present", "a_s", "b_s", (F.row_number().over(order) - 1).alias("ord"), *[
+        F.coalesce(F.sum(f"{s}_s").over(below), F.lit(0.0)).alias(f"{s}_base_s") for s in "ab"])
+
+
 def _sides_of(summary: DataFrame, members: DataFrame, values: list[str], lib_a: str,
               lib_b: str) -> DataFrame:
     """Models that both runs of a pair have, with ``<value>_a`` and ``<value>_b``."""

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from fityard.operators import features as ft
 from fityard.operators import kmeans as km
 from fityard.operators import linear, mlp, pca, suite, trees
-from fityard.operators.splits import train_val_split
+from fityard.operators.splits import positional_split, train_val_split
 from fityard.plans.feature_plans import MISSING_SQL, SCORED_SQL, scored, with_missing
 from fityard.plans.fixtures import (
-    KEYS_SQL, SPLIT_SQL, SUSY_FEATURES, SUSY_KEYS, SUSY_SQL, VAL_HASH_SQL, emb, susy, susy_split, susy_table, susy_vectors)
+    INDEXED_SQL, KEYS_SQL, N_TEST, N_TRAIN, SPLIT_SQL, SUSY_FEATURES, SUSY_KEYS, SUSY_SQL, VAL_HASH_SQL, chunk_rows, emb, susy,
+    susy_prefix, susy_split, susy_table, susy_vectors)
 from fityard.plans.registry import query
+from fityard.runtime import written
 
 SEED = 123
 
@@ -38,11 +40,11 @@ def _solve_sql(n: int, source: str) -> str:
     return source
 
 
-def _newton_sql(side: str = "split = 'train'") -> str:
+def _newton_sql(side: str = "split = 'train'", base: str = SPLIT_SQL, rows: str = "sp") -> str:
     """Newton steps on all features, from zero; ``nw`` holds the optimum: ``w0`` is the intercept, ``w<i + 1>`` belongs to feature i."""
     n = len(SUSY_FEATURES) + 1
     inputs = ", ".join(f'"{f}" as x{i + 1}' for i, f in enumerate(SUSY_FEATURES))
-    steps = [f"d as materialized (select target as y, cast(1 as double) as x0, {inputs} from sp where {side})",
+    steps = [f"d as materialized (select target as y, cast(1 as double) as x0, {inputs} from {rows} where {side})",
              "n0 as materialized (select " + ", ".join(f"cast(0 as double) as w{i}" for i in range(n)) + ")"]
     held = ", ".join(f"any_value(w{i}) as w{i}" for i in range(n))
     sums = ", ".join([*(f"sum((y - p) * x{i}) as g{i}" for i in range(n)),
@@ -52,7 +54,7 @@ def _newton_sql(side: str = "split = 'train'") -> str:
         totals = f"(select {held}, {sums} from (select *, 1 / (1 + exp(-({margin}))) as p from d, n{t}))"
         steps.append(f"""n{t + 1} as materialized (
   select {", ".join(f"w{i} + s{i} as w{i}" for i in range(n))} from {_solve_sql(n, totals)})""")
-    return ", ".join([SPLIT_SQL, *steps, f"nw as (select * from n{NEWTON_STEPS})"])
+    return ", ".join([base, *steps, f"nw as (select * from n{NEWTON_STEPS})"])
 
 
 NEWTON_SQL = _newton_sql()
@@ -78,6 +80,27 @@ def _logreg(spark, sf_dir):
     return library.unionByName(own).select("solver", "term", (F.round("value", 4) + F.lit(0.0)).alias("value"))
 
 
+PREFIX_SQL = INDEXED_SQL + f""", px as (
+  select *, case when row_idx < {N_TRAIN} * chunk_rows then 'train' else 'test' end as split
+  from ix where row_idx < {N_TRAIN + N_TEST} * chunk_rows)"""
+
+
+@query("prefix_to_score", f"""with {_newton_sql(base=PREFIX_SQL, rows="px")}
+select split, count(*) as n, round(avg(case when ({MARGIN_SQL} > 0) = (target = 1) then 1.0 else 0.0 end), 9) as accuracy,
+       round(avg(ln(1 + exp(case when target = 1 then -({MARGIN_SQL}) else {MARGIN_SQL} end))), 7) as log_loss
+from px, nw group by 1""")
+def _prefix_to_score(spark, sf_dir):
+    """From the files to the score: prefix of the feature files, split by position, fit on its train side, scores of both."""
+    rows = ft.rename_label(susy_prefix(spark, sf_dir).drop(*SUSY_KEYS))
+    sides = positional_split(written(rows, "prefix"), chunk_rows(spark, sf_dir), N_TRAIN, N_TEST)
+    fit = linear.fit_logreg_newton(sides.filter("split = 'train'"), SUSY_FEATURES)
+    scored = linear.score_weights(sides, SUSY_FEATURES, fit.coefficients, fit.intercept)
+    sign = F.when(F.col("label") == 1, -F.col("margin")).otherwise(F.col("margin"))
+    return scored.groupBy("split").agg(
+        F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 9).alias("accuracy"),
+        F.round(F.avg(F.log1p(F.exp(sign))), 7).alias("log_loss"))
+
+
 @query("training_accuracy", f"""with {NEWTON_SQL}
 select round(avg(case when ({MARGIN_SQL} > 0) = (target = 1) then 1.0 else 0.0 end), 9) as accuracy
 from sp, nw where split = 'train'""")
@@ -412,6 +435,18 @@ def _fit_kmeans(spark, sf_dir):
         "moved", F.round("moved", 4))
 
 
+@query("fit_kmeans_wide", """
+select cast(10 as integer) as k, cast(any_value(len(embedding)) as integer) as width, count(*) as n, cast(0 as double) as moved
+from embeddings""")
+def _fit_kmeans_wide(spark, sf_dir):
+    rows = emb(spark, sf_dir)
+    model = km.fit_kmeans(rows, seed=SEED, k=WIDE_K, tol=0.0)
+    centers = np.array([c.toArray() if hasattr(c, "toArray") else c for c in model.clusterCenters()])
+    after = km.kmeans_lloyd_vectors(rows, centers, 1)
+    row = (WIDE_K, centers.shape[1], sum(model.summary.clusterSizes), float(np.abs(np.subtract(after, centers)).max()))
+    return spark.createDataFrame([row], "k int, width int, n bigint, moved double").withColumn("moved", F.round("moved", 4))
+
+
 @query("cluster_centers", SEEDED_SQL + f""", ordered as (
   select [{", ".join(f"k0_{i}" for i in range(4))}] as c from fin union all select [{", ".join(f"k1_{i}" for i in range(4))}] from fin),
 numbered as (select cast(row_number() over (order by c) - 1 as integer) as cluster, c from ordered)

@@ -158,6 +158,24 @@ def _stack(spark, sf_dir):
     return cmp.setup_stack(_compared_setup(spark, sf_dir))
 
 
+@query("setup_by_dimension", f"""with {COMPARED_SETUP_SQL}, rows as (
+  select (m.pair_idx + 1) * 36000 as dimension, m.library, s.event, s.setup_us from members m join setup s using (run_id)), names as (
+  select event, bool_or(library = 'lib_a') and bool_or(library = 'lib_b') as both_present from rows group by 1), bars as (
+  select dimension, event, both_present, coalesce(avg(setup_us) filter (where library = 'lib_a') / 1e6, 0) as a_s,
+         coalesce(avg(setup_us) filter (where library = 'lib_b') / 1e6, 0) as b_s
+  from rows join names using (event) group by 1, 2, 3)
+select dimension, event, both_present, round(a_s, 6) as a_s, round(b_s, 6) as b_s,
+       cast(row_number() over o - 1 as integer) as ord, round(coalesce(sum(a_s) over w, 0), 6) as a_base_s,
+       round(coalesce(sum(b_s) over w, 0), 6) as b_base_s
+from bars window o as (partition by dimension order by both_present desc, event),
+  w as (partition by dimension order by both_present desc, event rows between unbounded preceding and 1 preceding)""")
+def _setup_dimension(spark, sf_dir):
+    named = run_log(spark, sf_dir).withColumn("event", F.concat_ws("_", "event", F.col("pos").cast("string")))
+    members = _members(spark, sf_dir)
+    bars = cmp.setup_by_dimension(rl.setup_times(named), members, _dimensions(members))
+    return bars.withColumns({c: F.round(c, 6) for c in ("a_s", "b_s", "a_base_s", "b_base_s")})
+
+
 SIDES_SQL = SPAN_SQL + PAIR_SQL + """, sides as (
   select p.pair_idx, a.model, a.train_us as train_us_a, b.train_us as train_us_b,
          a.test_us as test_us_a, b.test_us as test_us_b, a.train_acc as train_acc_a,

@@ -12,8 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Narrow lookup tables up to this many rows may be broadcast; larger ones are joined by shuffle.
+# Narrow lookup tables up to so many rows, and bytes in their strings, may be broadcast; larger ones are joined by shuffle.
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,10 +43,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def join_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join with a written lookup table, broadcast only after its rows have been counted
-    (which reads Parquet footers)."""
-    small = lookup.count() <= MAX_BROADCAST_ROWS
-    return rows.join(F.broadcast(lookup) if small else lookup, keys)
+    """Inner join with a written lookup table, broadcast only after its rows have been counted (which reads Parquet
+    footers) and the bytes of its strings added up."""
+    return rows.join(F.broadcast(lookup) if is_small(lookup) else lookup, keys)
+
+
+def is_small(lookup: DataFrame) -> bool:
+    """Whether a written table is small enough to be sent to all executors."""
+    if lookup.count() > MAX_BROADCAST_ROWS:
+        return False
+    texts = [F.sum(F.octet_length(f"`{c}`")) for c, kind in lookup.dtypes if kind in ("string", "binary")]
+    return not texts or sum(v or 0 for v in lookup.agg(*texts).first()) <= MAX_BROADCAST_BYTES
 
 
 def spread(rows: DataFrame) -> DataFrame:

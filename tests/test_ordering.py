@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fityard import runtime
 from fityard.functions.ordering import file_order_index, index_within, row_index, score_buckets
 from fityard.functions.vectors import ntz_micros, unit_hash
 from tests.conftest import rows_of
@@ -98,3 +99,20 @@ def test_positions_do_not_depend_on_file_names_or_sizes(spark):
         assert rows_of(row_index(df, ["a"]), "row_idx", "a") == [(i, i) for i in range(5000)]
     finally:
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def test_row_index_beside_columns_of_the_same_names(spark):
+    df = spark.range(50).select((49 - F.col("id")).alias("_part"), F.col("id").alias("_at"), F.lit("x").alias("_n")).repartition(3)
+    got = row_index(df, ["_at"])
+    assert got.columns == ["_part", "_at", "_n", "row_idx"]
+    assert all(r["row_idx"] == r["_at"] == 49 - r["_part"] for r in got.collect())
+
+
+def test_lookups_are_sent_by_rows_and_bytes(spark, monkeypatch):
+    lookup = runtime.written(spark.range(100).select("id", F.repeat(F.lit("x"), 50).alias("name")), "lookup")
+    assert runtime.is_small(lookup)
+    monkeypatch.setattr(runtime, "MAX_BROADCAST_BYTES", 4999)
+    assert not runtime.is_small(lookup) and runtime.is_small(lookup.select("id"))
+    assert runtime.join_lookup(spark.range(7), lookup, ["id"]).count() == 7
+    monkeypatch.setattr(runtime, "MAX_BROADCAST_ROWS", 99)
+    assert not runtime.is_small(lookup.select("id"))

@@ -229,3 +229,17 @@ def test_metrics_over_a_dimension(spark, summary):
     assert rows_of(lonely, "value_a", "value_b") == [(1e-6, None)]
     series = cmp.interleaved_series(_members(spark), dims, {"lib_a": "A", "lib_b": "B"})
     assert rows_of(series) == [(0, "36000_A", 1), (1, "36000_B", 2)]
+
+
+def test_setup_times_stack_over_a_dimension(spark):
+    setup = spark.createDataFrame(
+        [("r1", "lib_a", "x", 2_000_000), ("r1", "lib_a", "z", 1_000_000), ("r2", "lib_b", "x", 4_000_000), ("r2", "lib_b", "y", 500_000),
+         ("r3", "lib_a", "x", 6_000_000), ("r4", "lib_b", "y", 100_000), ("r5", "lib_a", "x", 9_000_000)],
+        "run_id string, library string, event string, setup_us bigint")
+    members = spark.createDataFrame([(0, "r1", "lib_a"), (0, "r2", "lib_b"), (1, "r3", "lib_a"), (1, "r4", "lib_b")],
+                                    "pair_idx int, run_id string, library string")
+    dimensions = spark.createDataFrame([("r1", 10), ("r2", 10), ("r3", 20), ("r4", 20), ("r5", 20)], "run_id string, dimension int")
+    got = cmp.setup_by_dimension(setup, members, dimensions).orderBy("dimension", "ord").collect()
+    assert [tuple(r) for r in got] == [
+        (10, "x", True, 2.0, 4.0, 0, 0.0, 0.0), (10, "y", False, 0.0, 0.5, 1, 2.0, 4.0), (10, "z", False, 1.0, 0.0, 2, 2.0, 4.5),
+        (20, "x", True, 6.0, 0.0, 0, 0.0, 0.0), (20, "y", False, 0.0, 0.1, 1, 6.0, 0.0)]
