@@ -21,29 +21,47 @@ BUDGET = 1.2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5."""
+    """Documents whose toxicity score is below 0.5, with all columns.
+
+    Null and empty texts get the score of a text without known words; equal texts get equal scores, so copies stay or go
+    together; repeated rows stay repeated. Without labels of both kinds nothing reaches 0.5 unless most labels are 1.
+    An empty table stays empty. Columns travel as one, so their names don't matter.
+    """
     return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that match an earlier one; ``n_chars`` follows the text."""
+    """All documents, without the lines that match an earlier one; ``n_chars`` follows the text.
+
+    Null texts stay null (and ``n_chars`` becomes null), empty ones empty; a document that loses all its lines stays with an
+    empty text. Rows with a null id are kept as they are. Rows that repeat an id lose the same line numbers.
+    Of equal lines the first one by (id, line number) stays. An empty table stays empty.
+    """
     cut = line_dedup.deduplicated_documents(docs)
     return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies; all with a null id."""
+    """One document, that of the smallest id, of each group of near copies; all with a null id.
+
+    Null and empty texts are near copies of nothing and stay. Rows that repeat an id are one document and stay or go
+    together. Other columns, nulls in them too, are carried along. An empty table stays empty.
+    """
     gone = minhash_join.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture wants them; some not at all, some repeated."""
+    """Documents as often as the mixture wants them; some not at all, some repeated.
+
+    A rate is rounded by a hash of id and tokens, so rows that repeat an id get equal copies each. Null and empty texts have no
+    tokens and follow the rate of their posteriors. Without labels all rates are equal. An empty table stays empty.
+    """
     return mixing.mixed_documents(docs, table(spark, sf_dir, "labels"), targets=MIXTURE, budget=BUDGET)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids, decoded)`` of every document."""
+    """``(doc_id, n_tokens, ids, decoded)`` of every row, null ids and repeated rows too; null texts count as empty."""
     coded = byte_bpe.encode_documents(docs, VOCABULARY)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "decoded")
 
