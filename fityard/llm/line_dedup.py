@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from fityard.llm.sketch import buckets_of, occurrence_levels
-from fityard.llm.textcols import U64, buffers, mix, pieces, whole_groups, word_hashes
+from fityard.llm.textcols import U64, buffers, mix, pieces, released, whole_groups, word_hashes
 from fityard.runtime import MAX_BROADCAST_ROWS, written
 
 BLOCK = 512            # rows of one token that are compared with each other as a unit
@@ -139,7 +139,7 @@ def _postings(texts: DataFrame, levels, percent: int) -> DataFrame:
                          parity.take(pa.array(own))], names=["token", "class", "size", "position", "parity"])
 
     return texts.select("text").mapInArrow(
-        post, "token bigint, class bigint, size int, position int, parity binary")
+        released(post), "token bigint, class bigint, size int, position int, parity binary")
 
 
 def _near_rows(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -193,7 +193,7 @@ def _candidates(units: DataFrame, percent: int) -> DataFrame:
                     names=["token", "a", "b"])
 
     return (units.repartition("unit").sortWithinPartitions("unit", "size", "class")
-            .mapInArrow(compare, "token bigint, a bigint, b bigint"))
+            .mapInArrow(released(compare), "token bigint, a bigint, b bigint"))
 
 
 def _common(tokens: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +238,7 @@ def _set_postings(classes: DataFrame, hits, percent: int) -> DataFrame:
 
     return (classes.filter(f"tokens is not null and octet_length(tokens) <= {8 * WIDE}")
             .select(F.col("k1").alias("class"), "place", "tokens").mapInArrow(
-        post, f"token bigint, class bigint, size int, position int, parity binary, place {PLACE}, tokens binary"))
+        released(post), f"token bigint, class bigint, size int, position int, parity binary, place {PLACE}, tokens binary"))
 
 
 def _posting_hash(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -289,7 +289,7 @@ def _links(units: DataFrame, percent: int) -> DataFrame:
                     names=["class", "n_links", "earliest"])
 
     return (units.repartition("unit").sortWithinPartitions("unit", "size", "class")
-            .mapInArrow(check, f"class bigint, n_links bigint, earliest {PLACE}"))
+            .mapInArrow(released(check), f"class bigint, n_links bigint, earliest {PLACE}"))
 
 
 def _units(posted: DataFrame, name: str) -> DataFrame:
@@ -329,7 +329,7 @@ def _places(texts: DataFrame, levels, again, wanted) -> DataFrame:
                      pa.array([tokens[at[i]:at[i + 1]].tobytes() if full[i] and first[i] else None
                                for i in live], pa.binary())], names=["id", "line", "k1", "k2", "tokens"])
 
-    return texts.mapInArrow(emit, "id bigint, line bigint, k1 bigint, k2 bigint, tokens binary")
+    return texts.mapInArrow(released(emit), "id bigint, line bigint, k1 bigint, k2 bigint, tokens binary")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -350,7 +350,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         F.col("k1").alias(c), F.col("tokens").alias(f"tokens_{c}"), F.col("place").alias(f"place_{c}")) for c in "ab"}
     held = (pairs.join(side["a"], "a").join(side["b"], "b")
             .select("a", "b", "tokens_a", "tokens_b", "place_a", "place_b")
-            .mapInArrow(check, f"a bigint, b bigint, place_a {PLACE}, place_b {PLACE}"))
+            .mapInArrow(released(check), f"a bigint, b bigint, place_a {PLACE}, place_b {PLACE}"))
     ways = F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("place_b").alias("place")),
                              F.struct(F.col("b").alias("class"), F.col("place_a").alias("place"))))
     return held.select(ways.alias("w")).groupBy(F.col("w.class").alias("class")).agg(
@@ -428,7 +428,7 @@ def _cut_rows(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Data
                 names=["row", "text", "n_lines", "n_links", "class_id", "n_removed"])
 
     rows = joined.select("row", "text", "gone", n_lines.cast("bigint").alias("n_lines"), "n_links", "class_id")
-    return rows.mapInArrow(cut, StructType([
+    return rows.mapInArrow(released(cut), StructType([
         rows.schema["row"], rows.schema["text"], *(StructField(c, LongType()) for c in (
             "n_lines", "n_links", "class_id", "n_removed"))]))
 

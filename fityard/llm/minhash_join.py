@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fityard.llm.components import connected_components
 from fityard.llm.sketch import buckets_of, occurrence_levels
-from fityard.llm.textcols import U64, mix, shingle_hashes, texts_words
+from fityard.llm.textcols import U64, mix, released, shingle_hashes, texts_words
 from fityard.runtime import MAX_BROADCAST_ROWS, written
 
 COORDINATES = 64
@@ -105,7 +105,7 @@ def _signatures(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
                  pa.array(two, pa.int64()), pa.array(sig, pa.binary()), pa.array(parity, pa.binary())],
                 names=["id", "n", "k1", "k2", "sig", "parity"])
 
-    return docs.mapInArrow(sign, "id bigint, n bigint, k1 bigint, k2 bigint, sig binary, parity binary")
+    return docs.mapInArrow(released(sign), "id bigint, n bigint, k1 bigint, k2 bigint, sig binary, parity binary")
 
 
 def _coordinate_values(sig: pa.Array, coordinates: int) -> np.ndarray:
@@ -155,7 +155,7 @@ def _postings(classes: DataFrame, coordinates: int, threshold: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(value[a:a + 50_000])), batch.column(0).take(at), low.take(at)],
                                                  names=["value", "rep", "low"])
 
-    return classes.select("rep", "sig").mapInArrow(post, "value bigint, rep bigint, low binary")
+    return classes.select("rep", "sig").mapInArrow(released(post), "value bigint, rep bigint, low binary")
 
 
 def _words(column: pa.Array) -> np.ndarray:
@@ -239,7 +239,7 @@ def _pairs(blocks: DataFrame, threshold: int, coordinates: int, percent: int, al
                      pa.array(like, pa.int32())], names=["a", "b", "agreed"])
 
     return (blocks.select("unit", "side", "rep", "component", "low", "size", "parity").repartition("unit")
-            .sortWithinPartitions("unit", "rep").mapInArrow(match, "a bigint, b bigint, agreed int"))
+            .sortWithinPartitions("unit", "rep").mapInArrow(released(match), "a bigint, b bigint, agreed int"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -258,7 +258,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, nu
     wanted = (pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
               .distinct().join(classes.select("rep", "k1", "k2"), "rep"))
     texts = docs.join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    sets = (texts.mapInArrow(shingle, "id bigint, k1 bigint, k2 bigint, set array<bigint>")
+    sets = (texts.mapInArrow(released(shingle), "id bigint, k1 bigint, k2 bigint, set array<bigint>")
             .join(wanted.withColumnRenamed("rep", "id"), ["id", "k1", "k2"])
             .dropDuplicates(["id", "k1", "k2"]).select("id", "set"))
     sets = written(sets, "sets")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from fityard.llm import text_classifier
-from fityard.llm.textcols import texts_words
+from fityard.llm.textcols import released, texts_words
 from fityard.runtime import written
 
 DOMAINS = ["good", "poor", "toxic"]
@@ -75,7 +75,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, max_steps: int = MAX_STEP
                 sums += work(tokens, p, *sent.value)
             yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()])], names=["sums"])
 
-        one = members.select("n_tokens", "posteriors").mapInArrow(part, "sums array<double>")
+        one = members.select("n_tokens", "posteriors").mapInArrow(released(part), "sums array<double>")
         row = one.agg(*(F.sum(F.col("sums")[i]) for i in range(size))).first()
         sent.destroy()
         return np.array([v or 0.0 for v in row], dtype=float)
@@ -143,7 +143,7 @@ def _with_tokens(rows: DataFrame) -> DataFrame:
                                              names=["row", "n_tokens", "posteriors"])
 
     schema = StructType([rows.schema["row"], StructField("n_tokens", LongType()), rows.schema["posteriors"]])
-    return rows.mapInArrow(count, schema)
+    return rows.mapInArrow(released(count), schema)
 
 
 def _steps(members: DataFrame, targets: dict[str, float], budget: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -160,7 +160,7 @@ def _rated(members: DataFrame, steps: list[tuple[np.ndarray, np.ndarray]], id_:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replay(p, steps))],
                                              names=["row", "n_tokens", "posteriors", "rate"])
 
-    rated = members.mapInArrow(rate, StructType([*members.schema.fields, StructField("rate", DoubleType())]))
+    rated = members.mapInArrow(released(rate), StructType([*members.schema.fields, StructField("rate", DoubleType())]))
     chance = F.pmod(F.xxhash64(id_, "n_tokens"), F.lit(1 << 40)) / float(1 << 40)
     return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from fityard.llm.textcols import U64, buffers, pieces, word_hashes
+from fityard.llm.textcols import U64, buffers, pieces, released, word_hashes
 from fityard.runtime import written
 
 MAX_LABELLED = 20_000  # labelled rows used by a fit, about; chosen by a hash of the id
@@ -268,7 +268,7 @@ def with_posteriors(rows: DataFrame, model: Model) -> DataFrame:
 
     schema = StructType([rows.schema["row"], rows.schema["text"],
                          StructField("posteriors", ArrayType(DoubleType()))])
-    return rows.select("row", "text").mapInArrow(score, schema)
+    return rows.select("row", "text").mapInArrow(released(score), schema)
 
 
 def carried(docs: DataFrame, text_col: str) -> DataFrame:
