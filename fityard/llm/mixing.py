@@ -134,16 +134,32 @@ def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_
     return text_classifier.fit(texts.join(F.broadcast(sample), "id").select("text", "label"), DOMAINS)
 
 
-def _with_tokens(rows: DataFrame) -> DataFrame:
-    """``rows`` (row, text, posteriors) with the number of words instead of the text."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [c for _, _, _, at in texts_words(batch.column(1)) for c in np.diff(at).tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2)],
-                                             names=["row", "n_tokens", "posteriors"])
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (row, text, posteriors) with the number of words instead of the text."""
+    for batch in batches:
+        n = [c for _, _, _, at in texts_words(batch.column(1)) for c in np.diff(at).tolist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2)],
+                                         names=["row", "n_tokens", "posteriors"])
 
-    schema = StructType([rows.schema["row"], StructField("n_tokens", LongType()), rows.schema["posteriors"]])
-    return rows.mapInArrow(released(count), schema)
+
+def _rate(batches: Iterator[pa.RecordBatch], steps: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        p = np.asarray(batch.column(2).flatten()).reshape(-1, len(DOMAINS))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replay(p, steps))],
+                                         names=["row", "n_tokens", "posteriors", "rate"])
+
+
+def _classified(rows: DataFrame, model: text_classifier.Model, steps: list | None = None) -> DataFrame:
+    """``(row, n_tokens, posteriors)`` of ``rows`` (row, text), and the rate if steps are given: all in one Python worker a task."""
+    score = text_classifier.scoring(rows.sparkSession.sparkContext.broadcast(model), len(model.classes))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = _count(score(batches))
+        return counted if steps is None else _rate(counted, steps)
+
+    fields = [rows.schema["row"], StructField("n_tokens", LongType()), text_classifier.POSTERIORS]
+    rate = [] if steps is None else [StructField("rate", DoubleType())]
+    return rows.select("row", "text").mapInArrow(released(work), StructType([*fields, *rate]))
 
 
 def _steps(members: DataFrame, targets: dict[str, float], budget: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -152,15 +168,8 @@ def _steps(members: DataFrame, targets: dict[str, float], budget: float) -> list
     return fit_rates(members, total * shares / max(np.nansum(shares), 1e-300))
 
 
-def _rated(members: DataFrame, steps: list[tuple[np.ndarray, np.ndarray]], id_: Column) -> DataFrame:
-    """``(row, n_tokens, posteriors, rate, copies)``; ``id_`` is the document's id, found in ``row``."""
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = np.asarray(batch.column(2).flatten()).reshape(-1, len(DOMAINS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replay(p, steps))],
-                                             names=["row", "n_tokens", "posteriors", "rate"])
-
-    rated = members.mapInArrow(released(rate), StructType([*members.schema.fields, StructField("rate", DoubleType())]))
+def _with_copies(rated: DataFrame, id_: Column) -> DataFrame:
+    """``rated`` (row, n_tokens, posteriors, rate) and the copies; ``id_`` is the document's id, found in ``row``."""
     chance = F.pmod(F.xxhash64(id_, "n_tokens"), F.lit(1 << 40)) / float(1 << 40)
     return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
@@ -179,8 +188,10 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     model = _fitted(docs, labels, id_col, text_col, max_labelled)
     rows = docs.select(docs[id_col].alias("row"), docs[text_col].cast("string").alias("text"))
-    members = written(_with_tokens(text_classifier.with_posteriors(rows, model)), "members")
-    rated = _rated(members, _steps(members, targets, budget), F.col("row"))
+    members = written(_classified(rows, model), "members")
+    steps = _steps(members, targets, budget)
+    rated = _with_copies(members.mapInArrow(released(lambda batches: _rate(batches, steps)), StructType(
+        [*members.schema.fields, StructField("rate", DoubleType())])), F.col("row"))
     return rated.select(F.col("row").alias(id_col), "n_tokens",
                         *(F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", "copies")
 
@@ -195,8 +206,7 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     names, as they travel as one."""
     model = _fitted(docs, labels, id_col, text_col, max_labelled)
     ids = docs.select(docs[id_col].alias("row"), docs[text_col].cast("string").alias("text"))
-    members = written(_with_tokens(text_classifier.with_posteriors(ids, model)), "members")
-    steps = _steps(members, targets, budget)
-    rows = _with_tokens(text_classifier.with_posteriors(text_classifier.carried(docs, text_col), model))
-    rated = _rated(rows, steps, F.col("row").getField(id_col)).filter("copies > 0")
+    steps = _steps(written(_classified(ids, model), "members"), targets, budget)
+    rated = _with_copies(_classified(text_classifier.carried(docs, text_col), model, steps),
+                         F.col("row").getField(id_col)).filter("copies > 0")
     return rated.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -11,11 +11,12 @@ the class scores. The fit is full-batch L-BFGS; each evaluation is one Spark job
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -251,12 +252,8 @@ def fit(texts: DataFrame, classes: list, swaps: list[tuple[str, str]] = (), swap
     return Model(words, best[:-k].reshape(shape) * odds, best[-k:], classes)
 
 
-def with_posteriors(rows: DataFrame, model: Model) -> DataFrame:
-    """``rows`` (row, text) and the posteriors of each text (array of doubles, in the order of the model's classes). A
-    text without a word of the vocabulary, empty or null, gets the bias alone. Nothing is shuffled."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-    k = len(model.classes)
-
+def scoring(sent: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Function for ``mapInArrow`` that adds the posteriors of the ``k`` classes of a sent model to batches (row, text)."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 512):  # a few rows at a time, so that little waits to be sent back
@@ -266,9 +263,18 @@ def with_posteriors(rows: DataFrame, model: Model) -> DataFrame:
                                                  pa.array(p.reshape(-1), pa.float64()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["row", "text", "posteriors"])
 
-    schema = StructType([rows.schema["row"], rows.schema["text"],
-                         StructField("posteriors", ArrayType(DoubleType()))])
-    return rows.select("row", "text").mapInArrow(released(score), schema)
+    return score
+
+
+POSTERIORS = StructField("posteriors", ArrayType(DoubleType()))
+
+
+def with_posteriors(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` (row, text) and the posteriors of each text (array of doubles, in the order of the model's classes). A
+    text without a word of the vocabulary, empty or null, gets the bias alone. Nothing is shuffled."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([rows.schema["row"], rows.schema["text"], POSTERIORS])
+    return rows.select("row", "text").mapInArrow(released(scoring(sent, len(model.classes))), schema)
 
 
 def carried(docs: DataFrame, text_col: str) -> DataFrame:
