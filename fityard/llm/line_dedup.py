@@ -30,7 +30,7 @@ from fityard.llm.sketch import buckets_of, occurrence_levels
 from fityard.llm.textcols import U64, buffers, mix, pieces, released, whole_groups, word_hashes
 from fityard.runtime import MAX_BROADCAST_ROWS, written
 
-BLOCK = 512            # rows of one token that are compared with each other as a unit
+BLOCK = 2048           # rows of one token that are compared with each other as a unit
 NARROW = 96            # tokens up to which a line has 64 parity bits
 WIDE = 512             # tokens up to which a line's set is sent with its postings
 MAX_BITS = 1 << 14
@@ -142,19 +142,30 @@ def _postings(texts: DataFrame, levels, percent: int) -> DataFrame:
         released(post), "token bigint, class bigint, size int, position int, parity binary")
 
 
+def _narrow(parity: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of 64 bits as integers (0 for longer ones), and which are longer."""
+    data, offsets = buffers(parity)
+    long = np.diff(offsets) > 8
+    at = offsets[:-1][~long]
+    out = np.zeros(len(long), dtype=U64)
+    out[~long] = (data[at[:, None] + np.arange(8)].view(U64).reshape(-1) if long.any() else data.view(U64))
+    return out, long
+
+
 def _near_rows(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows i < j of one unit whose classes pass all filters under the unit's token. Rows come by unit and size; the
     first columns are unit, class, size, position, side and parity."""
     unit, cls, size, position, side = (table.column(i).to_numpy() for i in range(5))
-    parity = table.column(5).to_pylist()
-    narrow = np.array([np.frombuffer(p[:8], dtype=U64)[0] if len(p) == 8 else 0 for p in parity], dtype=U64)
-    wide = np.array([len(p) > 8 for p in parity])
+    parity = table.column(5).combine_chunks()
+    narrow, wide = _narrow(parity)
     size = size.astype(np.int64)
-    left = np.arange(len(unit))
+    # Sizes ascend within a unit: who is too small for this one, or too far into its own tokens to have enough of them in
+    # common with it, is so for all that follow (length and position).
+    most = (100 + percent) * (size - position) // percent - size
+    left = np.flatnonzero(most >= size)
     for s in range(1, len(unit)):
-        left = left[left + s < len(unit)]
-        # Sizes ascend within a unit: who is too small for this one is so for all that follow (length).
-        left = left[(unit[left + s] == unit[left]) & (100 * size[left] >= percent * size[left + s])]
+        left = left[:np.searchsorted(left, len(unit) - s)]
+        left = left[(unit[left + s] == unit[left]) & (most[left] >= size[left + s])]
         if not len(left):
             return
         i = left[(cls[left] != cls[left + s]) & ((side[left] < 0) | (side[left] != side[left + s]))]
@@ -165,7 +176,7 @@ def _near_rows(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.n
         any_wide = wide[i] | wide[j]
         ok = (room >= need) & (any_wide | (np.bitwise_count(narrow[i] ^ narrow[j]) <= slack))
         for k in np.flatnonzero(ok & any_wide).tolist():
-            ok[k] = _apart(parity[i[k]], parity[j[k]]) <= slack[k]
+            ok[k] = _apart(parity[int(i[k])].as_py(), parity[int(j[k])].as_py()) <= slack[k]
         yield i[ok], j[ok]
 
 
@@ -304,7 +315,7 @@ def _units(posted: DataFrame, name: str) -> DataFrame:
     further = [c for c in posted.columns if c not in ("class", "size", "position", "parity")]
     return (posted.join(F.broadcast(hot) if small else hot, "token", "left").withColumn("nb", blocks)
             .withColumn("at", at).withColumn("u", F.explode(pair)).select(
-        F.xxhash64("token", "u.i", "u.j").alias("unit"), "class", "size", "position",
+        F.when(F.col("nb") == 1, F.col("token")).otherwise(F.xxhash64("token", "u.i", "u.j")).alias("unit"), "class", "size", "position",
         F.when(F.col("u.i") == F.col("u.j"), -1).when(F.col("at") == F.col("u.i"), 0).otherwise(1).alias("side"),
         "parity", *further))
 
