@@ -7,12 +7,14 @@ so memory is bounded by the piece size or by the longest single text).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
 U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
@@ -124,13 +126,20 @@ def texts_words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int
         yield a, b, words, at
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """``work`` for ``mapInArrow``, giving back the memory that it leaves unused: a Python worker outlives its task."""
+    """``work`` for ``mapInArrow``, giving back the memory that it leaves unused, Arrow's and the C library's: a Python
+    worker outlives its task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            _give_back()
 
     return run
 
