@@ -4,7 +4,8 @@
    equal sets are one class, represented by its smallest id.
 2. A pair at the wanted similarity agrees in at least ``T`` of ``K`` coordinates but for a stated chance
    (``match_threshold``). Such a pair shares one of the ``K - T + 1`` coordinate-value pairs that come
-   first in any common order, so a class is posted only under its rarest ones (prefix).
+   first in any common order, so a class is posted only under its rarest ones (prefix). Values that are then
+   left with one class are dropped by exact counts before anything but the ids is shuffled.
 3. Under each value, collisions are counted over all coordinates, on a few bits of each; pairs below ``T`` go. Pairs of
    classes that are known to be connected are skipped: a first pass takes the best candidate of each
    class, a second one all that remain between different components.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from fityard.llm.components import connected_components
 from fityard.llm.sketch import buckets_of, occurrence_levels
 from fityard.llm.textcols import U64, mix, released, shingle_hashes, texts_words
-from fityard.runtime import MAX_BROADCAST_ROWS, written
+from fityard.runtime import written
 
 COORDINATES = 64
 MISS = 1e-7  # chance that a pair of exactly the wanted similarity agrees in too few coordinates
@@ -132,7 +133,7 @@ def may_agree(x: np.ndarray, y: np.ndarray, coordinates: int) -> np.ndarray:
 
 
 def _postings(classes: DataFrame, coordinates: int, threshold: int) -> DataFrame:
-    """``(value, rep, low)``: every class under its rarest coordinate-value pairs, with its signature's low bits."""
+    """``(value, rep)``: every class under its rarest coordinate-value pairs."""
     keep = coordinates - threshold + 1
     levels = occurrence_levels(classes.select("sig"),
                                lambda batch: [_coordinate_values(batch.column(0), coordinates).reshape(-1)])
@@ -148,14 +149,27 @@ def _postings(classes: DataFrame, coordinates: int, threshold: int) -> DataFrame
             shared = np.take_along_axis(level, order, axis=1) > 1  # a value of one class makes no pair
             value = np.take_along_axis(values, order, axis=1)[shared]
             row = np.repeat(np.arange(batch.num_rows), shared.sum(axis=1))
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, coordinates)
-            low = pa.array([x.tobytes() for x in low_bits(sig)], pa.binary())
             for a in range(0, len(row), 50_000):
                 at = pa.array(row[a:a + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(value[a:a + 50_000])), batch.column(0).take(at), low.take(at)],
-                                                 names=["value", "rep", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(value[a:a + 50_000])), batch.column(0).take(at)],
+                                                 names=["value", "rep"])
 
-    return classes.select("rep", "sig").mapInArrow(released(post), "value bigint, rep bigint, low binary")
+    return classes.select("rep", "sig").mapInArrow(released(post), "value bigint, rep bigint")
+
+
+def _compared(classes: DataFrame, coordinates: int) -> DataFrame:
+    """``(rep, size, parity, low)``: what two classes are compared by. An id that stands for several classes has a row
+    for each, so no pair is judged by another class's bits."""
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint32).reshape(-1, coordinates)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:3], pa.array([x.tobytes() for x in low_bits(sig)], pa.binary())],
+                    names=["rep", "size", "parity", "low"])
+
+    return classes.select("rep", F.col("n").alias("size"), "parity", "sig").mapInArrow(
+        released(shorten), "rep bigint, size bigint, parity binary, low binary")
 
 
 def _words(column: pa.Array) -> np.ndarray:
@@ -293,18 +307,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       .dropDuplicates(["k1", "k2"]), "classes")
 
     posted = written(_postings(classes, coordinates, threshold), "postings")
-    # Values with more than one block: at most one row for every BLOCK postings.
-    hot = written(posted.groupBy("value").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "hot-values")
-    small = hot.count() <= MAX_BROADCAST_ROWS
-    live = posted.join(F.broadcast(hot) if small else hot, "value", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    # Values of one class make no pair. The levels leave many of them in a large corpus; the exact counts leave none.
+    counts = posted.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
+    live = written(posted.join(counts, "value"), "shared-postings")
+    compared = written(_compared(classes, coordinates), "compared")
     blocks = F.expr(f"cast(ceil(n / {BLOCK}) as int)")
     block = F.pmod(F.xxhash64("rep", "value"), blocks).cast("int")
 
-    own = live.select(F.xxhash64("value", block).alias("unit"), F.lit(-1).alias("side"), "rep",
+    own = live.join(compared.select("rep", "low"), "rep").select(F.xxhash64("value", block).alias("unit"), F.lit(-1).alias("side"), "rep",
                       F.col("rep").alias("component"), "low", F.lit(0).cast("bigint").alias("size"),
                       F.unhex(F.lit("")).alias("parity"))
     first = written(_pairs(own, threshold, coordinates, percent, all_pairs=False)
-                    .groupBy("b").agg(F.max(F.struct("agreed", (-F.col("a")).alias("minus_a"))).alias("best"))
+                    .filter("a != b").groupBy("b").agg(F.max(F.struct("agreed", (-F.col("a")).alias("minus_a"))).alias("best"))
                     .select((-F.col("best.minus_a")).alias("a"), "b"), "first-pairs")
     texts_of = texts.filter("id is not null")
     links = written(_confirmed(first, texts_of, classes, shingle_words, percent, 100), "first-links")
@@ -314,8 +328,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "component", F.coalesce("component", "rep"))
     open_values = (known.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y"))
                    .filter("x != y").select("value"))
-    still = known.join(open_values, "value").join(
-        classes.dropDuplicates(["rep"]).select("rep", F.col("n").alias("size"), "parity"), "rep").withColumn("nb", blocks).withColumn("at", block)
+    still = (known.join(open_values, "value").join(compared, "rep")
+             .withColumn("nb", blocks).withColumn("at", block))
     others = F.transform(F.sequence(F.lit(0), F.col("nb") - 1),
                          lambda j: F.struct(F.least("at", j).alias("i"), F.greatest("at", j).alias("j")))
     units = still.withColumn("u", F.explode(others)).select(
