@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fityard.llm import line_dedup, mixing, suffix_dedup
+from fityard.llm import line_dedup, minhash_join, mixing, suffix_dedup
 from tests.llm.test_llm import brute_lines, brute_repeats, table
 
 
@@ -27,6 +27,28 @@ def test_near_lines_of_any_id(spark):
     assert min(r["class_id"] for r in got.values()) >= 1 << 62
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_near_the_threshold_at_all_sizes(spark, seed):
+    """Prefix places, sizes and parities (of 64 bits and wider) cut no pair that brute force finds."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(120):
+        size = rng.choice([2, 4, 5, 9, 10, 18, 20, 40, 95, 97, 130])
+        start = rng.choice([0, 0, 1, 2, size // 9, size // 5])
+        rows.append((i, " ".join(f"w{n}" for n in range(start, start + size))))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == brute_lines(rows)
+
+
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    base = [f"w{i}" for i in range(80)]
+    other = [f"x{i}" for i in range(80)]
+    rows = [(1, " ".join(base)), (1, " ".join(other)), (2, " ".join(base + ["more"])), (3, " ".join(other + ["more"])),
+            (4, "nothing like those at all")]
+    got = minhash_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 @pytest.mark.parametrize("size", [1, 8, 1000])
 def test_repeats_whatever_the_batches(spark, size):
     rng = random.Random(size)
