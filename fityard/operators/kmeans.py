@@ -126,6 +126,8 @@ def _partial_means(centers: np.ndarray):
                 n[j] += len(mine)
                 sums[j] += mine.sum(axis=0)
         held = np.flatnonzero(n)
+        if not held.size:  # a task without rows: pandas would have no lists to tell the column's type from
+            return
         yield pd.DataFrame({"cluster": held, "n": n[held], "mean": list(sums[held] / n[held, None])})
 
     return fn

@@ -228,6 +228,13 @@ def test_seeding_does_not_depend_on_partitions(spark, sides):
         km.seed_centers(far.limit(0), ["x"], "k", 2)
 
 
+def test_wide_lloyd_steps_with_tasks_that_have_no_rows(spark):
+    rows = [(0.0, 0.0), (0.0, 2.0), (9.0, 9.0)]
+    vectors = spark.createDataFrame([(Vectors.dense(r),) for r in rows], ["features"]).repartition(11)
+    assert vectors.rdd.glom().filter(lambda part: not part).count() >= 8
+    assert km.kmeans_lloyd_vectors(vectors, [[0.0, 0.0], [9.0, 9.0]], 3) == [[0.0, 1.0], [9.0, 9.0]]
+
+
 def test_kmeans_centers_are_fixed_points(spark, sf_dir):
     rows = susy(spark, sf_dir).select(array_to_vector(F.array("`0`")).alias("features"), F.col("`0`"))
     centers = km.fit_kmeans(rows, seed=1).clusterCenters()
