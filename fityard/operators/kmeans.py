@@ -10,6 +10,8 @@ from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark.mllib.clustering import KMeans as RddKMeans
+from pyspark.mllib.clustering import KMeansModel as RddKMeansModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,14 @@ def fit_kmeans(train: DataFrame, seed: int, k: int = 2, max_iter: int = RUN_TO_C
     return KMeans(featuresCol=features_col, k=k, maxIter=max_iter, seed=seed, **params).fit(train)
 
 
+def fit_kmeans_from(train: DataFrame, centers: Sequence[Sequence[float]], max_iter: int = RUN_TO_CONVERGENCE,
+                    tol: float = 0.0, features_col: str = "features") -> RddKMeansModel:
+    """The library's fit from given centers, which only its RDD form takes: no seed decides where it ends."""
+    rows = train.select(vector_to_array(features_col).alias("x")).rdd.map(lambda r: r[0])
+    return RddKMeans.train(rows, len(centers), maxIterations=max_iter, epsilon=tol,
+                           initialModel=RddKMeansModel([np.array(c, dtype=float) for c in centers]))
+
+
 def center_table(df: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
     """``(cluster, dim, value)``; clusters are numbered in ascending order of their coordinates."""
     ordered = sorted([float(v) for v in c] for c in centers)

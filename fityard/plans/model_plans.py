@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from fityard.functions.vectors import squared_distance
 from fityard.operators import features as ft
 from fityard.operators import kmeans as km
 from fityard.operators import linear, mlp, pca, suite, trees
@@ -416,23 +417,41 @@ def _train_side(spark, sf_dir):
     return susy_table(spark, sf_dir).filter("split = 'train'")
 
 
-# Several fixed points are possible, and the library's seed decides for one: what holds for all of them is compared.
-@query("fit_kmeans", f"""with {SPLIT_SQL}
-select cast(2 as integer) as k, cast({len(SUSY_FEATURES)} as integer) as width, count(*) as n, cast(0 as double) as moved,
-       true as lower_than_one_center from sp where split = 'train'""")
+# Several fixed points are possible: the library starts from the same centers as the SQL, so that all its numbers are compared.
+@query("fit_kmeans", SEEDED_SQL + f""", fitted as (
+  select *, {" + ".join(f"(x{i} - k0_{i}) * (x{i} - k0_{i})" for i in range(4))} as d0,
+         {" + ".join(f"(x{i} - k1_{i}) * (x{i} - k1_{i})" for i in range(4))} as d1 from pt, fin), totals as (
+  select count(*) as n, sum(least(d0, d1)) as cost, {" + ".join(f"var_pop(x{i})" for i in range(4))} as one,
+         greatest({", ".join(f"abs(avg(x{i}) filter (where {near}) - any_value(k{j}_{i}))"
+                             for j, near in enumerate(("d0 <= d1", "d0 > d1")) for i in range(4))}) as moved
+  from fitted), ordered as (
+  select [{", ".join(f"any_value(k0_{i})" for i in range(4))}] as c, count(*) filter (where d0 <= d1) as size from fitted union all
+  select [{", ".join(f"any_value(k1_{i})" for i in range(4))}], count(*) filter (where d0 > d1) from fitted), numbered as (
+  select cast(row_number() over (order by c) - 1 as integer) as cluster, c, size from ordered)
+select cast(2 as integer) as k, cast(len(c) as integer) as width, n, cluster, size, cast(unnest(range(4)) as integer) as dim,
+       round(unnest(c), 6) as value, round(cost / n, 6) as mean_cost, round(moved, 4) as moved,
+       cost < one * n as lower_than_one_center
+from numbered, totals""")
 def _fit_kmeans(spark, sf_dir):
     rows = _train_side(spark, sf_dir)
-    model = km.fit_kmeans(ft.assemble_features(rows, SUSY_FEATURES), seed=SEED, tol=0.0)
-    n, cost = sum(model.summary.clusterSizes), model.summary.trainingCost
-    centers = [c.tolist() for c in model.clusterCenters()]
+    seeds = km.seed_centers(rows, SUSY_FEATURES, "split_key", N_SEEDS)
+    model = km.fit_kmeans_from(ft.assemble_features(rows, SUSY_FEATURES), seeds)
+    centers = sorted(c.tolist() for c in model.clusterCenters)
+    squares = F.least(*[squared_distance(c, SUSY_FEATURES) for c in centers])
+    found = (km.assign_clusters(rows, SUSY_FEATURES, centers).groupBy("prediction")
+             .agg(F.count("*").alias("n"), F.sum(squares).alias("cost")).collect())
+    sizes, cost = {r["prediction"]: r["n"] for r in found}, sum(r["cost"] for r in found)
+    n = sum(sizes.values())
     # One more step over the whole side must leave the centers where they are.
     after = km.kmeans_lloyd(rows, SUSY_FEATURES, centers, 1)
     moved = float(np.abs(np.subtract(after, centers)).max())
     one = rows.agg(*[F.var_pop(f"`{f}`") for f in SUSY_FEATURES]).first()
-    row = (model.summary.k, len(centers[0]), n, moved, cost < sum(one) * n)
+    cells = [(model.k, len(c), n, j, sizes.get(j, 0), d, v, cost / n, moved, cost < sum(one) * n)
+             for j, c in enumerate(centers) for d, v in enumerate(c)]
     return spark.createDataFrame(
-        [row], "k int, width int, n bigint, moved double, lower_than_one_center boolean").withColumn(
-        "moved", F.round("moved", 4))
+        cells, "k int, width int, n bigint, cluster int, size bigint, dim int, value double, mean_cost double, moved double, "
+        "lower_than_one_center boolean").withColumns(
+            {"value": F.round("value", 6), "mean_cost": F.round("mean_cost", 6), "moved": F.round("moved", 4)})
 
 
 @query("fit_kmeans_wide", """

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from fityard.operators import kmeans as km
 from fityard.operators import linear, mlp, pca, suite, trees
 from fityard.operators.evaluation import accuracy
-from fityard.plans.fixtures import SUSY_FEATURES, emb, susy, susy_vectors
+from fityard.plans import model_plans
+from fityard.plans.fixtures import SUSY_FEATURES, emb, susy, susy_split, susy_vectors
 from tests.conftest import rows_of
 
 
@@ -235,6 +236,31 @@ def test_wide_lloyd_steps_with_tasks_that_have_no_rows(spark):
     assert km.kmeans_lloyd_vectors(vectors, [[0.0, 0.0], [9.0, 9.0]], 3) == [[0.0, 1.0], [9.0, 9.0]]
 
 
+def test_library_fit_from_given_centers(spark):
+    points = [(0.0,), (1.0,), (2.0,), (4.0,), (5.0,), (6.0,), (3.0,)]
+    vectors = spark.createDataFrame([(Vectors.dense(p),) for p in points], ["features"]).repartition(3)
+    for start, want in (([[1.0], [4.5]], [1.0, 4.5]), ([[0.0], [6.0]], [1.5, 5.0])):
+        got = km.fit_kmeans_from(vectors, start).clusterCenters
+        assert np.allclose(sorted(c[0] for c in got), want)
+
+
+def test_fit_kmeans_query_returns_the_fit(spark, tmp_path):
+    lines = [(o, n, o % 7, o % 5, 1000.0 * o, 1.0 + o % 50, 0.01 * (o % 9), 0.01 * (o % 8)) for o in range(1, 301) for n in (1, 2, 7)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_extendedprice double, "
+                          "l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = model_plans._fit_kmeans(spark, str(tmp_path)).collect()
+    train = susy_split(spark, str(tmp_path)).filter("split = 'train'").select(*[f"`{f}`" for f in SUSY_FEATURES]).collect()
+    x = np.array([list(r) for r in train])
+    low, high = x[x[:, 3] < 5], x[x[:, 3] > 5]
+    assert len(got) == 8 and {(r["k"], r["width"], r["n"], r["moved"]) for r in got} == {(2, 4, len(x), 0.0)}
+    assert sorted({r["size"] for r in got}) == sorted({len(low), len(high)})
+    centers = sorted(([r["value"] for r in sorted((r for r in got if r["cluster"] == c), key=lambda r: r["dim"])] for c in (0, 1)),
+                     key=lambda c: c[3])
+    assert np.allclose(centers, [low.mean(axis=0), high.mean(axis=0)], atol=1e-6)
+    cost = (np.square(low - centers[0]).sum() + np.square(high - centers[1]).sum()) / len(x)
+    assert got[0]["mean_cost"] == pytest.approx(cost, abs=2e-6)
+
+
 def test_kmeans_centers_are_fixed_points(spark, sf_dir):
     rows = susy(spark, sf_dir).select(array_to_vector(F.array("`0`")).alias("features"), F.col("`0`"))
     centers = km.fit_kmeans(rows, seed=1).clusterCenters()
