@@ -11,7 +11,7 @@ from fityard.operators.linear import score_weights
 from fityard.operators.pca import fit_pca
 from fityard.plans.fixtures import (
     FILE_SPEC, INDEXED_SQL, KEYS_SQL, N_TEST, N_TRAIN, SPLIT_SQL, SUSY_FEATURES, SUSY_KEYS,
-    SUSY_SQL, TRAIN_FRACTION, VAL_HASH_SQL, chunk_rows, emb, susy, susy_csv, susy_indexed,
+    SUSY_SQL, TRAIN_FRACTION, VAL_HASH_SQL, chunk_rows, emb, susy, susy_files, susy_indexed,
     susy_split, table)
 from fityard.plans.registry import query
 from fityard.sources.feature_csv import scan_feature_csv
@@ -40,7 +40,7 @@ select target, "0", "1", "2", "3", cast(l_orderkey as double) as "4",
        cast(l_linenumber as double) as "5", cast(l_partkey as double) as "6",
        cast(l_suppkey as double) as "7", l_extendedprice as "8" from susy""")
 def _names(spark, sf_dir):
-    unnamed = scan_feature_csv(spark, susy_csv(spark, sf_dir), FILE_SPEC)
+    unnamed = scan_feature_csv(spark, susy_files(spark, sf_dir), FILE_SPEC)
     unnamed = unnamed.toDF(*[f"_c{i}" for i in range(len(unnamed.columns))])
     return ft.name_columns(unnamed, FILE_SPEC)
 

@@ -8,7 +8,7 @@ from fityard.operators import design
 from fityard.operators.runlog import event_durations
 from fityard.plans.fixtures import (
     EMB_WIDTH, EV_SQL, FILE_COLUMNS, FILE_SPEC, INDEXED_SQL, LOG_SQL, N_TEST, N_TRAIN, SUSY_FEATURES,
-    SUSY_KEYS, SUSY_SQL, chunk_rows, file_rows, once, run_log, susy_csv, susy_prefix, table)
+    SUSY_KEYS, SUSY_SQL, chunk_rows, file_rows, once, run_log, susy_files, susy_prefix, table)
 from fityard.plans.registry import query
 from fityard.runtime import new_table_path, spread
 from fityard.sources import (
@@ -21,7 +21,7 @@ ROW_SQL = ", ".join([*SUSY_KEYS, "target", *[f'"{f}"' for f in SUSY_FEATURES]])
 
 @query("scan_feature_csv", f"with {SUSY_SQL} select {ROW_SQL} from susy")
 def _scan(spark, sf_dir):
-    return file_rows(scan_feature_csv(spark, susy_csv(spark, sf_dir), FILE_SPEC))
+    return file_rows(scan_feature_csv(spark, susy_files(spark, sf_dir), FILE_SPEC))
 
 
 @query("read_prefix_chunks", f"""with {INDEXED_SQL}

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fityard.functions.ordering import file_order_index
+from fityard.plans import fixtures, source_plans
 from fityard.sources import (
     batch_featurize, byte_histogram, chunk_table, export_feature_csv, feature_csv, index_feature_csv, label_from_filename,
     read_items, read_prefix, read_run_files, read_run_logs, scan_feature_csv, write_run_files,
@@ -24,6 +26,23 @@ def _csv(folder, n, files=3):
     return str(folder)
 
 
+def test_scanned_files_need_no_shuffle(spark, tmp_path, monkeypatch):
+    lines = [(i // 7, i % 7, i % 11, i % 5, 100.0 * i, 1.0 + i % 50, 0.01 * (i % 9), 0.01 * (i % 8)) for i in range(300, 0, -1)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_extendedprice double, "
+                          "l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = rows_of(fixtures.susy(spark, str(tmp_path)).select(*fixtures.SUSY_KEYS, "target", "`0`", "`1`", "`2`", "`3`"))
+    ordered = file_order_index(scan_feature_csv(spark, fixtures.susy_csv(spark, str(tmp_path)), fixtures.FILE_SPEC))
+    keys = [r[:5] for r in fixtures.file_rows(ordered).orderBy("row_idx").collect()]
+    assert keys == sorted(keys) and len(keys) == 300
+
+    def refused(*_):
+        raise AssertionError("rows that are only scanned were sorted")
+
+    monkeypatch.setattr(type(ordered), "repartitionByRange", refused)
+    monkeypatch.setitem(fixtures._made, (spark.sparkContext.applicationId, "susy_csv", str(tmp_path)), "nowhere")
+    assert rows_of(source_plans._scan(spark, str(tmp_path))) == want
+
+
 def test_scan_uses_the_fixed_schema(spark, tmp_path):
     df = scan_feature_csv(spark, _csv(tmp_path / "a", 30), SPEC)
     assert df.columns == ["target", "0", "1"] and df.count() == 30
