@@ -28,6 +28,12 @@ def fit_gbt(train: DataFrame, seed: int, n_trees: int = 50, max_depth: int = 3,
                          checkpointInterval=10, **params).fit(train)
 
 
+def collapsed(df: DataFrame, cols: Sequence[str], weight_col: str = "weight") -> DataFrame:
+    """Equal rows once, with their number: a fit with weights gives the same trees, but each of its passes (``max_depth`` by
+    tree) is over distinct rows only, which discrete features have few of. Counted in every task before rows move."""
+    return written(df.groupBy(*[quoted(c) for c in cols]).agg(F.count("*").cast("double").alias(weight_col)), "distinct-rows")
+
+
 def importance_table(train: DataFrame, model: GBTClassificationModel,
                      feature_cols: Sequence[str]) -> DataFrame:
     rows = [(c, float(v)) for c, v in
@@ -57,8 +63,8 @@ def node_table(spark: SparkSession, nodes: Sequence[Node]) -> DataFrame:
 
 
 def model_nodes(model: GBTClassificationModel, spark: SparkSession) -> DataFrame:
-    """The nodes of a fitted ensemble of numeric features, with the rows that were in each (``n``), from the model's own stored
-    form. Depth and number of trees bound the table."""
+    """The nodes of a fitted ensemble of numeric features, with the rows that were in each (``n``; the sum of their weights, if
+    they had any), from the model's own stored form. Depth and number of trees bound the table."""
     path = new_table_path(spark, "trees")
     model.write().save(path)
     stored = spark.read.parquet(f"{path}/data")
@@ -66,7 +72,8 @@ def model_nodes(model: GBTClassificationModel, spark: SparkSession) -> DataFrame
     return stored.select(F.col("treeID").alias("tree"), F.col("nodeData").alias("n")).select(
         "tree", F.col("n.id").alias("node"), F.when(leaf, -1).otherwise(F.col("n.split.featureIndex")).alias("feature"),
         F.when(~leaf, F.col("n.split.leftCategoriesOrThreshold")[0]).alias("cut"),
-        F.col("n.leftChild").alias("left"), F.col("n.rightChild").alias("right"), F.col("n.prediction").alias("value"), F.col("n.rawCount").alias("n"))
+        F.col("n.leftChild").alias("left"), F.col("n.rightChild").alias("right"), F.col("n.prediction").alias("value"),
+        F.round(F.col("n.impurityStats")[0]).cast("bigint").alias("n"))  # the first statistic of the variance is the weight
 
 
 def _tree_value(nodes: dict[int, Node], cols: Sequence[str], at: int = 0) -> Column:

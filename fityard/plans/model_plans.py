@@ -316,8 +316,9 @@ def _rounded_tree(nodes):
 @query("fit_gbt", _tree_sql())
 def _gbt(spark, sf_dir):
     """The first of all fitted trees, its nodes numbered as those of ``grow_tree``."""
-    rows = ft.assemble_features(_discrete(spark, sf_dir), DISCRETE).select("label", "features")
-    model = trees.fit_gbt(rows, seed=SEED, maxBins=64)
+    distinct = trees.collapsed(_discrete(spark, sf_dir), ["label", *DISCRETE])
+    rows = ft.assemble_features(distinct, DISCRETE).select("label", "features", "weight")
+    model = trees.fit_gbt(rows, seed=SEED, maxBins=64, weightCol="weight")
     nodes = {r["node"]: r for r in trees.model_nodes(model, spark).filter("tree = 0").collect()}
     found, queue = [], [(0, 1)]
     while queue:

@@ -5,7 +5,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from fityard.operators import kmeans as km
-from fityard.operators import linear, mlp, pca, suite, trees
+from fityard.operators import features, linear, mlp, pca, suite, trees
 from fityard.operators.evaluation import accuracy
 from fityard.plans import model_plans
 from fityard.plans.fixtures import SUSY_FEATURES, emb, susy, susy_split, susy_vectors
@@ -194,6 +194,33 @@ def test_gbt(sides):
     assert importances.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
 
 
+def test_weights_stand_for_equal_rows(spark):
+    rows = [(float(i * 7 % 10 > 4 + i % 3), float(i % 3), float(i * 7 % 10)) for i in range(600)]
+    df = spark.createDataFrame(rows, "label double, a double, b double")
+    distinct = trees.collapsed(df, ["label", "a", "b"])
+    assert distinct.count() == len(set(rows)) and distinct.agg(F.sum("weight")).first()[0] == 600
+
+    def nodes(table, **params):
+        model = trees.fit_gbt(features.assemble_features(table, ["a", "b"]), seed=1, n_trees=3, **params)
+        return [(r["tree"], r["node"], r["feature"], r["cut"], round(r["value"], 9), r["n"])
+                for r in trees.model_nodes(model, spark).orderBy("tree", "node").collect()]
+
+    assert nodes(distinct, weightCol="weight") == nodes(df) and nodes(df)[0][5] == 600
+
+
+def test_gbt_query_fits_distinct_rows(spark, sf_dir, monkeypatch):
+    seen = []
+
+    def fit(rows, **params):
+        seen.append((rows.count(), rows.distinct().count()))
+        return trees_fit(rows, **params)
+
+    trees_fit = trees.fit_gbt
+    monkeypatch.setattr(trees, "fit_gbt", fit)
+    assert rows_of(model_plans._gbt(spark, sf_dir)) == rows_of(model_plans._grow(spark, sf_dir))
+    assert seen[0][0] == seen[0][1]
+
+
 def test_lloyd_steps(spark, matrix):
     x = matrix[0][:, :2]
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], "`0` double, `1` double").repartition(4)
