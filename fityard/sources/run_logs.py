@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from fityard.runtime import join_lookup, written
 
 SEGMENT_EVENTS = 10_000
+TASKS_PER_CORE = 4
 # What ends an element of an array that is indented by four spaces, and nothing else: strings hold no line feed.
 ELEMENT_END = "\n    }"
 
@@ -76,24 +77,35 @@ def _json_scalar(name: str, booleans: Sequence[str]) -> Column:
     return F.when(bare, F.col(name)).otherwise(scalar)
 
 
+def file_tasks(spark: SparkSession) -> int:
+    """Tasks that write many small files: several for every core."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
 def write_run_files(events: DataFrame, path: str, segment_events: int = SEGMENT_EVENTS,
                     booleans: Sequence[str] = ("Result",)) -> None:
-    """Write every run to a file of its own, ``run_id=<id>/segment=<s>/``: one indented JSON array, as a single run
-    writes its log. Fields that ``events`` lacks are left out; values ``true`` and ``false`` of the events in
+    """Write every run to a file of its own in ``run_id=<id>/``: one indented JSON array, as a single run writes its log. Fields that ``events`` lacks are left out; values ``true`` and ``false`` of the events in
     ``booleans`` are JSON booleans.
 
     Lines are brought together by run and segment and written one by one, so no array is ever built in memory; a
-    run of more than ``segment_events`` events continues in further files, which other tasks can write.
+    run of more than ``segment_events`` events continues in further files, which other tasks can write. Where there is such a
+    run, all files lie in ``run_id=<id>/segment=<s>/``; a folder more for each file takes as long as the file, so it is not
+    made for nothing.
     """
+    segment = F.expr(f"pos div {segment_events}")
+    folders = ["run_id", "segment"] if events.agg(F.max(~segment.eqNullSafe(0))).first()[0] else ["run_id"]
     fields = [c for c in EVENT_FIELDS if c in events.columns]
     lines = [F.concat(F.lit(f'{" " * 8}"{c}": '), _json_scalar(c, booleans)) for c in fields]
     in_file = Window.partitionBy("run_id", "segment").orderBy("pos")
-    placed = events.withColumn("segment", F.expr(f"pos div {segment_events}")).select(
+    # A file costs the same however short it is, which the bytes of a partition don't tell: the number of tasks is fixed here, or
+    # small runs would be put into about as many tasks as there are cores, of which the last one over keeps the others waiting.
+    placed = events.withColumn("segment", segment).repartition(
+        file_tasks(events.sparkSession), "run_id", "segment").select(
         "*", F.lag("pos").over(in_file).isNull().alias("_first"), F.lead("pos").over(in_file).isNull().alias("_last"))
     element = F.concat(F.when(F.col("_first"), "[\n").otherwise(""), F.lit("    {\n"), F.concat_ws(",\n", *lines),
                        F.lit(ELEMENT_END), F.when(F.col("_last"), "\n]").otherwise(","))
-    (placed.sortWithinPartitions("run_id", "segment", "pos").select("run_id", "segment", element.alias("value"))
-     .write.partitionBy("run_id", "segment").text(path))
+    (placed.sortWithinPartitions("run_id", "segment", "pos").select(*folders, element.alias("value"))
+     .write.partitionBy(*folders).text(path))
 
 
 def read_run_files(spark: SparkSession, path: str | list[str], segment_events: int | None = None) -> DataFrame:
@@ -109,12 +121,12 @@ def read_run_files(spark: SparkSession, path: str | list[str], segment_events: i
     array is one row. A file that isn't one whole JSON array is an error.
     """
     full, below = _paths([path] if isinstance(path, str) else path)
-    ids = r"/run_id=([^/]*)/segment=(\d+)/[^/]*$"
+    ids = r"/run_id=([^/]*)/(?:segment=(\d+)/[^/]*|part-[^/]*\.txt[^/]*)$"
     ours = F.col("_full").rlike(ids)
     own = F.nullif(F.regexp_extract("_full", ids, 1), F.lit("__HIVE_DEFAULT_PARTITION__"))
     run_id = F.when(ours, F.concat(F.regexp_extract("_below", r"^(.*/)?run_id=", 1), _decoded(own))).otherwise(
         F.regexp_replace("_below", r"\.[^./]*$", ""))
-    segment = F.when(ours, F.regexp_extract("_full", ids, 2).cast("bigint")).otherwise(0)
+    segment = F.coalesce(F.when(ours, F.nullif(F.regexp_extract("_full", ids, 2), F.lit("")).cast("bigint")), F.lit(0))
     opened = F.col("value").rlike(r"^\s*[\[,]\s*\n    \{")
     closing = F.col("value").rlike(r"^\s*\]\s*$")
     strict = {"mode": "FAILFAST"}

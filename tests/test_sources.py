@@ -194,6 +194,20 @@ def test_log_round_trip(spark, out_dir, segment):
             (r, p, e, v or "", t) for r, p, e, v, t in rows)
 
 
+def test_run_files_have_no_folders_and_tasks_for_nothing(spark, out_dir):
+    events = spark.range(600).select((F.col("id") % 60).alias("run_id"), F.expr("id div 60").alias("pos"), F.lit("e").alias("event"))
+    write_run_files(events, out_dir + "/one", segment_events=10)
+    files = [r["file"].split("/one/")[1] for r in feature_csv._listing(spark, out_dir + "/one/*").collect()]
+    assert len(files) == 60 and all(f.count("/") == 1 for f in files)
+    tasks = {f.split("/part-")[1].split("-")[0] for f in files}
+    assert len(tasks) > spark.sparkContext.defaultParallelism
+    write_run_files(events, out_dir + "/two", segment_events=6)
+    assert feature_csv._listing(spark, out_dir + "/two/*/*").count() == 120
+    want = rows_of(events.select(F.col("run_id").cast("string"), "pos", "event"))
+    for folder in ("/one", "/two"):
+        assert rows_of(read_run_files(spark, out_dir + folder), "run_id", "pos", "event") == want
+
+
 def test_run_files_are_what_a_run_writes(spark, out_dir):
     rows = [(7, p, e["event"], {True: "true"}.get(e["value"], e["value"]), float(e["execution_time"]), e["start_time"],
              e["start_time_epoch"]) for p, e in enumerate(LOG)]
