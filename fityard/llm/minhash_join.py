@@ -3,12 +3,13 @@
 1. Every text becomes its set of word shingles and a signature of ``coordinates`` minima. Texts with
    equal sets are one class, represented by its smallest id.
 2. A pair at the wanted similarity agrees in at least ``T`` of ``K`` coordinates but for a stated chance
-   (``match_threshold``). Such a pair shares one of the ``K - T + 1`` coordinate-value pairs that come
-   first in any common order, so a class is posted only under its rarest ones (prefix). Values that are then
-   left with one class are dropped by exact counts before anything but the ids is shuffled.
+   (``match_threshold``). It differs in at most ``K - T`` of them, so of ``K - T + 1`` groups of coordinates one is equal
+   as a whole; a class is posted under these groups' values (``K - T + 1`` rows at any size of the corpus). Values
+   of one class are dropped by exact counts before anything but the ids is shuffled.
 3. Under each value, collisions are counted over all coordinates, on a few bits of each; pairs below ``T`` go. Pairs of
    classes that are known to be connected are skipped: a first pass takes the best candidate of each
-   class, a second one all that remain between different components.
+   class, a second one the best ``FURTHER`` between different components, a third one all that remain between
+   different components. So a large group of near copies is connected by a few pairs a class, not by all.
 4. Every candidate is confirmed on the full shingle sets; confirmed links give the components.
 
 A value under which many classes are posted is cut into blocks; pairs of blocks are separate units of
@@ -26,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fityard.llm.components import connected_components
-from fityard.llm.sketch import buckets_of, occurrence_levels
 from fityard.llm.textcols import U64, mix, released, shingle_hashes, texts_words
 from fityard.runtime import written
 
@@ -36,6 +36,7 @@ BLOCK = 4096
 PARITY_BITS = 1024
 LOW_BITS = 4  # of every coordinate, sent with each posting
 SMALL = 12
+FURTHER = 4  # candidates of a class that the second pass confirms
 _TO_SIGNED = np.int64(-1 << 63)
 
 
@@ -109,10 +110,17 @@ def _signatures(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
     return docs.mapInArrow(released(sign), "id bigint, n bigint, k1 bigint, k2 bigint, sig binary, parity binary")
 
 
-def _coordinate_values(sig: pa.Array, coordinates: int) -> np.ndarray:
-    """One 64-bit hash for each signature (row) and coordinate (column)."""
+def _group_values(sig: pa.Array, coordinates: int, threshold: int) -> np.ndarray:
+    """One 64-bit hash for each signature (row) and group of coordinates (column): as many groups as signatures with
+    ``threshold`` equal coordinates can't all differ in, each as wide as the coordinates allow."""
+    groups = coordinates - threshold + 1
+    width = coordinates // groups
     values = np.frombuffer(b"".join(sig.to_pylist()), dtype=np.uint32).reshape(-1, coordinates)
-    return mix(values.astype(U64) | (np.arange(1, coordinates + 1, dtype=U64) << U64(32)))
+    values = values[:, :groups * width].reshape(-1, groups, width).astype(U64)
+    out = np.broadcast_to(mix(np.arange(1, groups + 1, dtype=U64)), values.shape[:2])
+    for i in range(width):
+        out = mix(out ^ values[:, :, i])
+    return out
 
 
 def low_bits(signatures: np.ndarray) -> np.ndarray:
@@ -133,26 +141,16 @@ def may_agree(x: np.ndarray, y: np.ndarray, coordinates: int) -> np.ndarray:
 
 
 def _postings(classes: DataFrame, coordinates: int, threshold: int) -> DataFrame:
-    """``(value, rep)``: every class under its rarest coordinate-value pairs."""
-    keep = coordinates - threshold + 1
-    levels = occurrence_levels(classes.select("sig"),
-                               lambda batch: [_coordinate_values(batch.column(0), coordinates).reshape(-1)])
-
+    """``(value, rep)``: every class under its groups of coordinates."""
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = _coordinate_values(batch.column(1), coordinates)
-            level = levels.value[buckets_of(values)]
-            # Rarest first; ties in the order of the hashes, which is the same for all classes.
-            order = np.argsort((level.astype(U64) << U64(56)) | (values >> U64(8)), axis=1)[:, :keep]
-            shared = np.take_along_axis(level, order, axis=1) > 1  # a value of one class makes no pair
-            value = np.take_along_axis(values, order, axis=1)[shared]
-            row = np.repeat(np.arange(batch.num_rows), shared.sum(axis=1))
-            for a in range(0, len(row), 50_000):
-                at = pa.array(row[a:a + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(value[a:a + 50_000])), batch.column(0).take(at)],
-                                                 names=["value", "rep"])
+            for a in range(0, batch.num_rows, 2048):
+                rows = batch.slice(a, 2048)
+                values = _group_values(rows.column(1), coordinates, threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_signed(values.reshape(-1))),
+                     rows.column(0).take(pa.array(np.repeat(np.arange(rows.num_rows), values.shape[1])))],
+                    names=["value", "rep"])
 
     return classes.select("rep", "sig").mapInArrow(released(post), "value bigint, rep bigint")
 
@@ -178,14 +176,14 @@ def _words(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-def _pairs(blocks: DataFrame, threshold: int, coordinates: int, percent: int, all_pairs: bool) -> DataFrame:
+def _pairs(blocks: DataFrame, threshold: int, coordinates: int, percent: int, best: int | None) -> DataFrame:
     """Candidate pairs ``(a, b, agreed)``, a < b, within the rows of each unit.
 
     ``blocks``: unit (bigint), side (-1: one block against itself; else which of two blocks), rep,
     component, low (low bits of each coordinate), n (set size) and parity. Collisions of low bits can only add
     candidates; with parities, pairs go whose bits differ in more places than similar sets may differ in elements.
-    With ``all_pairs`` every candidate between different components; else for each row of a large unit the
-    one before it, in the order of rep, that agrees with it in most coordinates.
+    Every candidate between different components; with ``best``, for each row of a large unit only so many of those
+    before it, in the order of rep, that agree with it in most coordinates.
     """
     def alike(i, j, n, bits) -> np.ndarray:
         if not bits.shape[1]:
@@ -195,21 +193,17 @@ def _pairs(blocks: DataFrame, threshold: int, coordinates: int, percent: int, al
 
     def found(rep, comp, side, low, n_of, bits) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         n = len(rep)
-        if all_pairs:
-            for i in range(n):
-                rest = np.flatnonzero((comp[i + 1:] != comp[i]) & ((side[i + 1:] != side[i]) | (side[i] < 0))) + i + 1
-                if len(rest):
-                    like = may_agree(low[rest], low[i], coordinates)
-                    rest, like = rest[like >= threshold], like[like >= threshold]
-                    ok = alike(i, rest, n_of, bits)
-                    rest, like = rest[ok], like[ok]
-                    yield np.full(len(rest), rep[i]), rep[rest], like
-            return
         for i in range(1, n):
-            like = may_agree(low[:i], low[i], coordinates)
-            j = int(like.argmax())
-            if like[j] >= threshold:
-                yield np.array([rep[j]]), np.array([rep[i]]), like[j:j + 1]
+            rest = np.flatnonzero((comp[:i] != comp[i]) & ((side[:i] != side[i]) | (side[i] < 0)))
+            like = may_agree(low[rest], low[i], coordinates)
+            rest, like = rest[like >= threshold], like[like >= threshold]
+            ok = alike(i, rest, n_of, bits)
+            rest, like = rest[ok], like[ok]
+            if best and len(rest) > best:
+                top = np.argsort(-like, kind="stable")[:best]
+                rest, like = rest[top], like[top]
+            if len(rest):
+                yield rep[rest], np.full(len(rest), rep[i]), like
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held = None
@@ -307,39 +301,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       .dropDuplicates(["k1", "k2"]), "classes")
 
     posted = written(_postings(classes, coordinates, threshold), "postings")
-    # Values of one class make no pair. The levels leave many of them in a large corpus; the exact counts leave none.
-    counts = posted.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = posted.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")  # values of one class make no pair
     live = written(posted.join(counts, "value"), "shared-postings")
     compared = written(_compared(classes, coordinates), "compared")
     blocks = F.expr(f"cast(ceil(n / {BLOCK}) as int)")
     block = F.pmod(F.xxhash64("rep", "value"), blocks).cast("int")
-
-    own = live.join(compared.select("rep", "low"), "rep").select(F.xxhash64("value", block).alias("unit"), F.lit(-1).alias("side"), "rep",
-                      F.col("rep").alias("component"), "low", F.lit(0).cast("bigint").alias("size"),
-                      F.unhex(F.lit("")).alias("parity"))
-    first = written(_pairs(own, threshold, coordinates, percent, all_pairs=False)
-                    .filter("a != b").groupBy("b").agg(F.max(F.struct("agreed", (-F.col("a")).alias("minus_a"))).alias("best"))
-                    .select((-F.col("best.minus_a")).alias("a"), "b"), "first-pairs")
-    texts_of = texts.filter("id is not null")
-    links = written(_confirmed(first, texts_of, classes, shingle_words, percent, 100), "first-links")
-    component = connected_components(links)
-
-    known = live.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep"))
-    open_values = (known.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-                   .filter("x != y").select("value"))
-    still = (known.join(open_values, "value").join(compared, "rep")
-             .withColumn("nb", blocks).withColumn("at", block))
     others = F.transform(F.sequence(F.lit(0), F.col("nb") - 1),
                          lambda j: F.struct(F.least("at", j).alias("i"), F.greatest("at", j).alias("j")))
-    units = still.withColumn("u", F.explode(others)).select(
-        F.xxhash64("value", "u.i", "u.j").alias("unit"),
-        F.when(F.col("u.i") == F.col("u.j"), -1).when(F.col("at") == F.col("u.i"), 0).otherwise(1).alias("side"),
-        "rep", "component", "low", "size", "parity")
-    rest = written(_pairs(units, threshold, coordinates, percent, all_pairs=True).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    links = written(links.unionByName(
-        _confirmed(rest, texts_of, classes, shingle_words, percent, 100)), "links")
+    texts_of = texts.filter("id is not null")
+
+    def open_pairs(component: DataFrame, best: int | None) -> DataFrame:
+        """Candidates between different components, under the values that have several."""
+        known = live.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+            "component", F.coalesce("component", "rep"))
+        open_values = (known.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+                       .filter("x != y").select("value"))
+        still = (known.join(open_values, "value").join(compared, "rep")
+                 .withColumn("nb", blocks).withColumn("at", block))
+        units = still.withColumn("u", F.explode(others)).select(
+            F.xxhash64("value", "u.i", "u.j").alias("unit"),
+            F.when(F.col("u.i") == F.col("u.j"), -1).when(F.col("at") == F.col("u.i"), 0).otherwise(1).alias("side"),
+            "rep", "component", "low", "size", "parity")
+        return _pairs(units, threshold, coordinates, percent, best)
+
+    def chosen(pairs: DataFrame, best: int) -> DataFrame:
+        """The ``best`` pairs of each b."""
+        top = F.slice(F.sort_array(F.collect_set(F.struct("agreed", (-F.col("a")).alias("minus_a"))), asc=False), 1, best)
+        return (pairs.filter("a != b").groupBy("b").agg(top.alias("top"))
+                .select("b", F.explode("top.minus_a").alias("minus_a")).select((-F.col("minus_a")).alias("a"), "b"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return _confirmed(pairs, texts_of, classes, shingle_words, percent, 100)
+
+    own = live.join(compared.select("rep", "low"), "rep").select(
+        F.xxhash64("value", block).alias("unit"), F.lit(-1).alias("side"), "rep", F.col("rep").alias("component"),
+        "low", F.lit(0).cast("bigint").alias("size"), F.unhex(F.lit("")).alias("parity"))
+    tried = written(chosen(_pairs(own, threshold, coordinates, percent, 1), 1), "first-pairs")
+    links = written(confirmed(tried), "links")
     component = connected_components(links)
+    for best in (FURTHER, None):
+        found = open_pairs(component, best)
+        found = chosen(found, best) if best else found.filter("a != b").select("a", "b").distinct()
+        # Written before the tried ones are taken away: else that join goes ahead of the distinct pairs.
+        rest = written(written(found, "open-pairs").join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = written(links.unionByName(confirmed(rest)), "links")
+        tried = tried.unionByName(rest)
+        component = connected_components(links)
 
     of_class = classes.select("k1", "k2", "rep").join(
         component.withColumnRenamed("node", "rep"), "rep", "left").select(

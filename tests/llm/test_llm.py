@@ -393,6 +393,55 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows, 2)
 
 
+def _counted(monkeypatch):
+    """Rows that near_duplicates writes, by the name of the table."""
+    rows, write = {}, minhash_join.written
+
+    def written(df, name):
+        out = write(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash_join, "written", written)
+    return rows
+
+
+def test_a_large_group_of_near_copies_is_linked_by_few_pairs(spark, monkeypatch):
+    counted, rng = _counted(monkeypatch), random.Random(8)
+    rows = []
+    for i in range(150):
+        words = [f"w{k}" for k in range(120)]
+        for k in rng.sample(range(120), 7):  # two of them have a similarity about 0.8
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    got = minhash_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle_words=1)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows, 1)
+    assert counted["first-pairs"] + counted["pairs"] <= 8 * len(rows)  # of 11,175 pairs
+
+
+def test_postings_grow_with_the_classes_only(spark, monkeypatch):
+    counted = _counted(monkeypatch)
+    made = []
+    for n in (20, 200):
+        counted.clear()
+        rows = [(i, " ".join(f"d{i}w{k}" for k in range(30))) for i in range(n)]
+        assert minhash_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == n
+        made.append(counted["postings"])
+    assert 0 < made[1] <= 10 * made[0]
+
+
+def test_signatures_above_the_threshold_share_a_group():
+    rng = np.random.default_rng(4)
+    for coordinates, threshold in ((64, 33), (64, 20), (64, 60), (7, 7)):
+        one = rng.integers(0, 2 ** 32, (300, coordinates), dtype=np.uint32)
+        two = one.copy()
+        for row in two:
+            row[rng.permutation(coordinates)[threshold:]] ^= 1
+        a, b = (minhash_join._group_values(pa.array([x.tobytes() for x in s], pa.binary()), coordinates, threshold)
+                for s in (one, two))
+        assert a.shape == (300, coordinates - threshold + 1) and (a == b).any(axis=1).all()
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = sorted(((r["doc_id"], r["n_shingles"] > 0, r["component_id"], r["kept"])
                   for r in minhash_join.near_duplicates(odd).collect()), key=str)
