@@ -1,19 +1,22 @@
 """Near-duplicate lines by an exact set-similarity join.
 
-A line is the set of its words. Tokens are put in one order for all lines: rarest first, by the levels of
-``sketch``, ties by the tokens' hashes. Two sets with ``100 * intersection >= percent * union`` must share a
-token among the first ``n - ceil(percent / 100 * n) + 1`` of each (prefix); their sizes must be near each
-other (length), and the tokens that follow the shared one must suffice for the wanted intersection
-(positional). A few parity bits of each set bound from below in how many tokens two sets differ. What
-is left is verified on the full sets. A line goes if an earlier line of the corpus matches it.
-
-1. Count tokens and line keys. 2. Post every line, once a batch, under those of its prefix tokens that occur in
-other lines; compare what is posted under one token in the order of sizes, in blocks; keep which lines had a candidate
-under which token. 3. Read the texts again for the places of lines whose key occurs again or that had a candidate,
-and the full sets of the latter. Post these with their sets under the tokens that gave candidates, and verify each pair
-under the first token its sets share, where links are summed up by line; no row is made for a pair. Only pairs
-with a line of more than ``WIDE`` tokens are joined with their sets one by one, as such a set is too long to be sent with
-every token. 4. Join the decisions back to the lines, gather them by document, and cut the texts.
+A line is the set of its words. Two sets with ``100 * intersection >= percent * union`` differ in at most
+``d = (100 - percent) * (sum of sizes) // (100 + percent)`` tokens. If hashes deal all tokens out to ``k = d + g`` parts, at
+least ``g`` parts of the two sets are equal, and the strongest of those, the one with the rarest tokens by the levels of
+``sketch``, is among the ``d + 1`` strongest parts of both (the sets differ in ``d`` parts at most, whatever stands before it
+is one of them). So a line is posted under the contents of its ``d + 1`` strongest parts, and not under parts with
+a token that no other line has. ``k`` is fixed for all lines whose size has the same number of binary digits; a line is also
+posted in the terms of the next such class if a matching line can be that long. What is posted under the same content is
+compared by size and by 64 bits, parities or small counts, that bound from below in how many tokens two sets differ. What is left is verified on
+the full sets. A line goes if an earlier line of the corpus matches it.
+
+1. Count tokens. 2. Post the lines; postings travel in arrays, cut by the first bits of their contents. Compare what is
+posted under one content in the order of sizes, in pairs of blocks if it is much. Lines that had a candidate under a content
+are a unit; contents with the same such lines are one unit. 3. Read the texts again for the places of all lines, and the full
+sets of those in units. A pair is verified in the first unit its lines share: keep the lines that have such a partner in a unit,
+gather units with their sets, verify, and sum up links by line; no row is made for a pair. Only pairs with a line of more than ``WIDE`` tokens are joined with their sets one
+by one, as such a set is too long to be sent with every unit. 4. Join the decisions back to the lines, gather them by
+document, and cut the texts.
 """
 
 from __future__ import annotations
@@ -27,15 +30,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from fityard.llm.sketch import buckets_of, occurrence_levels
-from fityard.llm.textcols import U64, buffers, mix, pieces, released, whole_groups, word_hashes
-from fityard.runtime import MAX_BROADCAST_ROWS, written
+from fityard.llm.textcols import U64, buffers, mix, pieces, released, texts_words, whole_groups, word_hashes
+from fityard.runtime import written
 
-BLOCK = 2048           # rows of one token that are compared with each other as a unit
-NARROW = 96            # tokens up to which a line has 64 parity bits
-WIDE = 512             # tokens up to which a line's set is sent with its postings
-MAX_BITS = 1 << 14
+BLOCK = 2048           # rows of one content that are compared with each other at once
+WIDE = 512             # tokens up to which a line's set is sent with its units
 TOKEN_BITS = 42        # bits of a token's hash that tell tokens apart inside a set
+UNIT_BITS = 48
+PARITY_DIGITS = 6      # binary digits of the sizes up to which postings tell parities, and counts beyond
+SKETCH_WORDS = 8       # of 64 parity bits, where units are compared
+SLICE_BITS = 12        # first bits of a content by which postings are cut into arrays
+MAX_SIZE = (1 << 16) - 1  # of a set, as postings tell it
+TEXT_AT_ONCE = 1 << 18
 LINES_AT_ONCE = 60_000
+POSTINGS_AT_ONCE = 1 << 20
 PAIRS_AT_ONCE = 1 << 15
 PLACE = "struct<id:bigint,line:bigint>"  # of a line; places are ordered by id, then line
 _LOW = U64((1 << TOKEN_BITS) - 1)
@@ -54,7 +62,7 @@ def line_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
     """For runs of lines with words: row, line number in the text, token hashes, where each line's begin.
     A line ends at a line feed; an empty last line counts for nothing."""
     data, offsets = buffers(column)
-    for a, b in pieces(offsets):
+    for a, b in pieces(offsets, TEXT_AT_ONCE):
         part, at = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
         if not len(part):
             continue
@@ -81,130 +89,222 @@ def distinct_tokens(words: np.ndarray, to: np.ndarray, levels: np.ndarray | None
     return key & U64((1 << 48) - 1), np.searchsorted(key >> U64(48), np.arange(len(to), dtype=U64))
 
 
-def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - -(-n * percent // 100) + 1
-
-
 def _keys(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits that lines with equal sets have in common."""
     return (np.add.reduceat(mix(tokens), at[:-1]), np.add.reduceat(mix(tokens ^ U64(0x5851F42D4C957F2D)), at[:-1]))
 
 
-def _parities(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """Each line's parity bits: bit i tells whether an odd number of tokens hash to it. Two sets differ in at least as
-    many tokens as their bits differ. 64 bits up to ``NARROW`` tokens, else about one for each token; folding
-    the halves of the longer one gives the bits of the shorter."""
-    n = np.diff(at)
+def _parities(tokens: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """Each line's parity bits, in so many integers: bit i tells whether an odd number of tokens hash to it. Two sets differ in
+    at least as many tokens as their bits differ."""
     where = mix(tokens)
-    line = np.repeat(np.arange(len(n)), n)
-    flips = np.bincount(line * 64 + (where & U64(63)).astype(np.int64), minlength=64 * len(n)) & 1
-    out = [x.tobytes() for x in np.packbits(flips.astype(np.uint8).reshape(-1, 64), axis=1)]
-    for i in np.flatnonzero(n > NARROW):
-        bits = min(1 << int(n[i] - 1).bit_length(), MAX_BITS)
-        own = np.bincount((where[at[i]:at[i + 1]] & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
-        out[i] = np.packbits(own.astype(np.uint8)).tobytes()
+    line = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    out = np.zeros((len(at) - 1) * words, dtype=U64)
+    np.bitwise_xor.at(out, line * words + (where >> U64(6) & U64(words - 1)).astype(np.int64), U64(1) << (where & U64(63)))
+    return out.reshape(-1, words)
+
+
+def _counts(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of each line's tokens hash to each of 16 places, modulo 16, in the four bits of each place."""
+    n = len(at) - 1
+    place = np.repeat(np.arange(n) * 16, np.diff(at)) + (mix(tokens) & U64(15)).astype(np.int64)
+    by_line = (np.bincount(place, minlength=16 * n) & 15).astype(np.uint8).reshape(-1, 2)
+    return (by_line[:, 0] | by_line[:, 1] << 4).view(U64)
+
+
+def _counts_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many tokens two sets differ at least by their counts."""
+    x, y = (np.ascontiguousarray(v).view(np.uint8).reshape(-1, 8) for v in (x, y))
+    out = np.zeros(len(x), dtype=np.int64)
+    for one, other in ((x & 15, y & 15), (x >> 4, y >> 4)):
+        d = one - other & 15
+        out += np.minimum(d, 16 - d).sum(axis=1, dtype=np.int64)
     return out
 
 
-def _apart(x: bytes, y: bytes) -> int:
-    """Number of bits in which two parities differ, the longer one folded to the length of the shorter."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) > len(b):
-        a = a[:len(a) // 2] ^ a[len(a) // 2:]
-    while len(b) > len(a):
-        b = b[:len(b) // 2] ^ b[len(b) // 2:]
-    return int(np.bitwise_count(a ^ b).sum())
+def signatures(tokens: np.ndarray, at: np.ndarray, most_level: int,
+               percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """For each step, 0 for a line's own class of sizes and 1 or more for the following ones: the contents under which lines
+    are posted in the terms of that class, hashed, and their lines. Tokens have levels and come line by line."""
+    n = np.diff(at)
+    most = 100 * n // percent  # size of a matching line
+    digits = np.frexp(n)[1].astype(np.int64)
+    where = mix(tokens ^ U64(0x2545F4914F6CDD1D))
+    level = (tokens >> U64(TOKEN_BITS)).astype(np.int64)
+    # The logarithm of a token's share; a token that occurs once outweighs all.
+    weight = np.where(level > 1, most_level + 2 - level, 1 << 20)
+    step = -1
+    while True:
+        step += 1
+        up = (1 << digits + step) - 1
+        fits = most >= (up >> 1) + 1 if step else n > 0
+        if not fits.any():
+            return
+        apart = (100 - percent) * (n + np.minimum(up, most)) // (100 + percent)
+        pick = np.flatnonzero(fits & (apart > 0))
+        if not len(pick):
+            continue
+        widest = 2 * (100 - percent) * up[pick] // (100 + percent)
+        parts = widest + 1 + widest // 2
+        base = np.concatenate([[0], np.cumsum(parts)])
+        size = n[pick]
+        to = np.cumsum(size)
+        index = np.repeat(at[pick] - to + size, size) + np.arange(to[-1])
+        owner = np.repeat(np.arange(len(pick)), size)
+        h = where[index]
+        cell = base[owner] + ((h >> U64(32)) * parts[owner].astype(U64) >> U64(32)).astype(np.int64)
+        content = np.zeros(base[-1], dtype=U64)
+        np.add.at(content, cell, mix(h))
+        strength = np.minimum(np.bincount(cell, weights=weight[index], minlength=base[-1]).astype(np.int64), (1 << 20) - 1)
+        # Lines, then their parts by strength, then by number: an order that is the same for all lines of a class.
+        owner = np.repeat(np.arange(len(pick)), parts)
+        number = np.arange(base[-1]) - base[owner]
+        key = np.sort(owner.astype(U64) << U64(48) | ((1 << 20) - 1 - strength).astype(U64) << U64(28) | number.astype(U64))
+        owner, number = (key >> U64(48)).astype(np.int64), (key & U64((1 << 28) - 1)).astype(np.int64)
+        rank = np.arange(base[-1]) - base[owner]
+        live = (rank <= apart[pick][owner]) & (key >> U64(28) & U64((1 << 20) - 1) > 0)
+        owner, number = owner[live], number[live]
+        line = pick[owner]
+        terms = number.astype(U64) << U64(8) | (digits[line] + step).astype(U64)
+        yield mix(content[base[owner] + number] ^ mix(terms)), line, step
 
 
 def _postings(texts: DataFrame, levels, percent: int) -> DataFrame:
-    """``(token, class, size, position, parity)``, for the distinct lines of each batch."""
+    """``(slice, postings)``: arrays of content, class and sketch (parities or counts), 64 bits each. The last bits of a content are
+    replaced by the line's size (up to ``MAX_SIZE``) and whether the content is in the terms of its own class of sizes."""
+    def sliced(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(held)
+        rows = rows[np.argsort(rows[:, 0])]
+        if len(rows) > 1:
+            rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
+        at = np.searchsorted(rows[:, 0] >> U64(64 - SLICE_BITS), np.arange((1 << SLICE_BITS) + 1).astype(U64))
+        used = np.flatnonzero(np.diff(at))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used, pa.int32()), pa.array([rows[at[k]:at[k + 1]].tobytes() for k in used], pa.binary())],
+            names=["slice", "postings"])
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most_level, held = int(levels.value.max()), []
         for batch in batches:
             for _, _, words, to in line_sets(batch.column(0)):
                 tokens, at = distinct_tokens(words, to, levels.value)
                 one, _ = _keys(tokens, at)
-                size = np.diff(at)
-                rank = np.arange(len(tokens)) - np.repeat(at[:-1], size)
-                first = np.zeros(len(size), dtype=bool)
-                first[np.unique(one, return_index=True)[1]] = True
-                pick = (tokens >> U64(TOKEN_BITS) > 1) & (rank < np.repeat(prefix_sizes(size, percent), size))
-                pick = np.flatnonzero(pick & np.repeat(first, size))
-                line = np.searchsorted(at, pick, side="right") - 1
-                parity = pa.array(_parities(tokens, at), pa.binary())
-                for k in range(0, len(pick), 50_000):
-                    t, own = pick[k:k + 50_000], line[k:k + 50_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(tokens[t].view(np.int64)), pa.array(one[own].view(np.int64)),
-                         pa.array(size[own], pa.int32()), pa.array(rank[t], pa.int32()),
-                         parity.take(pa.array(own))], names=["token", "class", "size", "position", "parity"])
-
-    return texts.select("text").mapInArrow(
-        released(post), "token bigint, class bigint, size int, position int, parity binary")
-
-
-def _narrow(parity: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Parities of 64 bits as integers (0 for longer ones), and which are longer."""
-    data, offsets = buffers(parity)
-    long = np.diff(offsets) > 8
-    at = offsets[:-1][~long]
-    out = np.zeros(len(long), dtype=U64)
-    out[~long] = (data[at[:, None] + np.arange(8)].view(U64).reshape(-1) if long.any() else data.view(U64))
-    return out, long
-
-
-def _near_rows(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows i < j of one unit whose classes pass all filters under the unit's token. Rows come by unit and size; the
-    first columns are unit, class, size, position, side and parity."""
-    unit, cls, size, position, side = (table.column(i).to_numpy() for i in range(5))
-    parity = table.column(5).combine_chunks()
-    narrow, wide = _narrow(parity)
-    size = size.astype(np.int64)
-    # Sizes ascend within a unit: who is too small for this one, or too far into its own tokens to have enough of them in
-    # common with it, is so for all that follow (length and position).
-    most = (100 + percent) * (size - position) // percent - size
-    left = np.flatnonzero(most >= size)
-    for s in range(1, len(unit)):
-        left = left[:np.searchsorted(left, len(unit) - s)]
-        left = left[(unit[left + s] == unit[left]) & (most[left] >= size[left + s])]
+                if len(one) > 1 and len(once := np.sort(np.unique(one, return_index=True)[1])) < len(one):
+                    size = np.diff(at)[once]
+                    end = np.cumsum(size)
+                    tokens = tokens[np.repeat(at[once] - end + size, size) + np.arange(end[-1])]
+                    one, at = one[once], np.concatenate([[0], end])
+                parity, counts = _parities(tokens, at, 1)[:, 0], _counts(tokens, at)
+                digits, size = np.frexp(np.diff(at))[1], np.minimum(np.diff(at), MAX_SIZE).astype(U64)
+                for content, line, step in signatures(tokens, at, most_level, percent):
+                    told = content & ~U64((1 << 17) - 1) | size[line] << U64(1) | U64(step == 0)
+                    sketch = np.where(digits[line] + step > PARITY_DIGITS, counts[line], parity[line])
+                    held.append(np.stack([told, one[line], sketch], axis=1))
+                if sum(len(x) for x in held) >= POSTINGS_AT_ONCE:
+                    yield from sliced(held)
+                    held = []
+        if held:
+            yield from sliced(held)
+
+    return texts.select("text").mapInArrow(released(post), "slice int, postings binary")
+
+
+def _near_rows(group: np.ndarray, size: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows i < j of one group whose sizes are near enough, and in how many tokens matching sets of these sizes may
+    differ. Sizes ascend in a group."""
+    most = 100 * size // percent
+    left = np.arange(max(len(group) - 1, 0))
+    for s in range(1, len(group)):
+        left = left[:np.searchsorted(left, len(group) - s)]
+        left = left[(group[left + s] == group[left]) & (most[left] >= size[left + s])]
         if not len(left):
             return
-        i = left[(cls[left] != cls[left + s]) & ((side[left] < 0) | (side[left] != side[left + s]))]
-        j = i + s
-        need = -(-percent * (size[i] + size[j]) // (100 + percent))
-        room = np.minimum(size[i] - position[i], size[j] - position[j])
-        slack = size[i] + size[j] - 2 * need
-        any_wide = wide[i] | wide[j]
-        ok = (room >= need) & (any_wide | (np.bitwise_count(narrow[i] ^ narrow[j]) <= slack))
-        for k in np.flatnonzero(ok & any_wide).tolist():
-            ok[k] = _apart(parity[int(i[k])].as_py(), parity[int(j[k])].as_py()) <= slack[k]
-        yield i[ok], j[ok]
-
-
-def _candidates(units: DataFrame, percent: int) -> DataFrame:
-    """``(token, a, b)``: for every unit the classes that have a candidate in it (a, with b null), and the
-    candidate pairs with a class of more than ``WIDE`` tokens."""
+        both = size[left] + size[left + s]
+        yield left, left + s, both - 2 * -(-percent * both // (100 + percent))
+
+
+_FOUND = "unit bigint, a bigint, b bigint, content bigint, sketch bigint, n bigint"
+
+
+def _found(unit=None, a=None, b=None, content=None, sketch=None, n=None) -> pa.RecordBatch:
+    given = [unit, a, b, content, sketch, n]
+    rows = next(len(x) for x in given if x is not None)
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(rows, pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in given],
+        names=[c.split()[0] for c in _FOUND.split(", ")])
+
+
+def _compared(group: np.ndarray, rows: np.ndarray, percent: int, wide: int,
+              block: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_FOUND`` for postings that come by group and size: unit and a for the members of units, a and b for pairs
+    with a line of more than ``wide`` tokens. Groups of more than ``block`` rows are passed on: content, a, sketch and n."""
+    first = np.concatenate([[True], group[1:] != group[:-1]])
+    number = np.cumsum(first) - 1
+    n = np.bincount(number)
+    if block and (n > block).any():
+        large = n[number] > block
+        yield _found(a=rows[large, 1].copy(), content=rows[large, 0].copy(), sketch=rows[large, 2].copy(), n=n[number[large]])
+        number, rows = number[~large], rows[~large]
+    cls, sketch, own = rows[:, 1].copy(), rows[:, 2].copy(), rows[:, 0] & U64(1) > 0
+    size = (rows[:, 0] >> U64(1) & U64(MAX_SIZE)).astype(np.int64)
+    hit, pairs = np.zeros(len(cls), dtype=bool), []
+    for i, j, slack in _near_rows(number, size, percent):
+        # Contents are in the terms of the larger line's class of sizes, else another content tells of the pair.
+        ok = own[j] & (cls[i] != cls[j])
+        i, j, slack = i[ok], j[ok], slack[ok]
+        apart = np.bitwise_count(sketch[i] ^ sketch[j]).astype(np.int64)
+        by_counts = size[j] >= 1 << PARITY_DIGITS
+        apart[by_counts] = _counts_apart(sketch[i[by_counts]], sketch[j[by_counts]])
+        ok = (apart <= slack) | (size[j] == MAX_SIZE)
+        i, j = i[ok], j[ok]
+        long = size[j] > wide
+        hit[i[~long]] = hit[j[~long]] = True
+        if long.any():
+            x, y = cls[i[long]].view(np.int64), cls[j[long]].view(np.int64)
+            pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+    if hit.any():
+        unit = np.zeros(len(n), dtype=U64)
+        np.add.at(unit, number[hit], mix(cls[hit]))
+        yield _found(unit=(unit[number[hit]] >> U64(64 - UNIT_BITS)), a=cls[hit])
+    if pairs:
+        both = np.unique(np.concatenate(pairs), axis=0)
+        yield _found(a=both[:, 0].copy(), b=both[:, 1].copy())
+
+
+def _candidates(postings: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``_FOUND`` for the lines that are posted under the same contents."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 1000):
+            rows = np.frombuffer(b"".join(table.column(1).to_pylist()), dtype=U64).reshape(-1, 3)
+            order = np.argsort(rows[:, 0])
+            content = rows[order, 0] >> U64(17)
+            same = content[1:] == content[:-1]
+            order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+            rows = rows[order]
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            if len(rows):
+                rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
+                yield from _compared(rows[:, 0] >> U64(17), rows, percent, WIDE, BLOCK)
+
+    return (postings.repartition("slice").sortWithinPartitions("slice").mapInArrow(released(compare), _FOUND))
+
+
+def _block_candidates(large: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``_FOUND`` for the contents that many lines are posted under, in pairs of blocks of lines."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 20_000):
-            cls, size, token = (table.column(c).to_numpy() for c in ("class", "size", "token"))
-            hit, pairs = np.zeros(len(cls), dtype=bool), []
-            for i, j in _near_rows(table, percent):
-                hit[i] = hit[j] = True
-                k = np.maximum(size[i], size[j]) > WIDE
-                if k.any():
-                    a, b = cls[i[k]], cls[j[k]]
-                    pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-            if hit.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[hit]), pa.array(cls[hit]), pa.nulls(int(hit.sum()), pa.int64())],
-                    names=["token", "a", "b"])
-            if pairs:
-                both = np.unique(np.concatenate(pairs), axis=0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(both), pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])],
-                    names=["token", "a", "b"])
+            group, *rows = (table.column(i).to_numpy().view(U64) for i in range(4))
+            yield from _compared(group, np.stack(rows, axis=1), percent, WIDE)
 
-    return (units.repartition("unit").sortWithinPartitions("unit", "size", "class")
-            .mapInArrow(released(compare), "token bigint, a bigint, b bigint"))
+    nb = F.expr(f"cast(ceil(n / {BLOCK}) as int)")
+    at = F.pmod(F.xxhash64("a", "block_of"), F.col("nb")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: j != F.col("at"))
+    rows = (large.withColumn("block_of", F.expr("shiftrightunsigned(content, 17)")).withColumn("nb", nb).withColumn("at", at)
+            .withColumn("other", F.explode(others)))
+    blocks = F.xxhash64("block_of", F.least("at", "other"), F.greatest("at", "other"))
+    return (rows.select(blocks.alias("blocks"), "content", "a", "sketch")
+            .repartition("blocks").sortWithinPartitions("blocks", F.expr("content & 131071"), "a")
+            .mapInArrow(released(compare), _FOUND))
 
 
 def _common(tokens: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,123 +322,134 @@ def _common(tokens: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return np.bincount(of, minlength=len(i)), first
 
 
-def _set_postings(classes: DataFrame, hits, percent: int) -> DataFrame:
-    """``(token, class, size, position, parity, place, tokens)`` of classes up to ``WIDE`` tokens, under the prefix tokens
-    that gave candidates."""
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_units(classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``(unit, class)`` of the given ones whose class has one near enough in the unit with which it shares no earlier unit.
+    They are compared by their sizes and parities only."""
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
                 rows = batch.slice(k, 2048)
-                cls, sets = np.asarray(rows.column(0)), rows.column(2).to_pylist()
-                at = np.concatenate([[0], np.cumsum([len(x) // 8 for x in sets])])
-                tokens = np.frombuffer(b"".join(sets), dtype=U64)
-                size = np.diff(at)
-                rank = np.arange(len(tokens)) - np.repeat(at[:-1], size)
-                line = np.repeat(np.arange(len(size)), size)
-                pick = np.flatnonzero(rank < prefix_sizes(size, percent)[line])
-                pick = pick[hits.value[buckets_of(_posting_hash(tokens[pick], cls[line[pick]]))] > 0]
-                parity = pa.array(_parities(tokens, at), pa.binary())
-                for n in range(0, len(pick), 8192):
-                    t = pick[n:n + 8192]
-                    own = pa.array(line[t])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(tokens[t].view(np.int64)), rows.column(0).take(own),
-                         pa.array(size[line[t]], pa.int32()), pa.array(rank[t], pa.int32()), parity.take(own),
-                         rows.column(1).take(own), rows.column(2).take(own)],
-                        names=["token", "class", "size", "position", "parity", "place", "tokens"])
-
-    return (classes.filter(f"tokens is not null and octet_length(tokens) <= {8 * WIDE}")
-            .select(F.col("k1").alias("class"), "place", "tokens").mapInArrow(
-        released(post), f"token bigint, class bigint, size int, position int, parity binary, place {PLACE}, tokens binary"))
-
-
-def _posting_hash(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return mix(tokens.view(U64) ^ mix(classes.view(U64)))
-
-
-def _links(units: DataFrame, percent: int) -> DataFrame:
-    """``(class, n_links, earliest)`` by unit, of the pairs that match and whose first common token is the unit's."""
+                sets = rows.column(1).to_pylist()
+                size = np.array([len(x) // 8 for x in sets])
+                parity = _parities(np.frombuffer(b"".join(sets), dtype=U64), np.concatenate([[0], np.cumsum(size)]), SKETCH_WORDS)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array(size), pa.array([x.tobytes() for x in parity], pa.binary())],
+                    names=["class", "size", "parity"])
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 20_000):
-            cls, size, token = (table.column(c).to_numpy() for c in ("class", "size", "token"))
+            unit, cls, size = (table.column(c).to_numpy() for c in ("unit", "class", "size"))
+            parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), dtype=U64).reshape(-1, SKETCH_WORDS)
+            units, units_at = _lists(table.column("units"))
+            hit = np.zeros(len(cls), dtype=bool)
+            for i, j in _near_pairs(unit, size, parity, percent):
+                ok = _common(units, units_at, i, j)[1].view(np.int64) == unit[i]
+                hit[i[ok]] = hit[j[ok]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(unit[hit]), pa.array(cls[hit])], names=["unit", "class"])
+
+    sketches = _narrow(classes).select("class", "tokens").mapInArrow(released(sketch), "class bigint, size bigint, parity binary")
+    lists = members.groupBy("class").agg(F.sort_array(F.collect_set("unit")).alias("units"))
+    return (lists.join(sketches, "class").select(F.explode("units").alias("unit"), "class", "size", "parity", "units")
+            .repartition("unit").sortWithinPartitions("unit", "size", "class")
+            .mapInArrow(released(check), "unit bigint, class bigint"))
+
+
+def _narrow(classes: DataFrame) -> DataFrame:
+    """``(class, place, tokens)`` of the sets that are sent with their units."""
+    return classes.filter(f"tokens is not null and octet_length(tokens) <= {8 * WIDE}").select(
+        F.col("k1").alias("class"), "place", "tokens")
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The units of all rows, and where each row's begin."""
+    lists = pa.concat_arrays(column.chunks)
+    return (np.asarray(lists.flatten()).view(U64),
+            np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64))
+
+
+def _near_pairs(unit: np.ndarray, size: np.ndarray, parity: np.ndarray,
+                percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i < j of one unit that are near enough by size and parity, ``PAIRS_AT_ONCE`` together, or fewer at the end."""
+    held, n = [], 0
+    for i, j, slack in _near_rows(unit, size, percent):
+        ok = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1) <= slack
+        i, j = i[ok], j[ok]
+        held.append((i, j))
+        n += len(i)
+        if n >= PAIRS_AT_ONCE:
+            i, j = (np.concatenate(x) for x in zip(*held))
+            cut = n - n % PAIRS_AT_ONCE
+            for k in range(0, cut, PAIRS_AT_ONCE):
+                yield i[k:k + PAIRS_AT_ONCE], j[k:k + PAIRS_AT_ONCE]
+            held, n = [(i[cut:], j[cut:])], n - cut
+    if n:
+        i, j = (np.concatenate(x) for x in zip(*held))
+        yield i, j
+
+
+def _sets_by_unit(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """``(unit, class, size, units, place, tokens)`` of the members of units; units has all those of the class, in order."""
+    units = members.groupBy("class").agg(F.sort_array(F.collect_list("unit")).alias("units"))
+    return _narrow(classes).join(units, "class").select(
+        F.explode("units").alias("unit"), "class", (F.octet_length("tokens") / 8).cast("bigint").alias("size"),
+        "units", "place", "tokens")
+
+
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """``(class, n_links, earliest)`` by unit, of the pairs that match and whose first common unit it is."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 20_000):
+            unit, cls, size = (table.column(c).to_numpy() for c in ("unit", "class", "size"))
             place = table.column("place").combine_chunks()
             place = pa.concat_arrays(place.chunks) if isinstance(place, pa.ChunkedArray) else place
             order = np.lexsort([np.asarray(place.field(c)) for c in ("line", "id")])
             rank = np.empty(len(order), dtype=np.int64)
             rank[order] = np.arange(len(order))
-            sets = table.column("tokens").to_pylist()
-            at = np.concatenate([[0], np.cumsum([len(x) // 8 for x in sets])])
-            tokens = np.frombuffer(b"".join(sets), dtype=U64)
-            size, token = size.astype(np.int64), token.view(U64)
+            at = np.concatenate([[0], np.cumsum(size)])
+            tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), dtype=U64)
+            units, units_at = _lists(table.column("units"))
             n_links = np.zeros(len(cls), dtype=np.int64)
             earliest = np.full(len(cls), len(cls))
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def settle() -> None:
-                i, j = (np.concatenate(x) for x in zip(*held))
-                held.clear()
-                for k in range(0, len(i), PAIRS_AT_ONCE):
-                    x, y = i[k:k + PAIRS_AT_ONCE], j[k:k + PAIRS_AT_ONCE]
-                    n, first = _common(tokens, at, x, y)
-                    ok = (100 * n >= percent * (size[x] + size[y] - n)) & (first == token[x])
-                    x, y = x[ok], y[ok]
-                    for one, other in ((x, y), (y, x)):
-                        np.add.at(n_links, one, 1)
-                        np.minimum.at(earliest, one, rank[other])
-
-            for i, j in _near_rows(table, percent):
-                if len(i):
-                    held.append((i, j))
-                if sum(len(x) for x, _ in held) >= PAIRS_AT_ONCE:
-                    settle()
-            if held:
-                settle()
+            for i, j in _near_pairs(unit, size, _parities(tokens, at, SKETCH_WORDS), percent):
+                ok = _common(units, units_at, i, j)[1].view(np.int64) == unit[i]
+                if not ok.any():
+                    continue
+                i, j = i[ok], j[ok]
+                n = _common(tokens, at, i, j)[0]
+                ok = 100 * n >= percent * (size[i] + size[j] - n)
+                for one, other in ((i[ok], j[ok]), (j[ok], i[ok])):
+                    np.add.at(n_links, one, 1)
+                    np.minimum.at(earliest, one, rank[other])
             some = np.flatnonzero(n_links)
             if len(some):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cls[some]), pa.array(n_links[some]), place.take(pa.array(order[earliest[some]]))],
                     names=["class", "n_links", "earliest"])
 
-    return (units.repartition("unit").sortWithinPartitions("unit", "size", "class")
+    return (sets.repartition("unit").sortWithinPartitions("unit", "size", "class")
             .mapInArrow(released(check), f"class bigint, n_links bigint, earliest {PLACE}"))
 
 
-def _units(posted: DataFrame, name: str) -> DataFrame:
-    """``(unit, class, size, position, side, parity, ...)``: what is posted under one token, in pairs of blocks if it is
-    more than ``BLOCK`` rows. Side -1: one block against itself; else which of two blocks."""
-    hot = written(posted.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), name)
-    small = hot.count() <= MAX_BROADCAST_ROWS  # two numbers a row
-    blocks = F.coalesce(F.expr(f"cast(ceil(n / {BLOCK}) as int)"), F.lit(1))
-    at = F.pmod(F.xxhash64("class", "token"), F.col("nb")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1),
-                       lambda j: F.struct(F.least("at", j).alias("i"), F.greatest("at", j).alias("j")))
-    further = [c for c in posted.columns if c not in ("class", "size", "position", "parity")]
-    return (posted.join(F.broadcast(hot) if small else hot, "token", "left").withColumn("nb", blocks)
-            .withColumn("at", at).withColumn("u", F.explode(pair)).select(
-        F.when(F.col("nb") == 1, F.col("token")).otherwise(F.xxhash64("token", "u.i", "u.j")).alias("unit"), "class", "size", "position",
-        F.when(F.col("u.i") == F.col("u.j"), -1).when(F.col("at") == F.col("u.i"), 0).otherwise(1).alias("side"),
-        "parity", *further))
-
-
-def _places(texts: DataFrame, levels, again, wanted) -> DataFrame:
-    """``(id, line, k1, k2, tokens)`` of the lines whose key may occur again or be in a candidate pair; the latter
-    with their tokens, once a batch."""
+def _places(texts: DataFrame, levels, wanted) -> DataFrame:
+    """``(id, line, k1, k2, tokens)`` of the lines; with tokens, once a batch, if the key may be in a candidate pair."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for row, number, words, to in line_sets(batch.column(1)):
                 tokens, at = distinct_tokens(words, to, levels.value)
                 one, two = _keys(tokens, at)
-                bucket = buckets_of(mix(one))
-                full = wanted.value[bucket] > 0
-                live = np.flatnonzero(full | (again.value[bucket] > 1))
-                first = np.zeros(len(one), dtype=bool)
-                first[np.unique(one, return_index=True)[1]] = True
+                full = np.zeros(len(one), dtype=bool)
+                full[np.unique(one, return_index=True)[1]] = True
+                full &= wanted.value[buckets_of(mix(one))] > 0
+                size = np.where(full, np.diff(at), 0)
+                sets = tokens[np.repeat(full, np.diff(at))]
+                ends = np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row[live])), pa.array(number[live], pa.int64()),
-                     pa.array(one[live].view(np.int64)), pa.array(two[live].view(np.int64)),
-                     pa.array([tokens[at[i]:at[i + 1]].tobytes() if full[i] and first[i] else None
-                               for i in live], pa.binary())], names=["id", "line", "k1", "k2", "tokens"])
+                    [ids.take(pa.array(row)), pa.array(number, pa.int64()),
+                     pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+                     pa.Array.from_buffers(pa.binary(), len(one), [
+                         pa.py_buffer(np.packbits(full, bitorder="little")), pa.py_buffer(ends), pa.py_buffer(sets)])],
+                    names=["id", "line", "k1", "k2", "tokens"])
 
     return texts.mapInArrow(released(emit), "id bigint, line bigint, k1 bigint, k2 bigint, tokens binary")
 
@@ -370,32 +481,30 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """``(id, line, n_links, first_id, removed)`` for the lines that match another one (and for a few others that share
-    a bucket with such a line), and the texts ``(id, text, row)`` they refer to. ``n_links`` counts the other
+    """``(id, line, n_links, first_id, removed)`` for the lines that match another one, and the texts ``(id, text, row)`` they refer to. ``n_links`` counts the other
     distinct token sets that match the line's, ``first_id`` is the id of the earliest matching line (of the line
     itself, if it is the first)."""
     texts = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"),
                         F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != text_col)).alias("row"))
     known = texts.filter("id is not null").select("id", "text")
     levels = occurrence_levels(known.select("text"), lambda batch: (
-        _once_a_line(words, to) for _, _, words, to in line_sets(batch.column(0))))
-    again = occurrence_levels(known.select("text"), lambda batch: (
-        mix(_keys(*distinct_tokens(words, to, levels.value))[0]) for _, _, words, to in line_sets(batch.column(0))))
-
-    found = written(_candidates(_units(_postings(known, levels, percent), "hot-tokens"), percent), "line-candidates")
+        words for _, _, words, _ in texts_words(batch.column(0))))
+    found = written(_candidates(_postings(known, levels, percent), percent), "line-candidates")
+    in_blocks = written(_block_candidates(found.filter("content is not null"), percent), "block-candidates")
+    found = found.filter("content is null").unionByName(in_blocks)
     wanted = occurrence_levels(found.select("a", "b"), lambda batch: [
         mix(np.asarray(batch.column(i).drop_null()).view(U64)) for i in range(2)])
-    hits = occurrence_levels(found.filter("b is null").select("token", "a"), lambda batch: [
-        _posting_hash(np.asarray(batch.column(0)), np.asarray(batch.column(1)))])
-    places = written(_places(known, levels, again, wanted), "lines")
-    classes = written(places.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("place"),
-                                                     F.min("tokens").alias("tokens")), "line-sets")
+    places = written(_places(known, levels, wanted), "lines")
+    classes = written(places.groupBy("k1", "k2").agg(
+        F.min(F.struct("id", "line")).alias("place"), F.min("tokens").alias("tokens"), F.count("*").alias("n"))
+        .filter("n > 1 or tokens is not null"), "line-sets")
+    members = found.filter("unit is not null").select("unit", F.col("a").alias("class"))
     pairs = found.filter("b is not null").select("a", "b").distinct()
-    links = (_links(_units(_set_postings(classes, hits, percent), "hot-sets"), percent)
+    links = (_links(_sets_by_unit(classes, _first_units(classes, members, percent)), percent)
              .unionByName(_verified(pairs, classes, percent)).groupBy("class")
              .agg(F.sum("n_links").alias("n_links"), F.min("earliest").alias("earliest")))
-    decided = written(classes.select("k1", "k2", "place").join(
-        links.withColumnRenamed("class", "k1"), "k1", "left"), "line-decisions")
+    decided = written(classes.select("k1", "k2", "place", "n").join(links.withColumnRenamed("class", "k1"), "k1", "left")
+                      .filter("n > 1 or n_links is not null").drop("n"), "line-decisions")
     lines = places.select("id", "line", "k1", "k2").join(decided, ["k1", "k2"])
     is_first = (F.col("id") == F.col("place.id")) & (F.col("line") == F.col("place.line"))
     lines = lines.select("id", "line", F.coalesce("n_links", F.lit(0)).alias("n_links"),
@@ -404,15 +513,6 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return lines, texts
 
 
-def _once_a_line(words: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """The hashes of each line's distinct tokens."""
-    line = np.repeat(np.arange(len(to) - 1), np.diff(to))
-    order = np.lexsort((words, line))
-    words, line = words[order], line[order]
-    keep = np.concatenate([[True], (words[1:] != words[:-1]) | (line[1:] != line[:-1])]) if len(words) else []
-    return words[keep]
-
-
 def _cut_rows(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """``(row, text, n_lines, n_links, class_id, n_removed)``; row has all columns but the text."""
     lines, texts = matched_lines(docs, id_col, text_col, percent)

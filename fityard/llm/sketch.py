@@ -42,8 +42,7 @@ def occurrence_levels(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterat
         total = np.zeros(1 << LOG_BUCKETS, dtype=np.uint32)
         for batch in batches:
             for h in hashes(batch):
-                at, n = np.unique(buckets_of(h), return_counts=True)
-                total[at] += n.astype(np.uint32)
+                np.add.at(total, buckets_of(h), np.uint32(1))
         yield from slices(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
