@@ -31,14 +31,16 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from fityard.llm.sketch import buckets_of, occurrence_levels
 from fityard.llm.textcols import U64, buffers, mix, pieces, released, texts_words, whole_groups, word_hashes
-from fityard.runtime import written
+from fityard.runtime import drop_old_shuffles, written
 
-BLOCK = 2048           # rows of one content that are compared with each other at once
+BLOCK = 8192           # rows of one content that are compared with each other at once
 WIDE = 512             # tokens up to which a line's set is sent with its units
 TOKEN_BITS = 42        # bits of a token's hash that tell tokens apart inside a set
 UNIT_BITS = 48
 PARITY_DIGITS = 6      # binary digits of the sizes up to which postings tell parities, and counts beyond
 SKETCH_WORDS = 8       # of 64 parity bits, where units are compared
+MARK_WORDS = 8         # of 64 bits, for the most frequent values in a unit
+VALUES_AT_ONCE = 1 << 20
 SLICE_BITS = 12        # first bits of a content by which postings are cut into arrays
 MAX_SIZE = (1 << 16) - 1  # of a set, as postings tell it
 TEXT_AT_ONCE = 1 << 18
@@ -209,18 +211,24 @@ def _postings(texts: DataFrame, levels, percent: int) -> DataFrame:
     return texts.select("text").mapInArrow(released(post), "slice int, postings binary")
 
 
-def _near_rows(group: np.ndarray, size: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows i < j of one group whose sizes are near enough, and in how many tokens matching sets of these sizes may
-    differ. Sizes ascend in a group."""
-    most = 100 * size // percent
-    left = np.arange(max(len(group) - 1, 0))
-    for s in range(1, len(group)):
-        left = left[:np.searchsorted(left, len(group) - s)]
-        left = left[(group[left + s] == group[left]) & (most[left] >= size[left + s])]
-        if not len(left):
-            return
-        both = size[left] + size[left + s]
-        yield left, left + s, both - 2 * -(-percent * both // (100 + percent))
+def _near_rows(group: np.ndarray, size: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i < j of one group whose sizes are near enough. Sizes ascend in a group."""
+    if not len(group):
+        return
+    number = np.cumsum(np.concatenate([[False], group[1:] != group[:-1]])) << 32
+    # How many of the following rows are near enough.
+    span = np.searchsorted(number | size, number | 100 * size // percent, side="right") - np.arange(1, len(group) + 1)
+    left, s = np.flatnonzero(span > 0), 1
+    while len(left):
+        yield left, left + s
+        s += 1
+        left = left[span[left] >= s]
+
+
+def _slack(one: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """In how many tokens matching sets of these sizes may differ."""
+    both = one + other
+    return both - 2 * -(-percent * both // (100 + percent))
 
 
 _FOUND = "unit bigint, a bigint, b bigint, content bigint, sketch bigint, n bigint"
@@ -248,10 +256,14 @@ def _compared(group: np.ndarray, rows: np.ndarray, percent: int, wide: int,
     cls, sketch, own = rows[:, 1].copy(), rows[:, 2].copy(), rows[:, 0] & U64(1) > 0
     size = (rows[:, 0] >> U64(1) & U64(MAX_SIZE)).astype(np.int64)
     hit, pairs = np.zeros(len(cls), dtype=bool), []
-    for i, j, slack in _near_rows(number, size, percent):
+    for i, j in _near_rows(number, size, percent):
+        # Two lines that have met another one need not be compared: only of lines beyond ``wide`` (never hit) pairs are told.
+        ok = ~(hit[i] & hit[j])
+        i, j = i[ok], j[ok]
         # Contents are in the terms of the larger line's class of sizes, else another content tells of the pair.
         ok = own[j] & (cls[i] != cls[j])
-        i, j, slack = i[ok], j[ok], slack[ok]
+        i, j = i[ok], j[ok]
+        slack = _slack(size[i], size[j], percent)
         apart = np.bitwise_count(sketch[i] ^ sketch[j]).astype(np.int64)
         by_counts = size[j] >= 1 << PARITY_DIGITS
         apart[by_counts] = _counts_apart(sketch[i[by_counts]], sketch[j[by_counts]])
@@ -307,19 +319,73 @@ def _block_candidates(large: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(released(compare), _FOUND))
 
 
-def _common(tokens: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many tokens the sets i and j have in common, and the first of them in rarity order (0 without any)."""
+def _common(values: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many values of 48 bits the sets i and j have in common."""
     sets = np.concatenate([i, j])
     pair = np.tile(np.arange(len(i), dtype=U64), 2)
     size = at[sets + 1] - at[sets]
     to = np.cumsum(size)
     index = np.repeat(at[sets] - to + size, size) + np.arange(to[-1])
-    key = np.sort(np.repeat(pair, size) << U64(48) | tokens[index])
-    twice = key[:-1][key[1:] == key[:-1]]
-    of = (twice >> U64(48)).astype(np.int64)
-    first = np.zeros(len(i), dtype=U64)
-    first[of[::-1]] = twice[::-1] & U64((1 << 48) - 1)
-    return np.bincount(of, minlength=len(i)), first
+    key = np.sort(np.repeat(pair, size) << U64(48) | values[index])
+    return np.bincount((key[:-1][key[1:] == key[:-1]] >> U64(48)).astype(np.int64), minlength=len(i))
+
+
+def _marks(group: np.ndarray, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sets of 48-bit values, which of their group's ``64 * MARK_WORDS`` most frequent values they have, as bits, the most
+    frequent first, and how many other ones that another set of the group has too. Sets of a group come together."""
+    bits, rest = np.zeros((len(group), MARK_WORDS), dtype=U64), np.zeros(len(group), dtype=np.int64)
+    bounds = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+    for x, y in pieces(at[bounds], VALUES_AT_ONCE):
+        rows, value = slice(bounds[x], bounds[y]), values[at[bounds[x]]:at[bounds[y]]]
+        if not len(value):
+            continue
+        row = np.repeat(np.arange(rows.start, rows.stop), np.diff(at[rows.start:rows.stop + 1]))
+        number = np.repeat(np.arange(y - x), np.diff(at[bounds[x:y + 1]]))
+        if y - x <= 1 << 16:
+            order = np.argsort(number.astype(U64) << U64(48) | value)
+        else:
+            order = np.lexsort((value, number))
+        number, value, row = number[order], value[order], row[order]
+        first = np.concatenate([[True], (number[1:] != number[:-1]) | (value[1:] != value[:-1])])
+        which = np.cumsum(first) - 1
+        n, number = np.bincount(which), number[first]
+        order = np.lexsort((-n, number))
+        rank = np.empty(len(n), dtype=np.int64)
+        rank[order] = np.arange(len(n)) - np.searchsorted(number, number)
+        n, rank = n[which], rank[which]
+        marked = (n > 1) & (rank < 64 * MARK_WORDS)
+        np.bitwise_or.at(bits, (row[marked], rank[marked] >> 6), U64(1) << (rank[marked] & 63).astype(U64))
+        rest[rows] = np.bincount(row[(n > 1) & ~marked] - rows.start, minlength=rows.stop - rows.start)
+    return bits, rest
+
+
+def _first_meetings(unit: np.ndarray, size: np.ndarray, earlier: np.ndarray, at: np.ndarray, percent: int,
+                    hit: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i < j of one unit that are near enough by size and have no earlier unit in common, up to ``PAIRS_AT_ONCE`` together;
+    but not two rows that are both ``hit``. Earlier units come row by row."""
+    bits, rest = _marks(unit, earlier, at)
+    top, held, n = bits[:, 0].copy(), [], 0
+
+    def apart(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = ~(bits[i, 1:] & bits[j, 1:]).any(axis=1)
+        unsure = np.flatnonzero(ok & (rest[i] > 0) & (rest[j] > 0))
+        if len(unsure):
+            ok[unsure] = _common(earlier, at, i[unsure], j[unsure]) == 0
+        return i[ok], j[ok]
+
+    for i, j in _near_rows(unit, size, percent):
+        ok = top[i] & top[j] == 0
+        if hit is not None:
+            ok &= ~(hit[i] & hit[j])
+        held.append((i[ok], j[ok]))
+        n += len(held[-1][0])
+        if n >= PAIRS_AT_ONCE:
+            i, j = (np.concatenate(x) for x in zip(*held))
+            for k in range(0, n, PAIRS_AT_ONCE):
+                yield apart(i[k:k + PAIRS_AT_ONCE], j[k:k + PAIRS_AT_ONCE])
+            held, n = [], 0
+    if n:
+        yield apart(*(np.concatenate(x) for x in zip(*held)))
 
 
 def _first_units(classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -340,16 +406,16 @@ def _first_units(classes: DataFrame, members: DataFrame, percent: int) -> DataFr
         for table in whole_groups(batches, 20_000):
             unit, cls, size = (table.column(c).to_numpy() for c in ("unit", "class", "size"))
             parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), dtype=U64).reshape(-1, SKETCH_WORDS)
-            units, units_at = _lists(table.column("units"))
             hit = np.zeros(len(cls), dtype=bool)
-            for i, j in _near_pairs(unit, size, parity, percent):
-                ok = _common(units, units_at, i, j)[1].view(np.int64) == unit[i]
+            for i, j in _first_meetings(unit, size, *_lists(table.column("earlier")), percent, hit):
+                ok = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1) <= _slack(size[i], size[j], percent)
                 hit[i[ok]] = hit[j[ok]] = True
             yield pa.RecordBatch.from_arrays([pa.array(unit[hit]), pa.array(cls[hit])], names=["unit", "class"])
 
     sketches = _narrow(classes).select("class", "tokens").mapInArrow(released(sketch), "class bigint, size bigint, parity binary")
     lists = members.groupBy("class").agg(F.sort_array(F.collect_set("unit")).alias("units"))
-    return (lists.join(sketches, "class").select(F.explode("units").alias("unit"), "class", "size", "parity", "units")
+    return (lists.join(sketches, "class").select(F.posexplode("units").alias("pos", "unit"), "class", "size", "parity", "units")
+            .select("unit", "class", "size", "parity", F.expr("slice(units, 1, pos)").alias("earlier"))
             .repartition("unit").sortWithinPartitions("unit", "size", "class")
             .mapInArrow(released(check), "unit bigint, class bigint"))
 
@@ -367,32 +433,13 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
             np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64))
 
 
-def _near_pairs(unit: np.ndarray, size: np.ndarray, parity: np.ndarray,
-                percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows i < j of one unit that are near enough by size and parity, ``PAIRS_AT_ONCE`` together, or fewer at the end."""
-    held, n = [], 0
-    for i, j, slack in _near_rows(unit, size, percent):
-        ok = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1) <= slack
-        i, j = i[ok], j[ok]
-        held.append((i, j))
-        n += len(i)
-        if n >= PAIRS_AT_ONCE:
-            i, j = (np.concatenate(x) for x in zip(*held))
-            cut = n - n % PAIRS_AT_ONCE
-            for k in range(0, cut, PAIRS_AT_ONCE):
-                yield i[k:k + PAIRS_AT_ONCE], j[k:k + PAIRS_AT_ONCE]
-            held, n = [(i[cut:], j[cut:])], n - cut
-    if n:
-        i, j = (np.concatenate(x) for x in zip(*held))
-        yield i, j
-
-
 def _sets_by_unit(classes: DataFrame, members: DataFrame) -> DataFrame:
-    """``(unit, class, size, units, place, tokens)`` of the members of units; units has all those of the class, in order."""
+    """``(unit, class, size, earlier, place, tokens)`` of the members of units; earlier has the class's units before this one."""
     units = members.groupBy("class").agg(F.sort_array(F.collect_list("unit")).alias("units"))
     return _narrow(classes).join(units, "class").select(
-        F.explode("units").alias("unit"), "class", (F.octet_length("tokens") / 8).cast("bigint").alias("size"),
-        "units", "place", "tokens")
+        F.posexplode("units").alias("pos", "unit"), "class", (F.octet_length("tokens") / 8).cast("bigint").alias("size"),
+        "units", "place", "tokens").select(
+        "unit", "class", "size", F.expr("slice(units, 1, pos)").alias("earlier"), "place", "tokens")
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
@@ -407,16 +454,16 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
             rank[order] = np.arange(len(order))
             at = np.concatenate([[0], np.cumsum(size)])
             tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), dtype=U64)
-            units, units_at = _lists(table.column("units"))
+            bits, rest = _marks(unit, tokens, at)
             n_links = np.zeros(len(cls), dtype=np.int64)
             earliest = np.full(len(cls), len(cls))
-            for i, j in _near_pairs(unit, size, _parities(tokens, at, SKETCH_WORDS), percent):
-                ok = _common(units, units_at, i, j)[1].view(np.int64) == unit[i]
-                if not ok.any():
-                    continue
-                i, j = i[ok], j[ok]
-                n = _common(tokens, at, i, j)[0]
-                ok = 100 * n >= percent * (size[i] + size[j] - n)
+            for i, j in _first_meetings(unit, size, *_lists(table.column("earlier")), percent):
+                least = -(-percent * (size[i] + size[j]) // (100 + percent))
+                n = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
+                ok = n >= least
+                unsure = np.flatnonzero(~ok & (n + np.minimum(rest[i], rest[j]) >= least))
+                if len(unsure):
+                    ok[unsure] = _common(tokens, at, i[unsure], j[unsure]) >= least[unsure]
                 for one, other in ((i[ok], j[ok]), (j[ok], i[ok])):
                     np.add.at(n_links, one, 1)
                     np.minimum.at(earliest, one, rank[other])
@@ -494,17 +541,20 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = found.filter("content is null").unionByName(in_blocks)
     wanted = occurrence_levels(found.select("a", "b"), lambda batch: [
         mix(np.asarray(batch.column(i).drop_null()).view(U64)) for i in range(2)])
+    drop_old_shuffles(docs.sparkSession)
     places = written(_places(known, levels, wanted), "lines")
     classes = written(places.groupBy("k1", "k2").agg(
         F.min(F.struct("id", "line")).alias("place"), F.min("tokens").alias("tokens"), F.count("*").alias("n"))
         .filter("n > 1 or tokens is not null"), "line-sets")
+    drop_old_shuffles(docs.sparkSession)
     members = found.filter("unit is not null").select("unit", F.col("a").alias("class"))
     pairs = found.filter("b is not null").select("a", "b").distinct()
-    links = (_links(_sets_by_unit(classes, _first_units(classes, members, percent)), percent)
-             .unionByName(_verified(pairs, classes, percent)).groupBy("class")
-             .agg(F.sum("n_links").alias("n_links"), F.min("earliest").alias("earliest")))
+    links = written(_links(_sets_by_unit(classes, _first_units(classes, members, percent)), percent)
+                    .unionByName(_verified(pairs, classes, percent)).groupBy("class")
+                    .agg(F.sum("n_links").alias("n_links"), F.min("earliest").alias("earliest")), "line-links")
     decided = written(classes.select("k1", "k2", "place", "n").join(links.withColumnRenamed("class", "k1"), "k1", "left")
                       .filter("n > 1 or n_links is not null").drop("n"), "line-decisions")
+    drop_old_shuffles(docs.sparkSession)
     lines = places.select("id", "line", "k1", "k2").join(decided, ["k1", "k2"])
     is_first = (F.col("id") == F.col("place.id")) & (F.col("line") == F.col("place.line"))
     lines = lines.select("id", "line", F.coalesce("n_links", F.lit(0)).alias("n_links"),
