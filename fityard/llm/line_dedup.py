@@ -535,7 +535,7 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != text_col)).alias("row"))
     known = texts.filter("id is not null").select("id", "text")
     levels = occurrence_levels(known.select("text"), lambda batch: (
-        words for _, _, words, _ in texts_words(batch.column(0))))
+        words for _, _, words, _ in texts_words(batch.column(0), limit=TEXT_AT_ONCE)))
     found = written(_candidates(_postings(known, levels, percent), percent), "line-candidates")
     in_blocks = written(_block_candidates(found.filter("content is not null"), percent), "block-candidates")
     found = found.filter("content is null").unionByName(in_blocks)
